@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from streetweave.llm.recompression_dedup import remove_repeated_passages
 from streetweave.llm.suffix_dedup import remove_repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +20,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_suffix_dedup,)}
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(_table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_suffix_dedup, op10_recompression_dedup)}
 ORACLES: dict[str, str] = {}
