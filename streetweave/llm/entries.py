@@ -4,25 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from streetweave.llm import decontamination, line_dedup
+from streetweave.llm.quality_rules import judged
 from streetweave.llm.recompression_dedup import remove_repeated_passages
+from streetweave.llm.simhash_dedup import labelled
 from streetweave.llm.suffix_dedup import remove_repeated_bytes
+from streetweave.llm.token_files import encoded
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"), min_docs=10)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_suffix_dedup, op10_recompression_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op3_suffix_dedup,
+        op4_simhash_dedup,
+        op5_line_dedup,
+        op6_quality_rules,
+        op7_decontamination,
+        op10_recompression_dedup,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
+}
