@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from streetweave.llm import decontamination, line_dedup
+from streetweave.llm import decontamination, license_scan, line_dedup, mixing, url_filter
 from streetweave.llm.quality_rules import judged
 from streetweave.llm.recompression_dedup import remove_repeated_passages
 from streetweave.llm.simhash_dedup import labelled
@@ -26,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(license_scan.document_paths(_table(spark, sf_dir, "documents")))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -46,6 +51,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filtered(pages, url_filter.rule_table(spark), url_filter.default_labelled(spark))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    return mixing.mixed(_table(spark, sf_dir, "documents"), topics)
+
+
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -54,15 +69,19 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_files,
+        op2_license_scan,
         op3_suffix_dedup,
         op4_simhash_dedup,
         op5_line_dedup,
         op6_quality_rules,
         op7_decontamination,
+        op8_url_filter,
+        op9_mixing,
         op10_recompression_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
+    "op9_mixing": mixing.oracle_sql(),
 }
