@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from streetweave.plans import core  # noqa: F401
+from streetweave.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
