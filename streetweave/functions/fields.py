@@ -17,7 +17,7 @@ def finite(x: Column) -> Column:
 
 
 def normal_heading(x: Column) -> Column:
-    return F.pmod(finite(x), F.lit(360.0))
+    return F.pmod(finite(x), F.lit(360.0)) + F.lit(0.0)  # no negative nought
 
 
 def _number_and_unit(text: Column) -> tuple[Column, Column]:
