@@ -25,24 +25,24 @@ def _dataset():
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A row per image of every manifest; documents without an image list give none."""
-    docs = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    docs = spark.read.schema(MANIFEST).option("multiLine", multi_line).json(path)
     rows = docs.select(_dataset().alias("dataset"), F.explode("images").alias("i"))
     chosen = F.coalesce("i.selected_geometry", "i.computed_geometry", "i.geometry")
     return rows.where("i.id IS NOT NULL").select("dataset", F.col("i.id").alias("image_id"), chosen["coordinates"][0].alias("lon"), chosen["coordinates"][1].alias("lat"), "i.*").drop("id")
 
 
-def read_views(spark: SparkSession, path: str, version: int) -> DataFrame:
+def read_views(spark: SparkSession, path: str, version: int, multi_line: bool = True) -> DataFrame:
     """A row per building of every analysis of the wanted version."""
-    docs = spark.read.schema(ANALYSIS).option("multiLine", True).json(path).where(F.col("version") == version)
+    docs = spark.read.schema(ANALYSIS).option("multiLine", multi_line).json(path).where(F.col("version") == version)
     rows = docs.select(_dataset().alias("dataset"), "image_id", "width", "height", F.coalesce("image_quality.flags", F.array().cast("array<string>")).alias("flags"), F.explode("building_ids").alias("ordinal", "b"))
     return rows.select("dataset", "image_id", "width", "height", "flags", F.col("b.osm_id").alias("building_id"), "b.pixels", F.col("b.confidence").alias("coverage"), "b.osm_version")
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """building_id, provider, attribute, the prediction's fields and when its file changed."""
-    docs = spark.read.schema(PREDICTIONS).option("multiLine", True).json(path)
+    docs = spark.read.schema(PREDICTIONS).option("multiLine", multi_line).json(path)
     rows = docs.select(F.col("building.id").alias("building_id"), "provider", F.col("_metadata.file_modification_time").alias("modified_at"), F.explode("predictions").alias("attribute", "p"))
     return rows.select("building_id", "provider", "attribute", "modified_at", "p.*")
 
