@@ -100,8 +100,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """All documents, without the hit words and what separates them from the word after."""
-    found = hits(docs, benchmark, window).select("d1", "d2", _hit_words(F.col("spans")).alias("__gone"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["d1"]) & (F.xxhash64(docs["text"]) == found["d2"]), "left").drop("d1", "d2")
+    found = hits(docs, benchmark, window).select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), _hit_words(F.col("spans")).alias("__gone"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__d1"]) & (F.xxhash64(docs["text"]) == found["__d2"]), "left").drop("__d1", "__d2")
     # a marker before each word tells words and separators apart without a second pattern
     pieces = F.split(F.regexp_replace(F.col("text"), r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)", "\x01$1"), "\x01", -1)
     plain = F.instr(F.col("text"), "\x01") == 0

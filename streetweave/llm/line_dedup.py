@@ -106,10 +106,10 @@ def _dropped(docs: DataFrame, min_docs: int, batches: int) -> DataFrame:
 
 
 def _with_dropped(docs: DataFrame, min_docs: int, batches: int, columns: list[Column]) -> DataFrame:
-    dropped = _dropped(docs, min_docs, batches)
+    dropped = _dropped(docs, min_docs, batches).select(F.col("d1").alias("__f1"), F.col("d2").alias("__f2"), F.col("dropped").alias("__dropped"))
     own = docs.select(*columns, *[c.alias(f"__{n}") for c, n in zip(_document(docs), ("d1", "d2"), strict=True)])
-    joined = own.join(dropped, own["__d1"].eqNullSafe(dropped["d1"]) & (own["__d2"] == dropped["d2"]), "left")
-    return joined.drop("d1", "d2", "__d1", "__d2")
+    joined = own.join(dropped, own["__d1"].eqNullSafe(dropped["__f1"]) & (own["__d2"] == dropped["__f2"]), "left")
+    return joined.drop("__d1", "__d2", "__f1", "__f2")
 
 
 def _kept(text: Column, dropped: Column) -> Column:
@@ -121,7 +121,7 @@ def _kept(text: Column, dropped: Column) -> Column:
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
     """``docs`` with text free of the lines found in at least ``min_docs`` documents."""
     joined = _with_dropped(docs, min_docs, batches, [docs[c].alias(c) for c in docs.columns])
-    return joined.withColumn("text", _kept(F.col("text"), F.col("dropped"))).drop("dropped")
+    return joined.withColumn("text", _kept(F.col("text"), F.col("__dropped"))).drop("__dropped")
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
@@ -130,8 +130,8 @@ def line_digest(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFr
     return joined.select(
         "doc_id",
         F.size(text_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(_kept(F.col("text"), F.col("dropped")), 256).alias("kept_sha256"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(_kept(F.col("text"), F.col("__dropped")), 256).alias("kept_sha256"),
     )
 
 

@@ -7,9 +7,9 @@ equality. Rows of a variant meet in a partition, and are verified there against
 fingerprint.
 
 Equal fingerprints are merged first, so copies cost nothing. A variant that many fingerprints share
-is cut into blocks, and pairs of blocks are dealt to separate groups. A group reports its links
-up to a bounded number and beyond that a spanning forest of them: what is connected stays connected,
-and a group of n yields fewer than n rows.
+is cut into blocks, and pairs of blocks are dealt to separate groups. A small group reports its links
+one by one, a larger one ties each member to the first of those it is connected with by links inside
+the group: what is connected stays connected, and a group of n yields fewer than n rows.
 
 Null and blank texts have fingerprint zero and are linked like any other. Repeated rows and ties fall
 into one component. A null doc_id never names a component unless all its members are null. An empty
@@ -107,7 +107,7 @@ def _linked(a: np.ndarray, b: np.ndarray, bit: np.ndarray | int) -> np.ndarray:
 
 
 def _forest(prints: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links within a group."""
+    """For each tree that the links within a group form, edges from its first member to the others."""
     rest = np.arange(len(prints))
     roots, nodes = [], []
     while len(rest):
