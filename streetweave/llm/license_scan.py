@@ -18,6 +18,7 @@ empty results.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from streetweave.llm.shared import land
 
+_NO_PATH = "\x00"
 #: Least cosine of a match.
 LEAST = 0.6
 #: (licence, how it is named in headers or how its text begins), and words that are no terms.
@@ -73,6 +75,7 @@ def header_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST)
     """path, th, licence, cosine and whole (the text as a whole matches) of ``files`` (path, text) that
     have a licence of their own."""
     spark = files.sparkSession
+    files = files.select(F.coalesce("path", F.lit(_NO_PATH)).alias("path"), "text")  # null keys would fall out of the joins
     wanted = land(template_terms(spark, templates), "licence-terms")
     vocabulary = wanted.select("term").distinct()
     found = land(_found_terms(files, vocabulary).groupBy("path", "th", "pos", "size", "term").agg(F.count("*").alias("n")), "licence-found")
@@ -80,7 +83,7 @@ def header_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST)
     # in how many documents each term occurs; terms that no document has are as rare as can be
     counts = vocabulary.join(found.groupBy("term").agg(F.count_distinct("path", "th").alias("df")), "term", "left")
     idf = land(counts.select("term", F.round(F.log((n_files + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0, 9).alias("idf")), "licence-idf")
-    rarest = float(F_log(n_files))
+    rarest = math.log(n_files + 1.0) + 1.0
     weights = wanted.join(idf, "term").select("template", "licence", "term", (F.col("n") * F.col("idf")).alias("w"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = land(weights.join(norms, "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("w")), "licence-weights")
@@ -104,13 +107,7 @@ def header_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST)
     whole = matched(text.join(size, ["path", "th"]), ["path", "th"]).select("path", "th", F.struct("licence", "cosine").alias("w"))
     both = line.join(whole, ["path", "th"], "full")
     best = F.coalesce("w", "b")
-    return both.select("path", "th", best["licence"].alias("licence"), best["cosine"].alias("cosine"), F.col("w").isNotNull().alias("whole"))
-
-
-def F_log(n: int) -> float:
-    import math
-
-    return math.log(n + 1.0) + 1.0
+    return both.select(F.nullif(F.col("path"), F.lit(_NO_PATH)).alias("path"), "th", best["licence"].alias("licence"), best["cosine"].alias("cosine"), F.col("w").isNotNull().alias("whole"))
 
 
 def _descending(name: str) -> Column:
