@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from streetweave.llm.shared import freed_shuffles, new_path
 
-#: Ids in a segment before it is closed (a longer document has its own), and words in a task's memory.
-SEGMENT_IDS, MEMO_WORDS = 4 << 20, 500_000
+#: Ids in a segment before it is closed (a longer document has its own), and words that a Python worker remembers.
+SEGMENT_IDS, MEMO_WORDS = 4 << 20, 1_000_000
 _SEGMENTS = "shard int, seq int, n_docs long, n_null long, n_ids long, width int, ids binary, doc_ids binary, ends binary"
 _DOCS = "shard int, seq int, nth long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -99,8 +100,9 @@ class EliasFano:
 
 
 class _Encoder:
-    """Ids of whole texts. The tokenizer splits at white space before all else, so the ids of a text are
-    those of its words; each word is encoded once while it is remembered."""
+    """Ids of whole texts. The tokenizer lower-cases, splits at white space and parts letters from
+    punctuation before all else, so the ids of a text are those of its words; each word is encoded once
+    while it is remembered, in lower case and without a last punctuation mark after a letter or digit."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,18 +112,36 @@ class _Encoder:
         self.kind = np.dtype("<u2" if max(self._tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4")
         self._end = np.array([end_id], self.kind).tobytes()
         self._memo: dict[bytes, bytes] = {}
+        self._marks = frozenset(b".,;:!?")
+        self._plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def _encode(self, words: list[bytes]) -> None:
+        found = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        self._memo.update((w, np.array(f.ids, self.kind).tobytes()) for w, f in zip(words, found, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        new = words.difference(self._memo)
+        if len(self._memo) + len(new) > MEMO_WORDS:
+            self._memo.clear()
+            new = words
+        marked = [w for w in new if w[-1] in self._marks and len(w) > 1 and w[-2] in self._plain]
+        stems = {w[:-1] for w in marked} | {w[-1:] for w in marked}
+        self._encode(list((new.difference(marked) | stems).difference(self._memo)))
+        self._memo.update((w, self._memo[w[:-1]] + self._memo[w[-1:]]) for w in marked)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for raw in texts:
-            words = raw.split()
-            new = list(set(words).difference(self._memo))
-            if new:
-                if len(self._memo) + len(new) > MEMO_WORDS:
-                    self._memo.clear()
-                    new = list(set(words))
-                for word, found in zip(new, self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    self._memo[word] = np.array(found.ids, self.kind).tobytes()
-            yield b"".join(map(self._memo.__getitem__, words)) + self._end
+        for first in range(0, len(texts), 256):
+            some = [raw if b"<|" in raw else raw.lower() for raw in texts[first : first + 256]]  # special tokens have their own case
+            split = [raw.split() for raw in some]
+            self._learn(set().union(*split))
+            for words in split:
+                yield b"".join(map(self._memo.__getitem__, words)) + self._end
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> _Encoder:
+    """One for all tasks of a Python worker, so that what it remembers outlives a task."""
+    return _Encoder(path, end_id)
 
 
 def _segment(shard: int, seq: int, doc_ids: list[int | None], blobs: list[bytes], width: int) -> pa.RecordBatch:
@@ -142,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = _Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder, shard, seq = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         blobs: list[bytes] = []
         size = 0
