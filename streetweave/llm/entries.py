@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm import decontamination, license_scan, line_dedup, mixing, url_filter
+from streetweave.llm import decontamination, license_scan, line_dedup, mixing, recompression_dedup, url_filter
 from streetweave.llm.quality_rules import judged
 from streetweave.llm.recompression_dedup import remove_repeated_passages
 from streetweave.llm.simhash_dedup import labelled
@@ -81,7 +81,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
     "op9_mixing": mixing.oracle_sql(),
+    "op10_recompression_dedup": recompression_dedup.ORACLE_SQL,
 }

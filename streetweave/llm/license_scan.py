@@ -52,7 +52,7 @@ STOP_WORDS = ("a", "and", "any", "are", "in", "is", "of", "or", "the", "this", "
 def terms(text: Column) -> Column:
     """The words of a text: runs of letters, digits and what lies beyond ASCII, with . and - inside."""
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(F.regexp_replace(lowered, r"[.\-]+(?=[\x00-\x20]|$)", " "), r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+", -1), "")
+    return F.array_remove(F.split(F.regexp_replace(lowered, r"[.\-]+(?=[\x00-\x20]|\z)", " "), r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+", -1), "")
 
 
 def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -172,3 +172,56 @@ def document_paths(docs: DataFrame) -> DataFrame:
     folder = F.regexp_extract(fan, r"^(?:.*/)?", 0)
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), folder, number)
     return docs.select("doc_id", path.alias("path"), "text")
+
+
+def oracle_sql(templates=TEMPLATES, least: float = LEAST) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+    def words(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+        parts = f"regexp_split_to_array(regexp_replace({low}, '[.\\-]+([\\x00-\\x20]|$)', ' \\1', 'g'), '[\\x00-\\x2C\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+        return f"list_filter({parts}, lambda x: x <> '' AND x NOT IN ({stop}))"
+
+    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(templates))
+
+    def matched(vectors: str, keys: str, name: str) -> str:
+        on = " AND ".join(f"d.{k} = s.{k}" for k in keys.split(", "))
+        return f"""{name}_x AS (SELECT v.*, n * idf AS x FROM {vectors} v JOIN idf ON idf.term = v.term),
+{name}_s AS (SELECT {keys}, max(size) AS size, sum(n) AS known, sum(x * x) AS square FROM {name}_x GROUP BY {keys}),
+{name}_d AS (SELECT {keys}, template, licence, sum(x * w) AS dot FROM {name}_x JOIN wt ON wt.term = {name}_x.term GROUP BY {keys}, template, licence),
+{name} AS (SELECT * FROM (SELECT {", ".join("d." + k for k in keys.split(", "))}, licence,
+    round(dot / sqrt(square + (size - known) * rarest * rarest), 6) AS cosine FROM {name}_d d JOIN {name}_s s ON {on}, total)
+  WHERE cosine >= {least} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY cosine DESC, licence) = 1)"""
+
+    return f"""
+WITH t(template, licence, text) AS (VALUES {rows}),
+tt AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, unnest({words("text")}) AS term FROM t) GROUP BY ALL),
+files AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' ||
+  regexp_extract(regexp_replace(CAST(doc_id AS VARCHAR), '(.)', '\\1/', 'g'), '^(.*/)?./$', 1) || CAST(doc_id AS VARCHAR) AS path FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM files)),
+lt AS (SELECT doc_id, pos, len(ws) AS size, unnest(ws) AS term FROM (SELECT doc_id, pos, {words("line")} AS ws FROM l)),
+found AS (SELECT doc_id, pos, size, term, count(*) AS n FROM lt WHERE term IN (SELECT term FROM tt) GROUP BY ALL),
+total AS (SELECT count(*) AS files, ln(count(*) + 1.0) + 1.0 AS rarest FROM files),
+idf AS (SELECT v.term, round(ln((files + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0, 9) AS idf
+  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM found GROUP BY term) f ON f.term = v.term, total),
+wn AS (SELECT template, sqrt(sum(n * idf * n * idf)) AS norm FROM tt JOIN idf ON idf.term = tt.term GROUP BY template),
+wt AS (SELECT tt.template, licence, tt.term, n * idf / norm AS w FROM tt JOIN idf ON idf.term = tt.term JOIN wn ON wn.template = tt.template),
+{matched("found", "doc_id, pos", "per_line")},
+line AS (SELECT doc_id, licence, cosine FROM per_line QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+texts AS (SELECT f.doc_id, term, size, sum(n) AS n FROM (SELECT doc_id, term, n FROM found) f
+  JOIN (SELECT doc_id, len({words("replace(text, chr(10), ' ')")}) AS size FROM files) z ON z.doc_id = f.doc_id GROUP BY ALL),
+{matched("texts", "doc_id", "whole")},
+own AS (SELECT files.doc_id, path, coalesce(whole.licence, line.licence) AS licence, coalesce(whole.cosine, line.cosine) AS cosine, whole.doc_id IS NOT NULL AS whole
+  FROM files LEFT JOIN line ON line.doc_id = files.doc_id LEFT JOIN whole ON whole.doc_id = files.doc_id),
+dirs AS (SELECT * FROM (SELECT regexp_extract(path, '^(.*/)?', 0) AS dir, CASE
+    WHEN bool_or(whole) THEN CASE WHEN min(licence) FILTER (whole) = max(licence) FILTER (whole) THEN min(licence) FILTER (whole) END
+    WHEN min(licence) = max(licence) THEN min(licence) END AS dir_licence FROM own WHERE licence IS NOT NULL GROUP BY 1) WHERE dir_licence IS NOT NULL),
+up AS (SELECT doc_id, dir, dir_licence FROM (
+    SELECT doc_id, CASE WHEN i = 0 THEN '' ELSE array_to_string(parts[1:i], '/') || '/' END AS anc
+    FROM (SELECT doc_id, string_split(path, '/') AS parts, unnest(range(len(string_split(path, '/')))) AS i FROM own)) JOIN dirs ON dir = anc
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) = 1)
+SELECT own.doc_id, path, coalesce(licence, dir_licence) AS licence, cosine,
+  CASE WHEN licence IS NOT NULL THEN CASE WHEN whole THEN 'file' ELSE 'header' END WHEN dir_licence IS NOT NULL THEN 'inherited' END AS found,
+  CASE WHEN licence IS NULL THEN dir END AS licence_dir
+FROM own LEFT JOIN up ON up.doc_id = own.doc_id
+"""

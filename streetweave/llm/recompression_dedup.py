@@ -204,3 +204,18 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, digest: bool = F
     symbols = answered(blocks.mapInArrow(name, KEYS), _found_again, "passage-symbols").withColumn("round", F.lit(1))
     windows = answered(with_marks(blocks, symbols, reveal, KEYS), _found_earlier, "passage-windows").withColumn("round", F.lit(2))
     return with_marks(blocks, symbols.union(windows), cut, _DIGEST if digest else _TEXTS)
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN f ON f.h = win.h WHERE m < doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (
+  SELECT e.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS kept
+  FROM e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

@@ -502,7 +502,7 @@ def test_cosines_equal_plain_arithmetic(spark):
 # SQL
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op7_decontamination", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op5_line_dedup", "op7_decontamination", "op9_mixing", "op10_recompression_dedup"])
 def test_queries_equal_sql(spark, name):
     from streetweave.llm.entries import ORACLES, QUERIES
 
