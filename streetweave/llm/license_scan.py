@@ -4,7 +4,9 @@ Every line of a text is a header that may name a licence, and the text as a whol
 file. Both become sparse vectors over the templates' terms: term counts times the terms' inverse
 document frequency, counted over all documents. Words that no template has are kept as a number, so
 that they lengthen the vector without a place in it. The template with the largest cosine is the
-licence, from ``least`` on; ties go to the smaller name.
+licence, from ``least`` on; ties go to the smaller name. Terms that no document has weigh more the more
+documents there are, so a line that lacks terms of a template may fall below ``least`` in a larger
+corpus; a line with just the terms of a template has cosine 1 in any.
 
 A directory has the licence of the licence files in it, else that of its files' headers, where these
 agree. A file without a licence of its own takes that of the nearest directory above it that has one:
@@ -44,6 +46,7 @@ TEMPLATES = (
     ("MIT", "released under the mit license"),
     ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("MPL-2.0", "subject to the terms of the mozilla public license version 2.0"),
+    ("Proprietary", "all rights reserved"),
     ("Proprietary", "all rights reserved proprietary and confidential"),
 )
 STOP_WORDS = ("a", "and", "any", "are", "in", "is", "of", "or", "the", "this", "to", "under", "with", "without", "work")

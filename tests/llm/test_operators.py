@@ -499,6 +499,19 @@ def test_cosines_equal_plain_arithmetic(spark):
     assert {i: (n, k[1]) for i, (k, n) in best.items()} == {i: (n, pytest.approx(c, abs=2e-6)) for i, (n, c) in got.items()} and got
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_planted_licence_lines_are_found_at_any_size(spark, sf):
+    names = {
+        "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    files = license_scan.document_paths(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+    line = F.explode(F.split("text", "\n", -1))
+    planted = {(r.doc_id, names[r.line]) for r in files.select("doc_id", line.alias("line")).where(F.col("line").isin(*names)).collect()}
+    own = {(r.doc_id, r.licence) for r in license_scan.scanned(files).where("found IN ('header', 'file')").collect()}
+    assert planted and planted <= own
+
+
 # SQL
 
 
