@@ -309,3 +309,47 @@ def test_rows_do_not_depend_on_partitions(spark):
         shuffled = df.repartition(n, F.rand(n))
         runs.append((sorted(map(tuple, views.building_rows(views.collect_views(shuffled)).collect())), sorted(map(tuple, views.ranked_views(shuffled).select("building_id", "image_id", "rank").collect()))))
     assert runs[0] == runs[1]
+
+
+def test_pose_scores_equal_brute_force(spark):
+    width, height, camera = 72, 36, 1.7
+    rng = random.Random(7)
+    scenes = {f"i{k}": [(f"b{j}", *[rng.uniform(-25, 25) for _ in range(4)], rng.uniform(4, 14)) for j in range(3)] for k in range(4)}
+    candidates = walls.pose_candidates(spark)
+    poses = [tuple(c) for c in candidates.collect()]
+
+    def cells(facades, dx=0.0, dy=0.0):
+        out = set()
+        for _, x1, y1, x2, y2, top_m in facades:
+            x1, y1, x2, y2 = x1 - dx, y1 - dy, x2 - dx, y2 - dy
+            for col in range(width):
+                a = math.radians((col + 0.5) * 360 / width)
+                u, v = math.sin(a), math.cos(a)
+                cross = u * (y2 - y1) - v * (x2 - x1)
+                t, s = (x1 * (y2 - y1) - y1 * (x2 - x1)) / cross, (x1 * v - y1 * u) / cross
+                if t <= 0.25 or not 0 <= s <= 1:
+                    continue
+                row = [math.floor((0.5 - math.atan2(h, t) / math.pi) * height) for h in (top_m - camera, -camera)]
+                out |= {(r, col) for r in range(max(0, row[0]), min(height - 1, row[1]) + 1)}
+        return out
+
+    seen = {i: cells(f, -2.0) for i, f in scenes.items()}
+    want = {}
+    for i, f in scenes.items():
+        for k, dx, dy, turn in poses:
+            shift = round(turn / 360 * width)
+            got = {(r, (c - shift) % width) for r, c in cells(f, dx, dy)}
+            if got:
+                want[i, k] = len(got & seen[i]) / len(got | seen[i])
+    facades = spark.createDataFrame([(i, *w) for i, f in scenes.items() for w in f], "image_id string, building_id string, x1 double, y1 double, x2 double, y2 double, top_m double")
+    observed = spark.createDataFrame([(i, r, c) for i, s in seen.items() for r, c in s], "image_id string, row int, col int")
+    scores = {(r.image_id, r.candidate): r.score for r in walls.pose_scores(observed, facades, candidates, width, height).collect()}
+    assert scores == pytest.approx(want, abs=1e-12) and len(want) == 4 * 27
+
+
+def test_every_scene_is_scored(spark):
+    from streetweave.plans.catalogue import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    ids = lambda name: {r.image_id for r in QUERIES[name](spark, folder).select("image_id").distinct().collect()}
+    assert ids("G7") == ids("G4")
