@@ -29,6 +29,7 @@ from pyspark.sql.functions import arrow_udf
 
 from streetweave.llm.components import components
 from streetweave.llm.shared import land
+from streetweave.llm.shingle_sets import banded, jaccard_links
 
 BITS, DISTANCE = 64, 4
 #: (first bit, bits) of the segments: fewer than DISTANCE + 1, so that one differs by one bit at most.
@@ -169,12 +170,21 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, least_jaccard: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, classes): each document's doc_id and fingerprint ``fp``, and for each fingerprint
-    the least doc_id that has it, ``first_id``, and the least of its component, ``component_id``."""
-    prints = land(docs.select("doc_id", fingerprint(docs["text"]).alias("fp")), "simhash-prints")
+    the least doc_id that has it, ``first_id``, and the least of its component, ``component_id``. With
+    ``least_jaccard``, documents whose shingle sets are that similar are linked too, however far apart
+    their fingerprints are."""
+    if least_jaccard is None:
+        prints = land(docs.select("doc_id", fingerprint(docs["text"], words_per_shingle).alias("fp")), "simhash-prints")
+    else:
+        made = banded(docs, words_per_shingle, _fingerprint)
+        prints = made.select("doc_id", "fp")
     firsts = land(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
-    roots = components(links(firsts), "simhash-links")
+    edges = links(firsts)
+    if least_jaccard is not None:
+        edges = edges.union(jaccard_links(docs.select("text"), made, words_per_shingle, least_jaccard, _grouped))
+    roots = components(edges, "simhash-links")
     with_root = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints, with_root.join(least, "root").select("fp", "first_id", "component_id", "root")
@@ -187,13 +197,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words_per_shingle: int = 4, least_jaccard: float | None = None) -> DataFrame:
     """One document of each component with all its columns: that of the least doc_id."""
-    _, classes = near_duplicates(docs)
+    _, classes = near_duplicates(docs, words_per_shingle, least_jaccard)
     # a component is kept by its first fingerprint: the one whose least doc_id names the component
     kept = classes.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "first_id")).alias("k"))
     kept = land(kept.select(F.col("k.fp").alias("__fp"), F.col("k.first_id").alias("__id")), "simhash-kept")
-    own = docs.withColumn("__own", fingerprint(docs["text"]))
+    own = docs.withColumn("__own", fingerprint(docs["text"], words_per_shingle))
     found = own.join(kept, (own["__own"] == kept["__fp"]) & own["doc_id"].eqNullSafe(kept["__id"]))
     # several rows may share both doc_id and fingerprint
     order = F.row_number().over(Window.partitionBy("__own", "__id").orderBy("text"))

@@ -173,6 +173,34 @@ def test_links_connect_what_is_near(spark, monkeypatch, group, small):
     assert all(len(v) == 1 for v in sides.values()) and len({min(v) for v in sides.values()}) == len(sides)
 
 
+@pytest.mark.parametrize("group", [2048, 5])
+def test_similar_shingle_sets_are_linked(spark, monkeypatch, group):
+    """Chains of edits, so that buckets hold members that are similar to some of the others only."""
+    monkeypatch.setattr(simhash_dedup, "GROUP", group)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(9):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(1, 3 + len(words) // 60)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    texts += ["", None, "one", "one two", "ONE  two"]
+
+    def shingles(t):
+        w = raw(t).lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, prints = [shingles(t) for t in texts], [simhash_dedup._fingerprint(raw(t), 5, 42) & (1 << 64) - 1 for t in texts]
+    similar = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if similar(i, j) and (prints[i] ^ prints[j]).bit_count() > 5]
+    roots = brute_components(range(len(texts)), lambda i, j: similar(i, j) or (prints[i] ^ prints[j]).bit_count() <= 4)
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    kept = simhash_dedup.keep_one(docs, words_per_shingle=5, least_jaccard=0.8)
+    assert far and kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(roots.values())
+    assert simhash_dedup.keep_one(empty(spark), 5, 0.8).collect() == []
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(5, 5), (100, 101), (101, 100)], "u long, v long")
