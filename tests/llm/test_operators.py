@@ -57,13 +57,15 @@ def test_elias_fano_is_small():
     assert len(token_files.EliasFano.encode(values)) * 8 < 50_000 * (2 + math.log2((1 << 24) / 50_000) + 1)
 
 
-def test_token_files_hold_the_ids_of_whole_texts(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_hold_the_ids_of_whole_texts(spark, name):
     from tokenizers import Tokenizer
 
-    odd = [(900, "don't. CAN'T? <|endoftext|>, <|ENDOFTEXT|> y?! İ. Å. ½.", "en", "s", 1), (901, "a\u0301. é, ''ll", "en", "s", 1)]
+    tokenizer = public_tokenizers.path(name)
+    odd = [(902, "Hello World, the Cat sat.\nTwo lines", "en", "s", 1), (900, "don't. CAN'T? <|endoftext|>, <|ENDOFTEXT|> y?! İ. Å. ½.", "en", "s", 1), (901, "a\u0301. é, ''ll", "en", "s", 1)]
     docs = table(spark, [*documents(), *odd])
-    got = token_files.encoded(docs, TOKENIZER)
-    t = Tokenizer.from_file(TOKENIZER)
+    got = token_files.encoded(docs, tokenizer)
+    t = Tokenizer.from_file(tokenizer)
     rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda r: -1 if r[0] is None else r[0])
     ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in rows]
     want = [(i, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for (i, _), x in zip(rows, ids, strict=True)]
@@ -80,6 +82,19 @@ def test_token_files_can_give_the_ids(spark, tmp_path):
     assert rows[2].ids == [49407] and rows[1].ids[-1] == 49407 and rows[2].start == rows[1].n_tokens
 
 
+def test_token_files_give_single_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 300)
+    monkeypatch.setattr(token_files, "LOOKUP", 4)
+    docs, path = table(spark), str(tmp_path / "t")
+    token_files.write_token_files(docs, path, TOKENIZER)
+    rows = sorted(token_files.read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    wanted = [0, 3, 3, 7, 11, 29, len(rows) - 1, len(rows), -1]
+    found = token_files.documents_at(spark, path, spark.createDataFrame([(k,) for k in wanted], "position long"))
+    got = sorted((r.position, r.start, r.ids) for r in found.collect())
+    assert got == [(k, rows[k].start, rows[k].ids) for k in sorted(set(wanted)) if 0 <= k < len(rows)]
+    assert spark.read.parquet(f"{path}/segments").count() > 5
+
+
 def test_empty_token_files(spark):
     assert token_files.encoded(empty(spark), TOKENIZER).collect() == []
 
