@@ -1,33 +1,42 @@
-"""Texts packed into blocks, and a distributed "which keys occur again" over them.
+"""Texts packed into blocks, and Spark rounds in which blocks ask buckets about their keys.
 
 The repeat operators look at almost every position of a corpus. One Spark row per position would
 be many times the size of the text, so whole documents are packed into blocks of a few MB, each
 task works on arrays inside its block, and only keys travel: a block sends each bucket one row
-with its keys, the bucket answers with one bit per key, and the block finds its positions again
-from the order in which it sent them. No position, document or text is ever shuffled for it.
+with its distinct keys, a bucket sees a key of all blocks together, and answers each block in one row.
+
+Blocks, and what blocks keep between rounds, are landed as tables bucketed by ``block_id``. So the
+text is exchanged once, when it is packed; later rounds exchange keys and answers only, and a block
+meets its answers in the task that reads it. A key that many documents share costs one entry per
+block. The number of buckets, and of partitions, grows with the corpus and has no cap but Spark's own
+for bucketed tables (``spark.sql.sources.bucketing.maxBuckets``), beyond which a partition holds more
+blocks, which are still worked on one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import io
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import land
+from streetweave.llm.shared import discard, land, land_bucketed
 
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
-#: Bytes of text for each bucket of keys, and the most buckets.
-BUCKET_BYTES, MAX_BUCKETS = 8 << 20, 4096
+#: Bytes of text in a block (a longer document is a block of its own), for each bucket of keys, and for each partition.
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 2 << 20, 8 << 20, 16 << 20
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
-BLOCKS = "block_id long, n_bytes long, payload binary"
-KEYS = "bucket int, block_id long, keys binary"
-MARKS = "block_id long, bucket int, bits binary"
+#: What a round makes: keys for a bucket, or with bucket -1 what the block keeps.
+ROWS = "kind int, block_id long, bucket int, data binary"
+ANSWERS = "block_id long, bucket int, data binary"
+KEEP, ASK = 0, 1
+Row = tuple[int, int, bytes]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,10 +46,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
             out.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], schema=_SCHEMA))
-        return pa.record_batch(
-            [pa.array([(task << 32) | seq], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-            names=["block_id", "n_bytes", "payload"],
-        )
+        return pa.record_batch([pa.array([(task << 32) | seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block_id", "data"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -68,103 +74,173 @@ class Block:
         self.starts, self.ends = at[:-1] - at[0], at[1:] - at[0]
         self.n = len(self.bytes)
 
+    def texts(self) -> list[bytes]:
+        raw = self.bytes.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
-def pack(docs: DataFrame, name: str) -> DataFrame:
+
+@dataclass(frozen=True)
+class Blocks:
+    """The landed blocks, and how many partitions and buckets the corpus has."""
+
+    table: DataFrame
+    name: str
+    n_parts: int
+    n_buckets: int
+
+
+def pack(docs: DataFrame, name: str) -> Blocks:
     """``docs`` (doc_id, text) as landed blocks. A null text counts as empty."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return land(rows.mapInArrow(_pack, BLOCKS), name, compression="uncompressed")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n_parts = min(most, max(least, total // PART_BYTES + 1))
+    packed = rows.mapInArrow(_pack, "block_id long, data binary").repartition(n_parts, "block_id")
+    return Blocks(land_bucketed(packed, name, n_parts, "block_id"), name, n_parts, max(least, total // BUCKET_BYTES + 1))
 
 
-def bucket_count(blocks: DataFrame) -> int:
-    """Buckets for a corpus of this size."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(MAX_BUCKETS, max(least, total // BUCKET_BYTES + 1)))
+def packed_arrays(**arrays: np.ndarray) -> bytes:
+    sink = io.BytesIO()
+    np.savez(sink, **arrays)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def unpacked_arrays(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(zstandard.decompress(data))))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values, so that any of their bits can serve as a bucket."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+def _table(block_id: int, rows: Iterable[Row]) -> pa.Table:
+    made = list(rows)
+    return pa.table(
+        {
+            "kind": pa.array([k for k, _, _ in made], pa.int32()),
+            "block_id": pa.array([block_id] * len(made), pa.int64()),
+            "bucket": pa.array([b for _, b, _ in made], pa.int32()),
+            "data": pa.array([d for _, _, d in made], pa.binary()),
+        }
+    )
 
 
-class Rolling:
-    """Hashes of any window of a sequence of 64-bit symbols, from one pass over it."""
+class Rounds:
+    """What the blocks of a corpus keep and ask, round after round; earlier rounds are removed."""
 
-    def __init__(self, symbols: np.ndarray, base: int):
-        n = len(symbols)
-        self._inverse = powers(pow(base, -1, 1 << 64), n + 1)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * powers(base, n)[:n], out=self._sums[1:])
+    def __init__(self, blocks: Blocks):
+        self.blocks, self.spark = blocks, blocks.table.sparkSession
+        self._kept: DataFrame | None = None
+        self._asked: DataFrame | None = None
+        self._answers: DataFrame | None = None
 
-    def windows(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+    def _land(self, rows: DataFrame) -> None:
+        old = self._kept
+        landed = land_bucketed(rows, f"{self.blocks.name}-round", self.blocks.n_parts, "block_id", "kind")
+        for done in (old, self._answers):
+            if done is not None:
+                discard(done)
+        self._kept, self._answers, self._asked = landed, None, landed.where(F.col("kind") == ASK)
 
+    def begin(self, work: Callable[[Block], Iterable[Row]]) -> None:
+        """``work(block)`` gives what a block keeps and asks first."""
 
-def dealt(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that groups the hashes by bucket, and where each bucket begins in it."""
-    bucket = ((hashes >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24)
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block_id, data in zip(batch["block_id"].to_pylist(), batch["data"], strict=True):
+                    yield from _table(block_id, work(Block(data.as_py()))).to_batches()
 
+        self._land(self.blocks.table.mapInArrow(each, ROWS))
 
-def key_rows(block_id: int, hashes: np.ndarray, keys: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that gets keys of this block: the arrays of ``keys``, end to end."""
-    order, at = dealt(hashes, n_buckets)
-    own = np.flatnonzero(np.diff(at))
-    arrays = [k[order] for k in keys]
-    return pa.record_batch(
-        [
-            pa.array(own, pa.int32()),
-            pa.array(np.full(len(own), block_id), pa.int64()),
-            pa.array([b"".join(a[at[b] : at[b + 1]].tobytes() for a in arrays) for b in own], pa.binary()),
-        ],
-        names=["bucket", "block_id", "keys"],
-    )
+    def answer(self, judge: Callable[[int, list[bytes]], list[bytes | None]]) -> bool:
+        """``judge(bucket, what each block asks of it)`` gives an answer for each, or none. False if nothing is asked."""
+        if self._asked.isEmpty():
+            return False
+
+        def bucket(table: pa.Table) -> pa.Table:
+            table = table.sort_by("block_id")
+            found = judge(table["bucket"][0].as_py(), table["data"].to_pylist())
+            some = [k for k, x in enumerate(found) if x]
+            return pa.table(
+                {
+                    "block_id": table["block_id"].take(pa.array(some, pa.int64())),
+                    "bucket": table["bucket"].take(pa.array(some, pa.int64())),
+                    "data": pa.array([found[k] for k in some], pa.binary()),
+                }
+            )
+
+        asked = self._asked.select("bucket", "block_id", "data")
+        self._answers = land(asked.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"{self.blocks.name}-answers")
+        return True
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], ANSWERS)
+
+    def go_on(self, work: Callable[[bytes, dict[int, bytes]], Iterable[Row]]) -> None:
+        """``work(kept, answers by bucket)`` gives what a block keeps and asks next."""
+
+        def pair(kept: pa.Table, answers: pa.Table) -> pa.Table:
+            told = dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True))
+            made = [_table(i, work(d.as_py(), told)) for i, d in zip(kept["block_id"].to_pylist(), kept["data"], strict=True)]
+            return pa.concat_tables(made) if made else _table(0, [])
+
+        kept = self._kept.where(F.col("kind") == KEEP).select("block_id", "data")
+        answers = self._empty() if self._answers is None else self._answers
+        self._land(kept.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(pair, ROWS))
+
+    def end(self, work: Callable[[Block, bytes | None], pa.Table], schema: str) -> DataFrame:
+        """``work(block, kept)`` for every block, with the last that it has kept."""
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            kept = right["data"][0].as_py() if len(right) else None
+            return pa.concat_tables([work(Block(data.as_py()), kept) for data in left["data"]])
+
+        kept = self._kept.where(F.col("kind") == KEEP).select("block_id", "data")
+        return self.blocks.table.groupBy("block_id").cogroup(kept.groupBy("block_id")).applyInArrow(pair, schema)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values, so that any of their bits can serve as a bucket."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def marked(hashes: np.ndarray, n_buckets: int, marks: pa.Table, planes: int = 1) -> np.ndarray:
-    """Which of a block's hashes the buckets have marked: an array for each plane of marks."""
-    order, at = dealt(hashes, n_buckets)
-    out = np.zeros((planes, len(hashes)), bool)
-    for b, bits in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True):
-        own = order[at[b] : at[b + 1]]
-        out[:, own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=planes * len(own)).reshape(planes, -1)
-    return out
+def hash_of(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of some 64-bit columns."""
+    h = mixed(columns[0].view(np.uint64))
+    for c in columns[1:]:
+        h = mixed((h << np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + mixed(c.view(np.uint64)))
+    return h
 
 
-def answered(keys: DataFrame, judge: Callable[[list[bytes]], list[np.ndarray]], name: str) -> DataFrame:
-    """Let each bucket judge its keys: ``judge`` gets the blobs of a bucket, in the order of their
-    blocks, and gives for each blob an array of marks (planes x keys). Without a mark, no row."""
+def classes(columns: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the class of each row, the first row of each class): equal rows, told by all their columns; the
+    hash only brings them together."""
+    order = np.argsort(hashes, kind="stable")
 
-    def bucket(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block_id")
-        verdicts = judge(table["keys"].to_pylist())
-        some = [k for k, v in enumerate(verdicts) if v.any()]
-        return pa.table(
-            {
-                "block_id": table["block_id"].take(pa.array(some, pa.int64())),
-                "bucket": table["bucket"].take(pa.array(some, pa.int64())),
-                "bits": pa.array([np.packbits(verdicts[k]).tobytes() for k in some], pa.binary()),
-            }
-        )
+    def new(order: np.ndarray, by: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        out[:1] = True
+        for c in by:
+            own = c[order]
+            out[1:] |= own[1:] != own[:-1]
+        return out
 
-    return land(keys.groupBy("bucket").applyInArrow(bucket, MARKS), name)
+    begins = new(order, columns)
+    if begins.sum() != new(order, [hashes]).sum():  # rows with one hash that differ
+        order = np.lexsort([*columns, hashes])
+        begins = new(order, columns)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(begins) - 1
+    return of, order[begins]
 
 
-def with_marks(blocks: DataFrame, marks: DataFrame, work: Callable[[int, Block, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work(block_id, block, marks of the block)`` for every block."""
+def buckets_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = zip(left["block_id"].to_pylist(), left["payload"], strict=True)
-        return pa.Table.from_batches([work(block_id, Block(payload.as_py()), right) for block_id, payload in rows])
 
-    return blocks.groupBy("block_id").cogroup(marks.groupBy("block_id")).applyInArrow(pair, schema)
+def by_bucket(hashes: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, the rows that go there), for the buckets that get any."""
+    bucket = buckets_of(hashes, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        yield int(bucket[own[0]]), own

@@ -1,209 +1,388 @@
 """Removal of word passages that an earlier document holds too, found by recompression.
 
-Recompression shortens a sequence in rounds: each names the maximal runs of equal symbols, then the
-adjacent pairs whose first symbol falls in one half of the alphabet and whose second in the other.
-The names are fingerprints of what they stand for and the half is a bit of the name, so all tasks of
-a Spark round name alike without asking one another, and equal passages get equal symbols except
-near their ends.
-
-How near is bounded. In a round with cap C (no symbol over C words is made) a symbol depends on at
-most C words of a run and the next symbol at either side, and on one more neighbour for the pair. So
-after the rounds with caps c1, c2, ... a symbol boundary inside a passage depends on no more than
-``sum(2 * c + previous c)`` words around it. The rounds are the longest prefix of 2, 2, 4, 4, 8, ...
-for which a passage of ``window`` words is sure to hold a boundary out of its ends' reach:
-
-1. *Name.* Blocks run the rounds over their documents. Each symbol left is named by the words from
-   its beginning on, as many as surely stay within the passage; buckets mark the names found again.
-2. *Reveal.* Windows with a marked symbol inside may repeat. They get the name of all their words;
-   buckets compare these and mark the windows that a smaller doc_id has.
-3. *Cut.* Blocks drop the words that marked windows cover.
-
-A long run of one word makes no large symbol; its words stay symbols of their own, each a boundary.
+Recompression shortens sequences in Spark rounds. A round names the maximal runs of equal symbols and
+the adjacent pairs whose first symbol falls in one half of the alphabet and whose second in the other.
+Names are global: blocks send their distinct runs and pairs to buckets, a bucket sees each of them from
+all blocks and numbers those that occur twice or more. So equal substrings get equal symbols, except
+near their ends, and unequal ones never do, because a name stands for one content and nothing is
+judged by a fingerprint. A run or pair that occurs once in the corpus gets no name; it parts what
+stands left of it from what stands right.
+
+How near the ends is followed exactly: each symbol carries the stretch of words that it depends on (its
+own, and those of the neighbours that decided how it was cut). A passage that occurs twice holds, with
+every symbol whose stretch lies inside it, that symbol twice. Therefore:
+
+1. *Name the words.* Every passage with a word that occurs once is out.
+2. *Recompress.* After each round every passage that holds the stretch of an unnamed symbol is out, and
+   words that no passage left covers become separators, so rounds get cheap where nothing repeats.
+   Symbols that depend on more words than a passage has, or on what lies beyond the document, tell
+   nothing and become separators too. The rounds end when no symbol is left, or after ``ROUNDS``: high
+   symbols have revealed where long repeats may be, and further rounds would only save work below.
+3. *Verify.* What is left is named by the same rounds up to the whole passage: strings of 4 words by
+   their words, of 16 by four of 4, and so on. In the last round the buckets tell the least doc_id of
+   each passage.
+4. *Cut.* Blocks drop the words of passages that a smaller doc_id has.
 
 Null texts have no words. A null doc_id counts as larger than all others; rows that share a doc_id
-don't remove each other. Documents shorter than the window lose nothing; empty tables stay empty.
+don't remove each other. Documents shorter than the window lose nothing; empty tables stay empty. A
+document is worked on whole within a task, at some 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from streetweave.llm.blocks import KEYS, Block, Rolling, answered, bucket_count, key_rows, marked, mixed, pack, with_marks
+from streetweave.llm.blocks import ASK, KEEP, Block, Rounds, Row, by_bucket, classes, hash_of, mixed, pack, packed_arrays, unpacked_arrays
 
-_BASE, _BASE_2 = 0x2127599BF4325C37, 0x9FB21C651E98DF25
+#: Rounds of recompression at most, and how many names the next longer string is made of.
+ROUNDS, STRIDE = 5, 4
 _LAST = np.iinfo(np.int64).max
 _TEXTS = "doc_id long, n_words long, n_removed long, text string"
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+State = dict[str, np.ndarray]
 
 
-def rounds(window: int) -> tuple[list[int], int]:
-    """(caps, reach): the rounds for passages of ``window`` words, and how far a boundary depends on
-    the words around it."""
-    caps: list[int] = []
-    reach, before = 0, 1
-    for cap in (2 << (k // 2) for k in range(60)):
-        further = reach + 2 * cap + before
-        if 2 * further + 2 * cap - 1 > window:
-            break
-        caps, reach, before = [*caps, cap], further, cap
-    return caps, reach
-
-
-class _Words:
-    """The words of a block as symbols."""
-
-    def __init__(self, block: Block, window: int):
-        self.window = window
-        white = np.zeros(256, bool)
-        white[[0x20, *range(0x09, 0x0E)]] = True
-        gap = np.ones(block.n + 1, bool)  # the last entry closes a word at the very end
-        gap[:-1] = white[block.bytes]
-        begins = ~gap[:-1]
-        begins[1:] &= gap[:-2]
-        heads = block.starts[block.ends > block.starts]
-        begins[heads] = ~gap[heads]
-        ends = ~gap[:-1] & gap[1:]
-        tails = block.ends[block.ends > block.starts] - 1
-        ends[tails] = ~gap[tails]
-        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.symbols = Rolling(block.bytes.astype(np.uint64) + np.uint64(1), _BASE).windows(first, last)
-        self.doc = np.searchsorted(block.starts, first, "right") - 1
-        # empty documents share their start with the next one, which is the one with words
-        self.doc_ends = np.searchsorted(first, block.ends)
-        self.doc_starts = np.searchsorted(first, block.starts)
-        self.left = self.doc_ends[self.doc] - np.arange(len(first))
-        self.rolling = Rolling(self.symbols, _BASE_2)
-        ids = np.array([_LAST if i is None else i for i in block.doc_ids], np.int64)
-        self.doc_ids = ids[self.doc] if len(ids) else np.zeros(0, np.int64)
-
-    def boundaries(self) -> np.ndarray:
-        """Where the symbols begin that the rounds leave."""
-        sym, size, at = self.symbols, np.ones(len(self.symbols), np.int64), np.arange(len(self.symbols))
-        for turn, cap in enumerate(rounds(self.window)[0]):
-            # runs
-            joined = (sym[1:] == sym[:-1]) & (self.doc[at[1:]] == self.doc[at[:-1]])
-            head = np.flatnonzero(np.concatenate([[True], ~joined])) if len(sym) else np.zeros(0, np.int64)
-            count = np.diff(np.append(head, len(sym)))
-            small = (count > 1) & (count * size[head] <= cap)
-            keep = np.ones(len(sym), bool)
-            keep[1:] = ~joined | ~np.repeat(small, count)[1:]
-            sym, size = sym.copy(), size.copy()
-            sym[head[small]] = mixed(sym[head[small]] + count[small].astype(np.uint64) * np.uint64(_BASE))
-            size[head[small]] *= count[small]
-            sym, size, at = sym[keep], size[keep], at[keep]
-            # pairs
-            left = (mixed(sym + np.uint64(turn + 1)) & np.uint64(1)).astype(bool)
-            pair = left[:-1] & ~left[1:] & (self.doc[at[1:]] == self.doc[at[:-1]]) & (size[:-1] + size[1:] <= cap)
-            a = np.flatnonzero(pair)
-            sym[a] = mixed(sym[a] * np.uint64(_BASE_2) + mixed(sym[a + 1]))
-            size[a] += size[a + 1]
-            keep = np.ones(len(sym), bool)
-            keep[a + 1] = False
-            sym, size, at = sym[keep], size[keep], at[keep]
-        return at
-
-    def symbol_names(self) -> tuple[np.ndarray, np.ndarray]:
-        """(where, name) of the symbols with enough words of their document after them."""
-        caps, reach = rounds(self.window)
-        depth = self.window - reach - (caps[-1] if caps else 0)
-        at = self.boundaries()
-        at = at[self.left[at] >= depth]
-        return at, self.rolling.windows(at, at + depth)
-
-    def revealed(self, at: np.ndarray) -> np.ndarray:
-        """The whole windows in which a symbol of ``at`` begins out of the start's reach."""
-        caps, reach = rounds(self.window)
-        count = np.zeros(len(self.symbols) + 1, np.int32)
-        np.add.at(count, np.maximum(at - reach - (caps[-1] if caps else 0), 0), 1)
-        np.add.at(count, np.maximum(at - reach + 1, 0), -1)
-        return np.flatnonzero((np.cumsum(count[:-1]) > 0) & (self.left >= self.window))
-
-    def window_names(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.windows(starts, starts + self.window)
-
-
-def _found_again(blobs: list[bytes]) -> list[np.ndarray]:
-    keys = np.frombuffer(b"".join(blobs), np.uint32)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros((1, len(keys)), bool)
-    out[0, order[1:]] |= same
-    out[0, order[:-1]] |= same
-    return np.split(out, np.cumsum([len(b) // 4 for b in blobs])[:-1], axis=1)
-
-
-def _found_earlier(blobs: list[bytes]) -> list[np.ndarray]:
-    """A blob holds the names and then, as many, the doc_ids."""
-    sizes = [len(b) // 16 for b in blobs]
-    names = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes, strict=True)])
-    docs = np.concatenate([np.frombuffer(b, np.int64, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
-    order = np.lexsort((docs, names))
-    head = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    least = docs[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    out = np.zeros((1, len(names)), bool)
-    out[0, order] = docs[order] > least
-    return np.split(out, np.cumsum(sizes)[:-1], axis=1)
+# what blocks ask and buckets answer
+
+
+def _asked_words(words: pa.DictionaryArray, n_buckets: int) -> Iterator[Row]:
+    """The distinct words of a block, to the buckets of their hashes: places, whether twice here, bytes."""
+    count = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+    values = words.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in values), np.uint64, len(values))
+    for bucket, own in by_bucket(hashes, n_buckets):
+        some = [values[k] for k in own]
+        sizes = np.array([len(w) for w in some], np.uint32)
+        yield ASK, bucket, b"".join([struct.pack("<I", len(own)), own.astype("<u4").tobytes(), (count[own] > 1).astype(np.uint8).tobytes(), sizes.tobytes(), *some])
+
+
+def _name(bucket: int, rank: np.ndarray) -> np.ndarray:
+    """Names above zero that no other bucket gives."""
+    return (np.uint64(bucket) << np.uint64(36)) + rank.astype(np.uint64) + np.uint64(1)
+
+
+def _named(bucket: int, of: np.ndarray, twice: np.ndarray, places: list[np.ndarray]) -> list[bytes | None]:
+    """For each block the places and names of its keys, classes ``of``, that occur twice or more."""
+    often = np.bincount(of, weights=1.0 + twice) > 1
+    names = np.where(often, _name(bucket, np.cumsum(often)), 0).astype("<u8")[of]
+    out, at = [], 0
+    for own in places:
+        n = names[at : at + len(own)]
+        at += len(own)
+        out.append(own[n > 0].tobytes() + n[n > 0].tobytes())
+    return out
+
+
+def _name_words(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
+    places, twice, offsets, texts, base = [], [], [np.zeros(1, np.int64)], [], 0
+    for b in blobs:
+        n = struct.unpack_from("<I", b)[0]
+        places.append(np.frombuffer(b, "<u4", n, 4))
+        twice.append(np.frombuffer(b, np.uint8, n, 4 + 4 * n))
+        ends = base + np.cumsum(np.frombuffer(b, "<u4", n, 4 + 5 * n), dtype=np.int64)
+        texts.append(b[4 + 9 * n :])
+        offsets.append(ends)
+        base = int(ends[-1])
+    words = pa.Array.from_buffers(pa.large_binary(), sum(map(len, places)), [None, pa.py_buffer(np.concatenate(offsets)), pa.py_buffer(b"".join(texts))])
+    return _named(bucket, words.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.concatenate(twice), places)
+
+
+def _asked(columns: list[np.ndarray], firsts: np.ndarray, twice: np.ndarray, hashes: np.ndarray, n_buckets: int) -> Iterator[Row]:
+    """The distinct keys of a block (rows ``firsts`` of the columns): places, whether twice here, columns."""
+    for bucket, own in by_bucket(hashes[firsts], n_buckets):
+        yield ASK, bucket, b"".join([own.astype("<u4").tobytes(), twice[own].astype("<i8").tobytes(), *(c[firsts[own]].astype("<u8").tobytes() for c in columns)])
+
+
+def _told(blobs: list[bytes], n_columns: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    places, seconds, columns = [], [], [[] for _ in range(n_columns)]
+    for b in blobs:
+        n = len(b) // (12 + 8 * n_columns)
+        places.append(np.frombuffer(b, "<u4", n))
+        seconds.append(np.frombuffer(b, "<i8", n, 4 * n))
+        for k, c in enumerate(columns):
+            c.append(np.frombuffer(b, "<u8", n, (12 + 8 * k) * n))
+    return places, np.concatenate(seconds), [np.concatenate(c) for c in columns]
+
+
+def _name_keys(n_columns: int):
+    def judge(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
+        places, twice, columns = _told(blobs, n_columns)
+        return _named(bucket, classes(columns, hash_of(columns))[0], twice, places)
+
+    return judge
+
+
+def _least_doc(n_columns: int):
+    def judge(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
+        """The least doc_id of each key, to the blocks whose own least is larger."""
+        places, docs, columns = _told(blobs, n_columns)
+        of, firsts = classes(columns, hash_of(columns))
+        least = np.full(len(firsts), _LAST)
+        np.minimum.at(least, of, docs)
+        out, at = [], 0
+        for own in places:
+            now, mine = least[of[at : at + len(own)]], docs[at : at + len(own)]
+            at += len(own)
+            out.append(own[now < mine].tobytes() + now[now < mine].astype("<i8").tobytes())
+        return out
+
+    return judge
+
+
+def _answers(told: dict[int, bytes], size: int, kind: str, default: np.ndarray | int) -> np.ndarray:
+    """A value for each place, from the answers of all buckets."""
+    out = np.full(size, default, kind)
+    for data in told.values():
+        n = len(data) // 12
+        out[np.frombuffer(data, "<u4", n)] = np.frombuffer(data, kind, n, 4 * n)
+    return out
+
+
+# a block between rounds
+
+
+class _Passages:
+    """Which windows of a block may still occur twice. ``starts``: the words at which documents begin, and the end."""
+
+    def __init__(self, starts: np.ndarray, window: int, alive: np.ndarray | None = None):
+        self.starts, self.window, self.n = starts, window, int(starts[-1])
+        if alive is None:
+            ends = np.repeat(starts[1:], np.diff(starts))
+            alive = np.arange(self.n) + window <= ends
+        self.alive = alive
+
+    def drop(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Windows that hold a stretch [lo, hi) are out."""
+        fits = hi - lo <= self.window
+        count = np.zeros(self.n + 1, np.int32)
+        np.add.at(count, np.maximum(hi[fits] - self.window, 0), 1)
+        np.add.at(count, lo[fits] + 1, -1)
+        self.alive &= np.cumsum(count[:-1]) == 0
+
+    def covered(self, size: int | None = None) -> np.ndarray:
+        """The words in windows left; or, given a size, where strings of that many words inside windows left begin."""
+        count = np.zeros(self.n + 1, np.int32)
+        at = np.flatnonzero(self.alive)
+        count[at] += 1
+        count[at + (self.window if size is None else self.window - size + 1)] -= 1
+        return np.cumsum(count[:-1]) > 0
+
+
+def _recompressed(sym: State, passages: _Passages, turn: int) -> tuple[State, list[np.ndarray]]:
+    """The symbols after a round, and the columns of those that need a name (rows where ``new``)."""
+    name, beg, end, lo, hi = (sym[k] for k in ("name", "beg", "end", "lo", "hi"))
+    reach = np.concatenate([[0], np.cumsum(passages.covered())])
+    name = np.where((reach[end] > reach[beg]) & (hi - lo <= passages.window), name, 0)
+    # one separator beside a symbol is enough
+    doc = np.searchsorted(passages.starts, beg, "right") - 1
+    some = name > 0
+    stay = some.copy()
+    stay[1:] |= some[:-1]
+    stay[:-1] |= some[1:]
+    name, beg, end, lo, hi, doc = (x[stay] for x in (name, beg, end, lo, hi, doc))
+
+    def beside(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far the left and the right neighbour reach; beyond its document where there is none."""
+        left, right = passages.starts[doc] - 1, passages.starts[doc + 1] + 1
+        same = doc[1:] == doc[:-1]
+        left[1:] = np.where(same, lo[:-1], left[1:])
+        right[:-1] = np.where(same, hi[1:], right[:-1])
+        return left, right
+
+    # runs
+    left, right = beside(lo, hi, doc)
+    head = np.ones(len(name), bool)
+    head[1:] = (name[1:] != name[:-1]) | (name[1:] == 0) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(name)) - 1 if len(first) else first
+    parted = name[first] == 0
+    count = last - first + 1
+    name, beg, end, doc = name[first], beg[first], end[last], doc[first]
+    lo, hi = np.where(parted, lo[first], np.minimum(lo[first], left[first])), np.where(parted, hi[last], np.maximum(hi[last], right[last]))
+    # pairs
+    half = (hash_of([name, count + turn * 0x10001]) & np.uint64(1)).astype(bool)
+    opens, closes = half & ~parted, ~half & ~parted
+    pair = np.zeros(len(name), bool)
+    pair[:-1] = opens[:-1] & closes[1:] & (doc[1:] == doc[:-1])
+    second = np.zeros(len(name), bool)
+    second[1:] = pair[:-1]
+    left, right = beside(lo, hi, doc)
+    other, others = np.zeros(len(name), np.uint64), np.zeros(len(name), np.int64)
+    a = np.flatnonzero(pair)
+    other[a], others[a], end[a] = name[a + 1], count[a + 1], end[a + 1]
+    lo = np.where(pair, np.minimum(lo, np.roll(lo, -1)), np.where(closes, np.minimum(lo, left), lo))
+    hi = np.where(pair, np.maximum(hi, np.roll(hi, -1)), np.where(opens, np.maximum(hi, right), hi))
+    name, beg, end, lo, hi, count, other, others, pair = (x[~second] for x in (name, beg, end, lo, hi, count, other, others, pair))
+    new = (pair | (count > 1)) & (hi - lo <= passages.window)
+    name = np.where((pair | (count > 1)) & ~new, 0, name)
+    made = {"name": name, "beg": beg, "end": end, "lo": lo, "hi": hi, "new": new}
+    return made, [name[new], other[new], (count[new].astype(np.uint64) << np.uint64(32)) | others[new].astype(np.uint64)]
+
+
+def _levels(window: int) -> list[tuple[int, list[int]]]:
+    """(size, where in it the shorter strings begin) of the strings that are named to verify a window."""
+    out, size = [], 1
+    while size < window or not out:
+        longer = min(window, size * STRIDE)
+        out.append((longer, sorted({min(k * size, longer - size) for k in range(STRIDE)})))
+        size = longer
+    return out
+
+
+class _Task:
+    """The steps of one operator call, as blocks take them."""
+
+    def __init__(self, window: int, n_buckets: int):
+        self.window, self.n_buckets, self.levels = window, n_buckets, _levels(window)
+
+    def _state(self, passages: _Passages, **arrays: np.ndarray) -> Row:
+        return KEEP, -1, packed_arrays(starts=passages.starts, alive=np.packbits(passages.alive), **arrays)
+
+    def _passages(self, kept: State) -> _Passages:
+        return _Passages(kept["starts"], self.window, np.unpackbits(kept["alive"], count=int(kept["starts"][-1])).astype(bool))
+
+    def words(self, block: Block) -> Iterator[Row]:
+        split = [t.split() for t in block.texts()]
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+        coded = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
+        docs = np.array([_LAST if i is None else i for i in block.doc_ids], np.int64)
+        yield self._state(_Passages(starts, self.window), docs=docs, word=coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), size=np.array([len(coded.dictionary)]))
+        yield from _asked_words(coded, self.n_buckets)
+
+    def named_words(self, data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
+        """The words get their names, and the first round of recompression is asked for."""
+        kept = unpacked_arrays(data)
+        passages = self._passages(kept)
+        word = _answers(told, int(kept["size"][0]), "<u8", 0)[kept["word"]]
+        at = np.arange(passages.n)
+        passages.drop(at[word == 0], at[word == 0] + 1)
+        yield from self._ask_symbols(passages, {"name": word, "beg": at, "end": at + 1, "lo": at, "hi": at + 1}, kept["docs"], word, 0)
+
+    def _ask_symbols(self, passages: _Passages, sym: State, docs: np.ndarray, word: np.ndarray, turn: int) -> Iterator[Row]:
+        made, columns = _recompressed(sym, passages, turn)
+        hashes = hash_of(columns)
+        of, firsts = classes(columns, hashes)
+        word = np.where(passages.covered(), word, 0)
+        place = np.full(len(made["name"]), -1, np.int64)
+        place[made.pop("new")] = of
+        yield self._state(passages, docs=docs, word=word, place=place, size=np.array([len(firsts)]), **made)
+        yield from _asked(columns, firsts, np.bincount(of, minlength=len(firsts)) > 1, hashes, self.n_buckets)
+
+    def _symbols(self, kept: State, told: dict[int, bytes]) -> tuple[_Passages, State]:
+        """The symbols with the names they have got; windows with one that got none are out."""
+        passages, place = self._passages(kept), kept["place"]
+        new = place >= 0
+        name = kept["name"].copy()
+        name[new] = _answers(told, int(kept["size"][0]), "<u8", 0)[place[new]]
+        alone = new & (name == 0)
+        passages.drop(kept["lo"][alone], kept["hi"][alone])
+        return passages, {"name": name, **{k: kept[k] for k in ("beg", "end", "lo", "hi")}}
+
+    def recompress(self, turn: int):
+        def step(data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
+            kept = unpacked_arrays(data)
+            passages, sym = self._symbols(kept, told)
+            yield from self._ask_symbols(passages, sym, kept["docs"], kept["word"], turn)
+
+        return step
+
+    def revealed(self, data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
+        """After the last round: windows left are to be verified, beginning with short strings."""
+        kept = unpacked_arrays(data)
+        passages, _ = self._symbols(kept, told)
+        yield from self._ask_strings(passages, kept["docs"], kept["word"], 1, 0)
+
+    def longer(self, level: int):
+        def step(data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
+            """The strings of the level before get their names; windows with one that got none are out."""
+            kept, size = unpacked_arrays(data), self.levels[level - 1][0]
+            passages, at = self._passages(kept), kept["at"].astype(np.int64)
+            name = np.zeros(passages.n, np.uint64)
+            name[at] = _answers(told, int(kept["size"][0]), "<u8", 0)[kept["place"]]
+            alone = at[name[at] == 0]
+            passages.drop(alone, alone + size)
+            yield from self._ask_strings(passages, kept["docs"], name, size, level)
+
+        return step
+
+    def _ask_strings(self, passages: _Passages, docs: np.ndarray, name: np.ndarray, size: int, level: int) -> Iterator[Row]:
+        longer, offsets = self.levels[level]
+        at = np.flatnonzero(passages.covered(longer))
+        columns = [name[at + k] for k in offsets]
+        hashes = hash_of(columns)
+        of, firsts = classes(columns, hashes)
+        if longer < self.window:
+            yield self._state(passages, docs=docs, at=at.astype(np.uint32), place=of.astype(np.uint32), size=np.array([len(firsts)]))
+            yield from _asked(columns, firsts, np.bincount(of, minlength=len(firsts)) > 1, hashes, self.n_buckets)
+            return
+        own = docs[np.searchsorted(passages.starts, at, "right") - 1]
+        least = np.full(len(firsts), _LAST)
+        np.minimum.at(least, of, own)
+        yield self._state(passages, at=at.astype(np.uint32), place=of.astype(np.uint32), own=own, least=least)
+        yield from _asked(columns, firsts, least, hashes, self.n_buckets)
+
+    def cut(self, data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
+        """Which words stay, for blocks that lose any."""
+        kept = unpacked_arrays(data)
+        n, least = int(kept["starts"][-1]), kept["least"].copy()
+        now = _answers(told, len(least), "<i8", _LAST)
+        least = np.minimum(least, now)
+        gone = kept["at"][least[kept["place"]] < kept["own"]].astype(np.int64)
+        if len(gone):
+            cover = np.zeros(n + 1, np.int32)
+            cover[gone] += 1
+            np.add.at(cover, gone + self.window, -1)
+            yield KEEP, -1, np.packbits(np.cumsum(cover[:-1]) == 0).tobytes()
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
     """Each document without the words covered by a passage of ``window`` words that also starts in a
     document with a smaller doc_id. Returns doc_id, n_words, n_removed and the kept words joined by
     one space as text, or with ``digest`` their lowercase hex SHA-256 as kept_sha256."""
-    blocks = pack(docs, "passage-blocks")
-    n_buckets = bucket_count(blocks)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block_id, payload in zip(batch["block_id"].to_pylist(), batch["payload"], strict=True):
-                _, names = _Words(Block(payload.as_py()), window).symbol_names()
-                yield key_rows(block_id, names, [names.astype(np.uint32)], n_buckets)
-
-    def candidates(words: _Words, marks: pa.Table) -> np.ndarray:
-        at, names = words.symbol_names()
-        return words.revealed(at[marked(names, n_buckets, of_round(marks, 1))[0]])
-
-    def reveal(block_id: int, block: Block, marks: pa.Table) -> pa.RecordBatch:
-        words = _Words(block, window)
-        starts = candidates(words, marks)
-        names = words.window_names(starts)
-        return key_rows(block_id, names, [names, words.doc_ids[starts]], n_buckets)
-
-    def cut(block_id: int, block: Block, marks: pa.Table) -> pa.RecordBatch:
-        words = _Words(block, window)
-        starts = candidates(words, marks)
-        at = starts[marked(words.window_names(starts), n_buckets, of_round(marks, 2))[0]]
-        cover = np.zeros(len(words.symbols) + 1, np.int32)
-        cover[at] += 1
-        np.add.at(cover, at + window, -1)
-        kept = np.cumsum(cover[:-1]) == 0
-        raw, texts, n_kept = block.bytes.tobytes(), [], []
-        for b, e, w, x in zip(block.starts, block.ends, words.doc_starts, words.doc_ends, strict=True):
-            texts.append(b" ".join(compress(raw[b:e].split(), kept[w:x].tolist())))
-            n_kept.append(int(kept[w:x].sum()))
-        n_words = words.doc_ends - words.doc_starts
-        return pa.record_batch(
-            [
-                pa.array(block.doc_ids, pa.int64()),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_words - np.array(n_kept, np.int64), pa.int64()),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode("utf-8", "replace") for t in texts], pa.string()),
-            ],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"],
+    blocks = pack(docs, "passages")
+    rounds, task = Rounds(blocks), _Task(window, blocks.n_buckets)
+    rounds.begin(task.words)
+    rounds.answer(_name_words)
+    rounds.go_on(task.named_words)
+    for turn in range(1, ROUNDS):
+        if not rounds.answer(_name_keys(3)):
+            break
+        rounds.go_on(task.recompress(turn))
+    rounds.answer(_name_keys(3))
+    rounds.go_on(task.revealed)
+    for level, (_, offsets) in enumerate(task.levels[:-1], 1):
+        rounds.answer(_name_keys(len(offsets)))
+        rounds.go_on(task.longer(level))
+    rounds.answer(_least_doc(len(task.levels[-1][1])))
+    rounds.go_on(task.cut)
+
+    def joined(block: Block, kept: bytes | None) -> pa.Table:
+        split = [t.split() for t in block.texts()]
+        n_words = np.array([len(w) for w in split], np.int64)
+        ends = np.cumsum(n_words)
+        stay = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        if kept is not None:
+            stay = np.unpackbits(np.frombuffer(kept, np.uint8), count=len(stay)).astype(bool)
+        parts = np.split(stay, ends[:-1])
+        texts = [b" ".join(w if s.all() else compress(w, s.tolist())) for w, s in zip(split, parts, strict=True)]
+        return pa.table(
+            {
+                "doc_id": pa.array(block.doc_ids, pa.int64()),
+                "n_words": pa.array(n_words),
+                "n_removed": pa.array([int(len(s) - s.sum()) for s in parts], pa.int64()),
+                "kept_sha256" if digest else "text": pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode("utf-8", "replace") for t in texts], pa.string()),
+            }
         )
 
-    def of_round(marks: pa.Table, k: int) -> pa.Table:
-        return marks.filter(pa.array(marks["round"].to_numpy(zero_copy_only=False) == k, pa.bool_()))
-
-    symbols = answered(blocks.mapInArrow(name, KEYS), _found_again, "passage-symbols").withColumn("round", F.lit(1))
-    windows = answered(with_marks(blocks, symbols, reveal, KEYS), _found_earlier, "passage-windows").withColumn("round", F.lit(2))
-    return with_marks(blocks, symbols.union(windows), cut, _DIGEST if digest else _TEXTS)
+    return rounds.end(joined, _DIGEST if digest else _TEXTS)
 
 
 ORACLE_SQL = r"""

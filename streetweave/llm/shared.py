@@ -1,29 +1,20 @@
 """The shared folder in which operators land intermediate tables.
 
 A landed table cuts lineage: a lost executor costs a re-read, not a re-run. The folder is the
-one that the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in tests,
-a folder of this machine is made and set.
+one that the cluster names in ``spark.checkpoint.dir`` (:mod:`streetweave.sources.landing`).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from streetweave.sources.landing import remove, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: While a table is landed: shuffle files go with their job, and Arrow batches hold so many rows at most.
+_LANDING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -31,15 +22,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
+def landing_conf(spark: SparkSession):
     """Within, the shuffle files of a finished job are removed at once instead of at some later
-    garbage collection."""
-    old = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    garbage collection, and Python workers hold a bounded number of rows."""
+    old = {k: spark.conf.get(k, None) for k in _LANDING}
+    for k, v in _LANDING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def land(df: DataFrame, name: str, compression: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
@@ -49,6 +42,33 @@ def land(df: DataFrame, name: str, compression: str = "zstd", partition_by: list
     writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with freed_shuffles(spark):
+    with landing_conf(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    landed = spark.read.schema(df.schema).parquet(path)
+    landed._landed_at = path
+    return landed
+
+
+def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | None = None, sort: list[str] | None = None) -> DataFrame:
+    """Write ``df``, whose tasks hold whole buckets of ``key``, to the shared folder as a table of ``n``
+    buckets, and return it as read back: grouping and joining it by ``key`` needs no exchange."""
+    spark = df.sparkSession
+    table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), new_path(spark, name)
+    writer = df.write.bucketBy(n, key).option("path", path).option("compression", "zstd" if sort else "uncompressed")
+    if sort:
+        writer = writer.sortBy(*sort)
+    if partition:
+        writer = writer.partitionBy(partition)
+    with landing_conf(spark):
+        writer.saveAsTable(table)
+    landed = spark.table(table)
+    landed._landed_at, landed._landed_as = path, table
+    return landed
+
+
+def discard(landed: DataFrame) -> None:
+    """Remove a landed table that nothing reads any more."""
+    spark = landed.sparkSession
+    if table := getattr(landed, "_landed_as", None):
+        spark.sql(f"DROP TABLE {table}")
+    remove(spark, landed._landed_at)

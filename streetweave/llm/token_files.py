@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import freed_shuffles, new_path
+from streetweave.llm.shared import landing_conf, new_path
 
 #: Ids in a segment before it is closed (a longer document has its own).
 SEGMENT_IDS = 4 << 20
@@ -175,7 +175,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     # the hash spreads rows that share a doc_id or have none
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, F.asc_nulls_first("doc_id"), "h")
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text").select("doc_id", "text")
-    with freed_shuffles(spark):
+    with landing_conf(spark):
         ordered.mapInArrow(encode, _SEGMENTS).write.option("compression", "uncompressed").parquet(f"{path}/segments")
         sizes = spark.read.parquet(f"{path}/segments").select("shard", "seq", "n_ids", "n_docs")
         before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard

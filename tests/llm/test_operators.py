@@ -36,6 +36,10 @@ def sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
+def thue_morse(n):
+    return [k.bit_count() % 2 for k in range(n)]
+
+
 def sorted_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -111,7 +115,10 @@ def test_difference_covers():
 
 @pytest.mark.parametrize("length", [30, 200])
 def test_suffix_dedup_equals_brute_force(spark, length):
-    docs = table(spark, [r for r in documents() if len(raw(r[1])) < 20_000])
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60_000))
+    more = [base + base[500:41_000], "q" * 3000 + base[7_000:9_000] + "q" * 260, "".join("01"[x] for x in thue_morse(1024)), "".join("10"[x] for x in thue_morse(1024))]
+    docs = table(spark, [*[r for r in documents() if len(raw(r[1])) < 20_000], *[(500 + k, t, "", "", 0) for k, t in enumerate(more)]])
     got = sorted_rows(suffix_dedup.remove_repeated_bytes(docs, length, digest=True))
     texts = [(r.doc_id, raw(r.text)) for r in docs.select("doc_id", "text").collect()]
     starts = Counter(b[p : p + length] for _, b in texts for p in range(len(b) - length + 1))
@@ -126,6 +133,22 @@ def test_suffix_dedup_equals_brute_force(spark, length):
     assert got == sorted(want, key=str)
 
 
+def test_stretches_have_two_hashes():
+    rng = random.Random(1)
+    text = np.frombuffer(bytes(rng.randrange(256) for _ in range(3000)), np.uint8)
+    rolling = suffix_dedup.Rolling(text)
+    at = np.arange(0, 2000, 7)
+    prime, base = int(suffix_dedup._PRIME), suffix_dedup._BASE_2
+    want = [sum((int(text[a + k]) + 1) * pow(base, k, prime) for k in range(200)) % prime for a in at.tolist()]
+    got = rolling.second(at, at + 200)
+    assert got.tolist() == (blocks.mixed(np.array(want, np.uint64) + np.uint64(200)) >> np.uint64(32)).tolist()
+    # complementary Thue-Morse strings: alike modulo 2 ** 64, not modulo the prime
+    both = np.array(thue_morse(2048) + [1 - x for x in thue_morse(2048)], np.uint8)
+    rolling = suffix_dedup.Rolling(both)
+    begin = np.array([0, 2048])
+    assert len(set(rolling.first(begin, begin + 2048).tolist())) == 1 and len(set(rolling.second(begin, begin + 2048).tolist())) == 2
+
+
 def test_suffix_dedup_of_one_passage_in_a_copied_text(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -446,19 +469,25 @@ def test_mixing_of_odd_tables(spark):
 # passages
 
 
-def test_rounds_leave_a_boundary_in_every_passage():
-    for window in (12, 20, 50, 100, 300):
-        caps, reach = recompression_dedup.rounds(window)
-        assert 2 * reach + 2 * (caps[-1] if caps else 0) - 1 <= window or not caps
+def test_classes_are_told_by_content_not_by_hash():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 6, 500).astype(np.uint64) for _ in range(2)]
+    for hashes in (blocks.hash_of(columns), np.zeros(500, np.uint64), columns[0] % np.uint64(2)):
+        of, firsts = blocks.classes(columns, hashes)
+        rows = list(zip(*(c.tolist() for c in columns), strict=True))
+        assert [rows[firsts[k]] for k in of] == rows and len(firsts) == len(set(rows))
 
 
-@pytest.mark.parametrize("window", [12, 50])
-def test_passage_dedup_equals_brute_force(spark, window):
-    docs = table(spark)
-    got = recompression_dedup.remove_repeated_passages(docs, window, digest=True)
-    rows = [(r.doc_id, raw(r.text).split()) for r in docs.select("doc_id", "text").collect()]
-    first = {}
-    big = float("inf")
+def test_levels_reach_the_window():
+    for window in (1, 2, 3, 4, 5, 16, 17, 50, 200):
+        covered = {0}
+        for size, offsets in recompression_dedup._levels(window):
+            covered = {a + b for a in offsets for b in covered}
+        assert size == window and covered == set(range(window))
+
+
+def passages_by_brute_force(rows, window):
+    first, big = {}, float("inf")
     for i, w in rows:
         for k in range(len(w) - window + 1):
             x = tuple(w[k : k + window])
@@ -470,7 +499,30 @@ def test_passage_dedup_equals_brute_force(spark, window):
             if first[tuple(w[k : k + window])] < (big if i is None else i):
                 gone[k : k + window] = b"\1" * window
         want.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
-    assert sorted_rows(got) == sorted(want, key=str) and any(x[2] for x in want)
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("window", "rounds"), [(1, 2), (3, 2), (7, 5), (20, 5)])
+def test_passages_of_few_words_equal_brute_force(spark, monkeypatch, window, rounds):
+    """Texts over few words, where chance repeats abound, long copies with edits, and Thue-Morse words."""
+    monkeypatch.setattr(recompression_dedup, "ROUNDS", rounds)
+    rng = random.Random(window)
+    texts = [[rng.choice("abcdefgh"[: 2 + k % 7]) for _ in range(rng.randint(0, 60))] for k in range(30)]
+    long = [f"w{rng.randrange(300)}" for _ in range(900)]
+    texts += [long, long[100:700], [*long[:400], "x", *long[400:]], long[::-1]]
+    texts += [["ab"[x] for x in thue_morse(64)], ["ba"[x] for x in thue_morse(64)]]
+    docs = table(spark, [(k, " ".join(t), "", "", 0) for k, t in enumerate(texts)])
+    got = recompression_dedup.remove_repeated_passages(docs, window, digest=True)
+    assert sorted_rows(got) == passages_by_brute_force([(k, [x.encode() for x in t]) for k, t in enumerate(texts)], window)
+
+
+@pytest.mark.parametrize("window", [12, 50])
+def test_passage_dedup_equals_brute_force(spark, window):
+    docs = table(spark)
+    got = recompression_dedup.remove_repeated_passages(docs, window, digest=True)
+    rows = [(r.doc_id, raw(r.text).split()) for r in docs.select("doc_id", "text").collect()]
+    want = passages_by_brute_force(rows, window)
+    assert sorted_rows(got) == want and any(x[2] for x in want)
     assert recompression_dedup.remove_repeated_passages(empty(spark)).collect() == []
 
 
