@@ -50,33 +50,37 @@ def shingle_set(text: Column, words_per_shingle: int) -> Column:
 
     @arrow_udf("array<long>")
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array([_hashes(x.as_py() or b"", words_per_shingle).view(np.int64).tolist() for x in texts.cast(pa.binary())], pa.list_(pa.int64()))
+        return _lists([_hashes(x.as_py() or b"", words_per_shingle).view(np.int64) for x in texts.cast(pa.binary())])
 
     return made(text)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
 def print_set_and_bands(text: Column, words_per_shingle: int, printed) -> Column:
     """An array of a text's fingerprint (``printed`` of its bytes), a hash of the set of its shingles and
     the set's bands, in one pass over the texts."""
 
     @arrow_udf("array<long>")
     def made(texts: pa.Array) -> pa.Array:
-        out, ends = [], [0]
+        out = []
         for x in texts.cast(pa.binary()):
             raw = x.as_py() or b""
             hashes = _hashes(raw, words_per_shingle)
             row = [printed(raw, words_per_shingle, 42), *np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64), *_bands(hashes)]
             out.append(np.array(row, np.int64))
-            ends.append(ends[-1] + len(row))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+        return _lists(out)
 
     return made(text)
 
 
-def banded(docs: DataFrame, words_per_shingle: int, printed) -> DataFrame:
-    """doc_id, fp, th (hash of the text), sh (hash of the set) and bands of ``docs``."""
-    made = docs.select("doc_id", F.xxhash64("text").alias("th"), print_set_and_bands(F.col("text"), words_per_shingle, printed).alias("s"))
-    return land(made.select("doc_id", F.col("s")[0].alias("fp"), "th", F.col("s")[1].alias("sh"), F.slice("s", 3, BANDS).alias("bands")), "shingle-bands")
+def banded(keyed: DataFrame, words_per_shingle: int, printed) -> DataFrame:
+    """doc_id, rid, th, fp, sh (hash of the set) and bands of ``keyed`` (doc_id, rid, th, text)."""
+    made = keyed.select("doc_id", "rid", "th", print_set_and_bands(F.col("text"), words_per_shingle, printed).alias("s"))
+    return land(made.select("doc_id", "rid", "th", F.col("s")[0].alias("fp"), F.col("s")[1].alias("sh"), F.slice("s", 3, BANDS).alias("bands")), "shingle-bands")
 
 
 def jaccard_links(docs: DataFrame, made: DataFrame, words_per_shingle: int, least: float, blocks) -> DataFrame:

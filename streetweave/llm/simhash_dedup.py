@@ -164,26 +164,32 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` that connect all those within the distance."""
-    grouped = _grouped(_variants(prints.select("fp").distinct()))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # fingerprints are small and their variants 64 times that: they are dealt to all tasks before
+    grouped = _grouped(_variants(prints.select("fp").distinct().repartition(n, "fp")))
     dealt = grouped.repartition(n, "variant", "part").sortWithinPartitions("variant", "part")
     return dealt.mapInArrow(_links, "u long, v long")
 
 
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes, rid and th, that tell the rows of ``docs`` apart but for repeated (doc_id, text)."""
+    return [F.xxhash64(docs["doc_id"], docs["text"]).alias("rid"), F.xxhash64(docs["text"]).alias("th")]
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, least_jaccard: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): each document's doc_id and fingerprint ``fp``, and for each fingerprint
-    the least doc_id that has it, ``first_id``, and the least of its component, ``component_id``. With
-    ``least_jaccard``, documents whose shingle sets are that similar are linked too, however far apart
-    their fingerprints are."""
+    """(documents, classes): each document's doc_id, rid, th and fingerprint ``fp``, and for each
+    fingerprint the least doc_id that has it, ``first_id``, and the least of its component,
+    ``component_id``. With ``least_jaccard``, documents whose shingle sets are that similar are linked
+    too, however far apart their fingerprints are."""
+    keyed = docs.select("doc_id", *_row_keys(docs), "text")
     if least_jaccard is None:
-        prints = land(docs.select("doc_id", fingerprint(docs["text"], words_per_shingle).alias("fp")), "simhash-prints")
+        prints = land(keyed.select("doc_id", "rid", "th", fingerprint(F.col("text"), words_per_shingle).alias("fp")), "simhash-prints")
     else:
-        made = banded(docs, words_per_shingle, _fingerprint)
-        prints = made.select("doc_id", "fp")
+        prints = banded(keyed, words_per_shingle, _fingerprint)
     firsts = land(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
     edges = links(firsts)
     if least_jaccard is not None:
-        edges = edges.union(jaccard_links(docs.select("text"), made, words_per_shingle, least_jaccard, _grouped))
+        edges = edges.union(jaccard_links(docs.select("text"), prints, words_per_shingle, least_jaccard, _grouped))
     roots = components(edges, "simhash-links")
     with_root = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -198,13 +204,15 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words_per_shingle: int = 4, least_jaccard: float | None = None) -> DataFrame:
-    """One document of each component with all its columns: that of the least doc_id."""
-    _, classes = near_duplicates(docs, words_per_shingle, least_jaccard)
-    # a component is kept by its first fingerprint: the one whose least doc_id names the component
-    kept = classes.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "first_id")).alias("k"))
-    kept = land(kept.select(F.col("k.fp").alias("__fp"), F.col("k.first_id").alias("__id")), "simhash-kept")
-    own = docs.withColumn("__own", fingerprint(docs["text"], words_per_shingle))
-    found = own.join(kept, (own["__own"] == kept["__fp"]) & own["doc_id"].eqNullSafe(kept["__id"]))
-    # several rows may share both doc_id and fingerprint
-    order = F.row_number().over(Window.partitionBy("__own", "__id").orderBy("text"))
-    return found.withColumn("__n", order).where("__n = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    """One document of each component with all its columns: that of the least doc_id, of several the one
+    of the least fingerprint and then of the least text hash."""
+    prints, classes = near_duplicates(docs, words_per_shingle, least_jaccard)
+    named = prints.select("doc_id", "rid", "th", "fp").join(classes.select("fp", "component_id", "root"), "fp")
+    least = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "th", "rid")).alias("k"))
+    kept = land(least.select("k.rid", "k.th"), "simhash-kept")
+    # the columns travel as one, so that none of their names can clash
+    rows = docs.select(*_row_keys(docs), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    found = rows.join(kept, ["rid", "th"], "left_semi")
+    # repeated rows are sorted side by side by the join
+    order = F.row_number().over(Window.partitionBy("rid", "th").orderBy("rid"))
+    return found.withColumn("n", order).where("n = 1").select("row.*")

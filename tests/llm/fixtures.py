@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as further columns of the input.
-CLASHES = ("fp", "variant", "count", "words", "spans", "dropped", "d1", "d2", "h", "h1", "pos", "root", "u", "v", "bucket", "topic", "prob", "kept", "w", "at", "items", "hash")
+CLASHES = ("fp", "variant", "count", "words", "spans", "dropped", "d1", "d2", "h", "h1", "pos", "root", "u", "v", "bucket", "topic", "prob", "kept", "w", "at", "items", "hash", "rid", "th", "row", "n")
 
 
 def prose(rng: random.Random, n: int) -> str:
