@@ -74,6 +74,22 @@ class Block:
         self.starts, self.ends = at[:-1] - at[0], at[1:] - at[0]
         self.n = len(self.bytes)
 
+    def words(self) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The words of all documents, and at which of them the documents begin, with the end."""
+        white = np.zeros(256, bool)
+        white[[0x20, *range(0x09, 0x0E)]] = True
+        gap = np.ones(self.n + 1, bool)  # the last entry closes a word at the very end
+        gap[:-1] = white[self.bytes]
+        begins, ends = ~gap[:-1], ~gap[:-1] & gap[1:]
+        begins[1:] &= gap[:-2]
+        some = self.ends > self.starts
+        heads, tails = self.starts[some], self.ends[some] - 1
+        begins[heads], ends[tails] = ~gap[heads], ~gap[tails]
+        first = np.flatnonzero(begins)
+        offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - first)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(self.bytes[~gap[:-1]])])
+        return words, np.searchsorted(first, np.append(self.starts, self.n)).astype(np.int64)
+
     def texts(self) -> list[bytes]:
         raw = self.bytes.tobytes()
         return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
@@ -134,7 +150,7 @@ class Rounds:
 
     def _land(self, rows: DataFrame) -> None:
         old = self._kept
-        landed = land_bucketed(rows, f"{self.blocks.name}-round", self.blocks.n_parts, "block_id", "kind")
+        landed = land_bucketed(rows, f"{self.blocks.name}-round", self.blocks.n_parts, "block_id", "kind", compression="zstd")
         for done in (old, self._answers):
             if done is not None:
                 discard(done)
@@ -169,6 +185,7 @@ class Rounds:
 
         asked = self._asked.select("bucket", "block_id", "data")
         self._answers = land(asked.groupBy("bucket").applyInArrow(bucket, ANSWERS), f"{self.blocks.name}-answers")
+        discard(self._kept, f"kind={ASK}")
         return True
 
     def _empty(self) -> DataFrame:

@@ -33,11 +33,10 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from streetweave.llm.blocks import ASK, KEEP, Block, Rounds, Row, by_bucket, classes, hash_of, mixed, pack, packed_arrays, unpacked_arrays
@@ -53,15 +52,29 @@ State = dict[str, np.ndarray]
 # what blocks ask and buckets answer
 
 
+def _buffers(words: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Where the words begin and end in their bytes, and the bytes."""
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    return at, memoryview(words.buffers()[2] or b"")
+
+
 def _asked_words(words: pa.DictionaryArray, n_buckets: int) -> Iterator[Row]:
     """The distinct words of a block, to the buckets of their hashes: places, whether twice here, bytes."""
-    count = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
-    values = words.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in values), np.uint64, len(values))
-    for bucket, own in by_bucket(hashes, n_buckets):
-        some = [values[k] for k in own]
-        sizes = np.array([len(w) for w in some], np.uint32)
-        yield ASK, bucket, b"".join([struct.pack("<I", len(own)), own.astype("<u4").tobytes(), (count[own] > 1).astype(np.uint8).tobytes(), sizes.tobytes(), *some])
+    n = len(words.dictionary)
+    twice = (np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=n) > 1).astype(np.uint8)
+    at, data = _buffers(words.dictionary)
+    sizes = np.diff(at)
+    # any hash of a word will do that all blocks agree on: a polynomial in its bytes
+    powers = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], sizes)
+    terms = (np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.uint64) + np.uint64(1)) * powers[place]
+    hashes = mixed(np.add.reduceat(terms, at[:-1] - at[0]) if n else np.zeros(0, np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    at, data = _buffers(words.dictionary.take(pa.array(order)))
+    sizes, first = sizes[order].astype("<u4"), 0
+    for bucket, own in by_bucket(hashes[order], n_buckets):  # consecutive, as a bucket is a range of hashes
+        part = slice(first, first := first + len(own))
+        yield ASK, bucket, b"".join([struct.pack("<I", len(own)), order[part].astype("<u4").tobytes(), twice[order[part]].tobytes(), sizes[part].tobytes(), data[at[part.start] : at[part.stop]]])
 
 
 def _name(bucket: int, rank: np.ndarray) -> np.ndarray:
@@ -250,9 +263,8 @@ class _Task:
         return _Passages(kept["starts"], self.window, np.unpackbits(kept["alive"], count=int(kept["starts"][-1])).astype(bool))
 
     def words(self, block: Block) -> Iterator[Row]:
-        split = [t.split() for t in block.texts()]
-        starts = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-        coded = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
+        words, starts = block.words()
+        coded = words.dictionary_encode()
         docs = np.array([_LAST if i is None else i for i in block.doc_ids], np.int64)
         yield self._state(_Passages(starts, self.window), docs=docs, word=coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), size=np.array([len(coded.dictionary)]))
         yield from _asked_words(coded, self.n_buckets)
@@ -261,19 +273,22 @@ class _Task:
         """The words get their names, and the first round of recompression is asked for."""
         kept = unpacked_arrays(data)
         passages = self._passages(kept)
-        word = _answers(told, int(kept["size"][0]), "<u8", 0)[kept["word"]]
-        at = np.arange(passages.n)
+        names = _answers(told, int(kept["size"][0]), "<u8", 0)
+        word, at = names[kept["word"]], np.arange(passages.n)
         passages.drop(at[word == 0], at[word == 0] + 1)
-        yield from self._ask_symbols(passages, {"name": word, "beg": at, "end": at + 1, "lo": at, "hi": at + 1}, kept["docs"], word, 0)
+        yield from self._ask_symbols(passages, {"name": word, "beg": at, "end": at + 1, "lo": at, "hi": at + 1}, kept["docs"], kept["word"], names, 0)
 
-    def _ask_symbols(self, passages: _Passages, sym: State, docs: np.ndarray, word: np.ndarray, turn: int) -> Iterator[Row]:
+    def _ask_symbols(self, passages: _Passages, sym: State, docs: np.ndarray, word: np.ndarray, names: np.ndarray, turn: int) -> Iterator[Row]:
         made, columns = _recompressed(sym, passages, turn)
         hashes = hash_of(columns)
         of, firsts = classes(columns, hashes)
-        word = np.where(passages.covered(), word, 0)
-        place = np.full(len(made["name"]), -1, np.int64)
+        word = np.where(passages.covered(), word, 0).astype(np.uint32)
+        used = np.unique(word)  # only names of words that passages left still hold
+        word, names = np.searchsorted(used, word).astype(np.uint32), names[used]
+        place = np.full(len(made["name"]), -1, np.int32)
         place[made.pop("new")] = of
-        yield self._state(passages, docs=docs, word=word, place=place, size=np.array([len(firsts)]), **made)
+        small = {k: v if k == "name" else v.astype(np.int32) for k, v in made.items()}
+        yield self._state(passages, docs=docs, word=word, names=names, place=place, size=np.array([len(firsts)]), **small)
         yield from _asked(columns, firsts, np.bincount(of, minlength=len(firsts)) > 1, hashes, self.n_buckets)
 
     def _symbols(self, kept: State, told: dict[int, bytes]) -> tuple[_Passages, State]:
@@ -283,14 +298,15 @@ class _Task:
         name = kept["name"].copy()
         name[new] = _answers(told, int(kept["size"][0]), "<u8", 0)[place[new]]
         alone = new & (name == 0)
-        passages.drop(kept["lo"][alone], kept["hi"][alone])
-        return passages, {"name": name, **{k: kept[k] for k in ("beg", "end", "lo", "hi")}}
+        sym = {"name": name, **{k: kept[k].astype(np.int64) for k in ("beg", "end", "lo", "hi")}}
+        passages.drop(sym["lo"][alone], sym["hi"][alone])
+        return passages, sym
 
     def recompress(self, turn: int):
         def step(data: bytes, told: dict[int, bytes]) -> Iterator[Row]:
             kept = unpacked_arrays(data)
             passages, sym = self._symbols(kept, told)
-            yield from self._ask_symbols(passages, sym, kept["docs"], kept["word"], turn)
+            yield from self._ask_symbols(passages, sym, kept["docs"], kept["word"], kept["names"], turn)
 
         return step
 
@@ -298,7 +314,8 @@ class _Task:
         """After the last round: windows left are to be verified, beginning with short strings."""
         kept = unpacked_arrays(data)
         passages, _ = self._symbols(kept, told)
-        yield from self._ask_strings(passages, kept["docs"], kept["word"], 1, 0)
+        names = kept["names"] if len(kept["names"]) else np.zeros(1, np.uint64)
+        yield from self._ask_strings(passages, kept["docs"], names[kept["word"]], 1, 0)
 
     def longer(self, level: int):
         def step(data: bytes, told: dict[int, bytes]) -> Iterator[Row]:

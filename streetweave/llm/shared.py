@@ -49,12 +49,12 @@ def land(df: DataFrame, name: str, compression: str = "zstd", partition_by: list
     return landed
 
 
-def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | None = None, sort: list[str] | None = None) -> DataFrame:
+def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | None = None, sort: list[str] | None = None, compression: str = "uncompressed") -> DataFrame:
     """Write ``df``, whose tasks hold whole buckets of ``key``, to the shared folder as a table of ``n``
     buckets, and return it as read back: grouping and joining it by ``key`` needs no exchange."""
     spark = df.sparkSession
     table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), new_path(spark, name)
-    writer = df.write.bucketBy(n, key).option("path", path).option("compression", "zstd" if sort else "uncompressed")
+    writer = df.write.bucketBy(n, key).option("path", path).option("compression", compression)
     if sort:
         writer = writer.sortBy(*sort)
     if partition:
@@ -66,9 +66,9 @@ def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | N
     return landed
 
 
-def discard(landed: DataFrame) -> None:
-    """Remove a landed table that nothing reads any more."""
+def discard(landed: DataFrame, part: str = "") -> None:
+    """Remove a landed table, or a part of a partitioned one, that nothing reads any more."""
     spark = landed.sparkSession
-    if table := getattr(landed, "_landed_as", None):
+    if not part and (table := getattr(landed, "_landed_as", None)):
         spark.sql(f"DROP TABLE {table}")
-    remove(spark, landed._landed_at)
+    remove(spark, f"{landed._landed_at}/{part}".rstrip("/"))
