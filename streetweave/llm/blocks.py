@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from streetweave.llm.shared import discard, land, land_bucketed
 
 #: Bytes of text in a block (a longer document is a block of its own), for each bucket of keys, and for each partition.
-BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 2 << 20, 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 20, 8 << 20, 16 << 20
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 #: What a round makes: keys for a bucket, or with bucket -1 what the block keeps.

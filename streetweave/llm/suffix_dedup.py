@@ -22,7 +22,7 @@ place, and that one either is sorted or has itself an equal at an earlier place.
 
 Names of step 1 are 64-bit fingerprints: equal ones of different strings cost work and change nothing.
 What is decided by names (steps 2 to 4) takes two independent ones, 96 bits in all: a polynomial
-modulo 2 ** 64, and one modulo the prime 2 ** 61 - 1, for which no strings of ``length`` bytes are
+modulo 2 ** 64, and one modulo the prime 2 ** 32 - 5, for which no strings of ``length`` bytes are
 alike by structure. The bytes themselves are not compared again.
 
 A block sends each distinct name once, in order, with a bit that tells whether it has it twice, and
@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,8 @@ from pyspark.sql import functions as F
 from streetweave.llm.blocks import Block, Blocks, buckets_of, classes, mixed, pack
 from streetweave.llm.shared import land
 
-_BASE, _BASE_2 = 0xD1342543DE82EF95, 0xF251AF3B0F025B5
-_PRIME = np.uint64((1 << 61) - 1)
+_BASE, _BASE_2 = 0xD1342543DE82EF95, 0x9E3779B1
+_PRIME = np.uint64((1 << 32) - 5)
 _KEYS = "bucket int, block_id long, data binary"
 _MARKS = "block_id long, bucket int, bits binary"
 _SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -92,24 +92,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _folded(x: np.ndarray) -> np.ndarray:
-    x = (x & _PRIME) + (x >> np.uint64(61))
-    return np.where(x >= _PRIME, x - _PRIME, x)
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo the prime, by halves of 31 and 30 bits."""
-    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
-    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
-    middle = _folded(a1 * b0 + a0 * b1)
-    return _folded(_folded(a1 * b1 * np.uint64(2)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + _folded(a0 * b0))
-
-
 @lru_cache(maxsize=2)
 def _prime_powers(base: int, size: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
     while len(out) < size:
-        out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), int(_PRIME))))])
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), int(_PRIME))) % _PRIME])
     return out
 
 
@@ -126,20 +113,21 @@ class Rolling:
         """64 bits, modulo 2 ** 64."""
         return mixed((self._sums[end] - self._sums[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64))
 
-    def second(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """32 bits, from the remainder modulo the prime."""
+    @cached_property
+    def _remainders(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the symbols times powers, modulo the prime, and the inverse powers."""
         n = len(self._symbols)
-        size = 1 << max(10, n.bit_length())
-        powers = _prime_powers(_BASE_2, size)[:n]
-        sums = np.zeros(n + 1, np.uint64)
-        for first in range(0, n, 1 << 20):  # partial sums of half powers stay below 2 ** 64
-            part = slice(first, min(n, first + (1 << 20)))
-            low = np.cumsum(self._symbols[part] * (powers[part] & np.uint64((1 << 31) - 1)))
-            high = _folded(np.cumsum(self._symbols[part] * (powers[part] >> np.uint64(31))))
-            sums[part.start + 1 : part.stop + 1] = _folded(_folded(low) + _times(high, np.uint64(1 << 31)) + sums[part.start])
-        inverse = _prime_powers(pow(_BASE_2, -1, int(_PRIME)), size)
-        found = _times(_folded(sums[end] + _PRIME - sums[begin]), inverse[begin])
-        return (mixed(found + (end - begin).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        size = 1 << max(10, (n + 1).bit_length())
+        sums, powers = np.zeros(n + 1, np.uint64), _prime_powers(_BASE_2, size)
+        for first in range(0, n, 1 << 22):  # a part's sum stays below 2 ** 64
+            part = slice(first, min(n, first + (1 << 22)))
+            sums[part.start + 1 : part.stop + 1] = (np.cumsum(self._symbols[part] * powers[part]) + sums[part.start]) % _PRIME
+        return sums, _prime_powers(pow(_BASE_2, -1, int(_PRIME)), size)
+
+    def second(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 bits, modulo the prime."""
+        sums, inverse = self._remainders
+        return ((sums[end] + _PRIME - sums[begin]) % _PRIME * inverse[begin] % _PRIME).astype(np.uint32)
 
 
 class _Names:
