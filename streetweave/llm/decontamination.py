@@ -1,15 +1,19 @@
 """Benchmark decontamination: windows of benchmark words looked up in every document.
 
 Words are maximal runs of letters a-z, digits and characters beyond ASCII, A-Z lower-cased. A window is
-``window`` consecutive words of an item; a shorter item that has words is one window. The windows'
-hashes are the broadcast side (benchmarks are small; their number is checked, and beyond the bound the
-lookup is a shuffled join on the same key). Documents are scanned window by window, and a hash that is
-found is verified against the words themselves.
-
-The words of a document travel with its windows only inside the scan's stage, by reference; what
-leaves it are hits. They are collected per document, (doc_id, hash of the text), so repeated rows share
-one entry and get the same result. Null texts and texts without words are clean; items without words
-have no window; an empty benchmark leaves all documents clean. Other columns stay as they are.
+``window`` consecutive words of an item; a shorter item that has words is one window. Every word is
+hashed once; hashes of windows are combined from those of halves (two, four, eight words ...), for all
+sizes that the benchmark has in one pass over a document. A window hash that is found is verified
+against the words themselves.
+
+The windows of the benchmark are the broadcast side while their number is within ``BROADCAST_WINDOWS``;
+there the words of a document are at hand in the scan's task, by reference, for the verification.
+Beyond that number document windows are exchanged by their hashes, without words, and documents with
+candidates are read again to verify these. Both ways give the same hits.
+
+Hits are collected per document, (doc_id, hash of the text), so repeated rows share one entry and get
+the same result. Null texts and texts without words are clean; items without words have no window; an
+empty benchmark leaves all documents clean. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from streetweave.llm.shared import land
 
-#: Windows that are broadcast at most; one is its hash, item and words, some 200 bytes.
+#: Windows that are broadcast at most; one is its hash, item and words, some 200 bytes. More are joined by an exchange.
 BROADCAST_WINDOWS = 500_000
 #: What separates words, once A-Z are lower-cased, and what does in the text as it is.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,38 +41,65 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN_ANY_CASE, -1), "")).cast("long")
 
 
-def _windows(found: Column, size: int) -> Column:
-    """(at, hash) of all windows of ``size`` words; at counts from 1."""
-    last = F.size(found) - size + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, size)))
+def _with_hashes(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """``df`` (w, the words) with h1, h2 ... of the sizes wanted: arrays of the hashes of all windows."""
+    powers = [1 << k for k in range(max(sizes).bit_length())]
+
+    def combined(left: str, right: str, apart: int, size: int) -> Column:
+        n = F.greatest(F.size("w") - size + 1, F.lit(0))
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(apart + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    df = df.withColumn("p1", F.transform("w", lambda x: F.xxhash64(x)))
+    for k in powers[1:]:
+        df = df.withColumn(f"p{k}", combined(f"p{k // 2}", f"p{k // 2}", k // 2, k))
+    made = {k: f"p{k}" for k in powers}
+    for size in sorted(sizes):
+        total = 0
+        for k in reversed(powers):  # 10 is 8 and then 2
+            if size & k:
+                before, total = total, total + k
+                if before and total not in made:
+                    made[total] = f"s{size}_{total}"
+                    df = df.withColumn(made[total], combined(made[before], f"p{k}", before, total))
+    return df.withColumns({f"h{size}": F.col(made[size]) for size in sizes})
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item_id, size, hash and words of every window."""
     items = benchmark.select("item_id", words(benchmark["text"]).alias("w")).where(F.size("w") > 0)
+    sizes = range(1, window + 1)
     size = F.least(F.size("w"), F.lit(window))
-    at = F.explode(F.sequence(F.lit(1), F.size("w") - size + 1))
-    cut = items.select("item_id", "w", size.alias("size"), at.alias("at"))
-    rows = cut.select("item_id", "size", F.slice("w", F.col("at"), F.col("size")).alias("window"))
-    return rows.select("item_id", "size", F.xxhash64("window").alias("hash"), "window").distinct()
+    own = F.element_at(F.array(*[f"h{n}" for n in sizes]), size)
+    each = _with_hashes(items, list(sizes)).select("item_id", "w", size.alias("size"), F.posexplode(own).alias("at", "hash"))
+    return each.select("item_id", "size", "hash", F.slice("w", F.col("at") + 1, F.col("size")).alias("window")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """d1, d2 (the document), spans (at, size: the windows found) and items, for documents with hits."""
     looked_for = land(benchmark_windows(benchmark, window), "benchmark-windows")
-    sizes = looked_for.groupBy("size").count().collect()  # at most ``window`` rows
-    small = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
-    scanned = docs.select(docs["doc_id"].alias("d1"), F.xxhash64(docs["text"]).alias("d2"), words(docs["text"]).alias("w"))
-    found = None
-    for size in sorted({r["size"] for r in sizes} | {window}):
-        own = looked_for.where(F.col("size") == size)
-        own = F.broadcast(own) if small else own
-        rows = scanned.select("d1", "d2", "w", F.posexplode(_windows(F.col("w"), size)).alias("at", "h"))
-        met = rows.join(own, (rows["h"] == own["hash"]) & (F.slice("w", F.col("at") + 1, size) == F.col("window")))
-        met = met.select("d1", "d2", "at", "size", "item_id")
-        found = met if found is None else found.union(met)
-    return found.groupBy("d1", "d2").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.collect_set("item_id").alias("items"))
+    counts = {r["size"]: r["count"] for r in looked_for.groupBy("size").count().collect()}  # at most ``window`` rows
+    sizes = sorted(counts) or [window]
+    keys = [docs["doc_id"].alias("d1"), F.xxhash64(docs["text"]).alias("d2")]
+    scanned = _with_hashes(docs.select(*keys, words(docs["text"]).alias("w")), sizes)
+    scanned = scanned.select("d1", "d2", "w", F.size("w").alias("n"), F.posexplode(F.concat(*[f"h{s}" for s in sizes])).alias("place", "h"))
+    # the windows of a size begin where those of the smaller sizes end
+    begins, base = F.lit(0), F.lit(0)
+    for s in sizes:
+        begins, base = F.when(F.col("size") == s, base).otherwise(begins), base + F.greatest(F.col("n") - s + 1, F.lit(0))
+    at = F.col("place") - begins
+    verified = F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("size")) == F.col("window")
+    if sum(counts.values()) <= BROADCAST_WINDOWS:
+        met = scanned.join(F.broadcast(looked_for), F.col("h") == F.col("hash")).withColumn("at", at).where(verified)
+    else:
+        known = looked_for.select("hash", "size").distinct()
+        found = scanned.drop("w").join(known, F.col("h") == F.col("hash")).select("d1", "d2", at.alias("at"), "size", "hash")
+        spots = found.groupBy("d1", "d2").agg(F.collect_set(F.struct("at", "size", "hash")).alias("spots"))
+        own = docs.select(*[k.alias(f"o{i}") for i, k in enumerate(keys)], docs["text"]).dropDuplicates(["o0", "o1"])
+        back = own.join(spots, own["o0"].eqNullSafe(spots["d1"]) & (own["o1"] == spots["d2"]))
+        each = back.select("d1", "d2", words(F.col("text")).alias("w"), F.explode("spots").alias("s"))
+        cut = each.select("d1", "d2", "s.*", F.slice("w", F.greatest(F.col("s.at"), F.lit(0)) + 1, F.col("s.size")).alias("cut"))
+        met = cut.join(looked_for, ["hash", "size"]).where(F.col("cut") == F.col("window"))
+    return met.groupBy("d1", "d2").agg(F.collect_set(F.struct(F.col("at").alias("at"), F.col("size").alias("size"))).alias("spans"), F.collect_set("item_id").alias("items"))
 
 
 def _hit_words(spans: Column) -> Column:

@@ -141,7 +141,7 @@ def test_stretches_have_two_hashes():
     prime, base = int(suffix_dedup._PRIME), suffix_dedup._BASE_2
     want = [sum((int(text[a + k]) + 1) * pow(base, k, prime) for k in range(200)) % prime for a in at.tolist()]
     got = rolling.second(at, at + 200)
-    assert got.tolist() == (blocks.mixed(np.array(want, np.uint64) + np.uint64(200)) >> np.uint64(32)).tolist()
+    assert got.tolist() == want
     # complementary Thue-Morse strings: alike modulo 2 ** 64, not modulo the prime
     both = np.array(thue_morse(2048) + [1 - x for x in thue_morse(2048)], np.uint8)
     rolling = suffix_dedup.Rolling(both)
@@ -383,6 +383,13 @@ def test_decontamination_without_a_broadcast(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     items = [next(t for _, t in rows if t and len(t) > 400)[:300]]
     assert sorted_rows(decontamination.contamination(docs, bench(spark, items))) == sorted(contaminated(rows, list(enumerate(items))), key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = decontamination.hits(docs, bench(spark, items))._jdf.queryExecution().executedPlan().toString()
+    # words are exchanged for documents that are read again because of a candidate, never with each window
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = re.findall(r"Exchange hashpartitioning\(h#.*\n.*Project \[(.*)\]", plan)
+    assert sent and not any(" w#" in columns for columns in sent)
+
 
 
 # urls
