@@ -94,7 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         known = looked_for.select("hash", "size").distinct()
         found = scanned.drop("w").join(known, F.col("h") == F.col("hash")).select("d1", "d2", at.alias("at"), "size", "hash")
         spots = found.groupBy("d1", "d2").agg(F.collect_set(F.struct("at", "size", "hash")).alias("spots"))
-        own = docs.select(*[k.alias(f"o{i}") for i, k in enumerate(keys)], docs["text"]).dropDuplicates(["o0", "o1"])
+        own = docs.select(*[k.alias(f"o{i}") for i, k in enumerate(keys)], docs["text"])
         back = own.join(spots, own["o0"].eqNullSafe(spots["d1"]) & (own["o1"] == spots["d2"]))
         each = back.select("d1", "d2", words(F.col("text")).alias("w"), F.explode("spots").alias("s"))
         cut = each.select("d1", "d2", "s.*", F.slice("w", F.greatest(F.col("s.at"), F.lit(0)) + 1, F.col("s.size")).alias("cut"))

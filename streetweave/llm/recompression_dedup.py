@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from streetweave.llm.blocks import ASK, KEEP, Block, Rounds, Row, by_bucket, classes, hash_of, mixed, pack, packed_arrays, unpacked_arrays
 
 #: Rounds of recompression at most, and how many names the next longer string is made of.
-ROUNDS, STRIDE = 5, 4
+ROUNDS, STRIDE = 4, 8
 _LAST = np.iinfo(np.int64).max
 _TEXTS = "doc_id long, n_words long, n_removed long, text string"
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -108,26 +108,26 @@ def _name_words(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
     return _named(bucket, words.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.concatenate(twice), places)
 
 
-def _asked(columns: list[np.ndarray], firsts: np.ndarray, twice: np.ndarray, hashes: np.ndarray, n_buckets: int) -> Iterator[Row]:
-    """The distinct keys of a block (rows ``firsts`` of the columns): places, whether twice here, columns."""
+def _asked(columns: list[np.ndarray], firsts: np.ndarray, more: np.ndarray, hashes: np.ndarray, n_buckets: int) -> Iterator[Row]:
+    """The distinct keys of a block (rows ``firsts`` of the columns): places, ``more`` of each, columns."""
     for bucket, own in by_bucket(hashes[firsts], n_buckets):
-        yield ASK, bucket, b"".join([own.astype("<u4").tobytes(), twice[own].astype("<i8").tobytes(), *(c[firsts[own]].astype("<u8").tobytes() for c in columns)])
+        yield ASK, bucket, b"".join([own.astype("<u4").tobytes(), more[own].tobytes(), *(c[firsts[own]].astype("<u8").tobytes() for c in columns)])
 
 
-def _told(blobs: list[bytes], n_columns: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    places, seconds, columns = [], [], [[] for _ in range(n_columns)]
+def _told(blobs: list[bytes], n_columns: int, kind: str) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    places, more, columns, size = [], [], [[] for _ in range(n_columns)], 4 + np.dtype(kind).itemsize
     for b in blobs:
-        n = len(b) // (12 + 8 * n_columns)
+        n = len(b) // (size + 8 * n_columns)
         places.append(np.frombuffer(b, "<u4", n))
-        seconds.append(np.frombuffer(b, "<i8", n, 4 * n))
+        more.append(np.frombuffer(b, kind, n, 4 * n))
         for k, c in enumerate(columns):
-            c.append(np.frombuffer(b, "<u8", n, (12 + 8 * k) * n))
-    return places, np.concatenate(seconds), [np.concatenate(c) for c in columns]
+            c.append(np.frombuffer(b, "<u8", n, (size + 8 * k) * n))
+    return places, np.concatenate(more), [np.concatenate(c) for c in columns]
 
 
 def _name_keys(n_columns: int):
     def judge(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
-        places, twice, columns = _told(blobs, n_columns)
+        places, twice, columns = _told(blobs, n_columns, "u1")
         return _named(bucket, classes(columns, hash_of(columns))[0], twice, places)
 
     return judge
@@ -136,7 +136,7 @@ def _name_keys(n_columns: int):
 def _least_doc(n_columns: int):
     def judge(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
         """The least doc_id of each key, to the blocks whose own least is larger."""
-        places, docs, columns = _told(blobs, n_columns)
+        places, docs, columns = _told(blobs, n_columns, "<i8")
         of, firsts = classes(columns, hash_of(columns))
         least = np.full(len(firsts), _LAST)
         np.minimum.at(least, of, docs)
@@ -285,20 +285,29 @@ class _Task:
         word = np.where(passages.covered(), word, 0).astype(np.uint32)
         used = np.unique(word)  # only names of words that passages left still hold
         word, names = np.searchsorted(used, word).astype(np.uint32), names[used]
-        place = np.full(len(made["name"]), -1, np.int32)
-        place[made.pop("new")] = of
-        small = {k: v if k == "name" else v.astype(np.int32) for k, v in made.items()}
-        yield self._state(passages, docs=docs, word=word, names=names, place=place, size=np.array([len(firsts)]), **small)
-        yield from _asked(columns, firsts, np.bincount(of, minlength=len(firsts)) > 1, hashes, self.n_buckets)
+        yield self._state(passages, docs=docs, word=word, names=names, size=np.array([len(firsts)]), **self._stored(made, of))
+        yield from _asked(columns, firsts, (np.bincount(of, minlength=len(firsts)) > 1).astype(np.uint8), hashes, self.n_buckets)
+
+    def _stored(self, made: State, of: np.ndarray) -> State:
+        """Symbols in few bytes: their names or else the places of their keys, and differences of where they lie."""
+        alphabet, code = np.unique(np.where(made["new"], 0, made["name"]), return_inverse=True)
+        code[made["new"]] = len(alphabet) + of
+        far = self.window + 1  # a dependence beyond the window tells nothing, however far it reaches
+        before, after = np.minimum(made["beg"] - made["lo"], far), np.minimum(made["hi"] - made["end"], far)
+        return {
+            "alphabet": alphabet, "code": code.astype(np.uint32), "step": np.diff(made["beg"], prepend=0).astype(np.uint32),
+            "long": (made["end"] - made["beg"]).astype(np.uint32), "before": before.astype(np.uint16 if far < 1 << 16 else np.uint32),
+            "after": after.astype(np.uint16 if far < 1 << 16 else np.uint32),
+        }
 
     def _symbols(self, kept: State, told: dict[int, bytes]) -> tuple[_Passages, State]:
         """The symbols with the names they have got; windows with one that got none are out."""
-        passages, place = self._passages(kept), kept["place"]
-        new = place >= 0
-        name = kept["name"].copy()
-        name[new] = _answers(told, int(kept["size"][0]), "<u8", 0)[place[new]]
-        alone = new & (name == 0)
-        sym = {"name": name, **{k: kept[k].astype(np.int64) for k in ("beg", "end", "lo", "hi")}}
+        passages, code = self._passages(kept), kept["code"].astype(np.int64)
+        name = np.concatenate([kept["alphabet"], _answers(told, int(kept["size"][0]), "<u8", 0)])[code]
+        beg = np.cumsum(kept["step"], dtype=np.int64)
+        end = beg + kept["long"]
+        sym = {"name": name, "beg": beg, "end": end, "lo": beg - kept["before"], "hi": end + kept["after"]}
+        alone = (code >= len(kept["alphabet"])) & (name == 0)
         passages.drop(sym["lo"][alone], sym["hi"][alone])
         return passages, sym
 
@@ -338,7 +347,7 @@ class _Task:
         of, firsts = classes(columns, hashes)
         if longer < self.window:
             yield self._state(passages, docs=docs, at=at.astype(np.uint32), place=of.astype(np.uint32), size=np.array([len(firsts)]))
-            yield from _asked(columns, firsts, np.bincount(of, minlength=len(firsts)) > 1, hashes, self.n_buckets)
+            yield from _asked(columns, firsts, (np.bincount(of, minlength=len(firsts)) > 1).astype(np.uint8), hashes, self.n_buckets)
             return
         own = docs[np.searchsorted(passages.starts, at, "right") - 1]
         least = np.full(len(firsts), _LAST)
