@@ -37,12 +37,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from streetweave.llm.blocks import ASK, KEEP, Block, Rounds, Row, by_bucket, classes, hash_of, mixed, pack, packed_arrays, unpacked_arrays
 
 #: Rounds of recompression at most, and how many names the next longer string is made of.
-ROUNDS, STRIDE = 4, 8
+ROUNDS, STRIDE = 4, 4
 _LAST = np.iinfo(np.int64).max
 _TEXTS = "doc_id long, n_words long, n_removed long, text string"
 _DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -108,21 +109,30 @@ def _name_words(bucket: int, blobs: list[bytes]) -> list[bytes | None]:
     return _named(bucket, words.dictionary_encode().indices.to_numpy(zero_copy_only=False), np.concatenate(twice), places)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then all second bytes and so on: names have many bytes in common."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
 def _asked(columns: list[np.ndarray], firsts: np.ndarray, more: np.ndarray, hashes: np.ndarray, n_buckets: int) -> Iterator[Row]:
     """The distinct keys of a block (rows ``firsts`` of the columns): places, ``more`` of each, columns."""
+    zstd = zstandard.ZstdCompressor(level=1)
     for bucket, own in by_bucket(hashes[firsts], n_buckets):
-        yield ASK, bucket, b"".join([own.astype("<u4").tobytes(), more[own].tobytes(), *(c[firsts[own]].astype("<u8").tobytes() for c in columns)])
+        values = [own.astype("<u4"), more[own], *(c[firsts[own]].astype("<u8") for c in columns)]
+        yield ASK, bucket, zstd.compress(b"".join(map(_planes, values)))
 
 
 def _told(blobs: list[bytes], n_columns: int, kind: str) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    places, more, columns, size = [], [], [[] for _ in range(n_columns)], 4 + np.dtype(kind).itemsize
+    kinds = ["<u4", kind, *["<u8"] * n_columns]
+    size, zstd, parts = sum(np.dtype(k).itemsize for k in kinds), zstandard.ZstdDecompressor(), [[] for _ in kinds]
     for b in blobs:
-        n = len(b) // (size + 8 * n_columns)
-        places.append(np.frombuffer(b, "<u4", n))
-        more.append(np.frombuffer(b, kind, n, 4 * n))
-        for k, c in enumerate(columns):
-            c.append(np.frombuffer(b, "<u8", n, (size + 8 * k) * n))
-    return places, np.concatenate(more), [np.concatenate(c) for c in columns]
+        raw, at = zstd.decompress(b), 0
+        n = len(raw) // size
+        for k, out in zip(kinds, parts, strict=True):
+            planes = np.frombuffer(raw, np.uint8, n * np.dtype(k).itemsize, at)
+            at += len(planes)
+            out.append(np.ascontiguousarray(planes.reshape(-1, n).T).view(k).ravel())
+    return parts[0], np.concatenate(parts[1]), [np.concatenate(c) for c in parts[2:]]
 
 
 def _name_keys(n_columns: int):
