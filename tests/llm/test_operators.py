@@ -519,6 +519,19 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.mixed(empty(spark)).collect() == [] and mixing.sampled(empty(spark)).collect() == []
 
 
+def test_raking_comes_to_its_targets_by_both_ways(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"s{rng.randrange(5)}", f"l{rng.randrange(3)}", f"t{rng.randrange(4)}", rng.randint(1, 500)) for _ in range(300)]
+    cells = mixing.token_cells(spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long"))
+    targets = {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMENSIONS}
+    few = mixing.raked(cells, targets)
+    gaps = mixing.marginal_gaps(few, targets).collect()
+    assert len(gaps) == 12 and max(abs(g.share - g.target) for g in gaps) < 1e-4
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    many = {(r.source, r.lang, r.topic): r.w for r in mixing.raked(cells, targets).collect()}
+    assert many == {(r.source, r.lang, r.topic): pytest.approx(r.w, rel=1e-9) for r in few.collect()}
+
+
 # passages
 
 
@@ -597,7 +610,7 @@ def test_passages_of_runs_and_periods(spark):
 def test_licences_are_found_and_inherited(spark):
     mit = "Released under the MIT License."
     rows = [
-        ("a/LICENSE", "permission is hereby granted free of charge\nto any person obtaining a copy of this software"), ("a/x.py", "code here\nmore code"), ("a/b/y.py", "deeper code"), ("a/b/z.py", f"# {mit}\ncode of its own and more code after that, all about other matters"), ("c/q.py", "code"),
+        ("a/LICENSE", dict(license_scan.file_templates())["MIT"]), ("a/x.py", "code here\nmore code"), ("a/b/y.py", "deeper code"), ("a/b/z.py", f"# {mit}\ncode of its own and more code after that, all about other matters"), ("c/q.py", "code"),
         ("d/1", f"text\n{mit}"), ("d/2", "x\nLicensed under the Apache License, Version 2.0."), ("d/3", "plain"), ("e/4", None), (None, mit), (None, None), ("a/x.py", "code here\nmore code"), ("f", "the of and in under a work"),
     ]
     files = spark.createDataFrame([(i, p, t, "x", "y") for i, (p, t) in enumerate(rows)], "k int, path string, text string, term string, th string")
@@ -612,39 +625,59 @@ def test_licences_are_found_and_inherited(spark):
     assert license_scan.scanned(files.limit(0)).collect() == []
 
 
+def test_full_licence_texts_are_found(spark):
+    """As they are, on one line, with other holders and words left out; and what is only about licences is not."""
+    rng = random.Random(12)
+    rows, texts = [], dict(license_scan.file_templates())
+    for name, text in texts.items():
+        edited = " ".join(w for w in text.split() if rng.random() > 0.08)
+        rows += [(f"{name}/a", text), (f"{name}/b", " ".join(text.split())), (f"{name}/c", "Copyright 2031 Some Body\n" + edited), (f"{name}/d", text.upper())]
+    prose = "A talk about the license of the software and its terms. " + " ".join(rng.choice(("river", "stone", "garden", "window", "letter")) for _ in range(300))
+    rows += [("x/1", prose), ("y/1", "very long " * 40_000), ("z/1", texts["ISC"]), ("z/1", texts["ISC"])]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "k int, path string, text string")
+    got = {r.k: (r.licence, r.found) for r in license_scan.scanned(files).collect()}
+    for k, (path, _) in enumerate(rows[:-4]):
+        assert got[k] == (path.split("/")[0], "file"), (path, got[k])
+    assert got[len(rows) - 4][1] != "file" and got[len(rows) - 3] == (None, None)
+    assert got[len(rows) - 2] == got[len(rows) - 1] == ("ISC", "file")
+
+
 def test_cosines_equal_plain_arithmetic(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = dict(license_scan.file_templates())
+    more = [(900_000, texts["GPL-2.0"][:9000]), (900_001, texts["MPL-2.0"].replace("Covered", "Other")), (900_002, "all rights reserved software")]
+    docs = docs.select("doc_id", "text", "source", "lang").union(spark.createDataFrame([(i, t, "s", "en") for i, t in more], "doc_id long, text string, source string, lang string"))
     files = license_scan.document_paths(docs)
     rows = files.collect()
-    got = {r.doc_id: (r.licence, r.cosine) for r in license_scan.scanned(files).where("found IN ('header', 'file')").collect()}
+    got = {r.doc_id: (r.licence, r.cosine, r.found == "file") for r in license_scan.scanned(files).where("found IN ('header', 'file')").collect()}
 
-    def terms(t):
+    def terms(t, whole):
         low = "".join(c.lower() if c.isascii() else c for c in t)
         low = re.sub(r"[.\-]+(?=[\x00-\x20]|$)", " ", low)
-        return [w for w in re.split(r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+", low) if w and w not in license_scan.STOP_WORDS]
-
-    templates = [(name, Counter(terms(t))) for name, t in license_scan.TEMPLATES]
-    vocabulary = set().union(*[c for _, c in templates])
-    df = Counter(w for r in rows for w in vocabulary & set(terms((r.text or "").replace("\n", " ").replace("\r", " "))))
-    idf = {w: round(math.log((len(rows) + 1.0) / (df[w] + 1.0)) + 1.0, 9) for w in vocabulary}
-    rarest = math.log(len(rows) + 1.0) + 1.0
-    best = {}
+        found = re.split(r"[\x00-\x2C\x2F\x3A-\x60\x7B-\x7F]+", low)
+        return [w for w in found if (len(w) > 3 and w not in license_scan.FILE_STOP_WORDS if whole else w and w not in license_scan.STOP_WORDS)]
+
+    def best(t, templates, whole):
+        vectors = [(name, Counter(terms(x, whole))) for name, x in templates]
+        df = Counter(w for _, c in vectors for w in c)
+        idf = {w: round(math.log((len(vectors) + 1.0) / (n + 1.0)) + 1.0, 9) for w, n in df.items()}
+        c, rarest, out = Counter(terms(t, whole)), math.log(len(vectors) + 1.0) + 1.0, []
+        length = math.sqrt(sum((n * idf.get(w, rarest)) ** 2 if w in idf else n * rarest**2 for w, n in c.items()))
+        for name, v in vectors:
+            norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in v.items()))
+            cosine = round(sum(n * v[w] * idf[w] ** 2 for w, n in c.items() if w in v) / (length or 1) / norm, 6)
+            if cosine >= license_scan.LEAST:
+                out.append((-cosine, name))
+        return min(out, default=None)
+
+    want = {}
     for r in rows:
         lines = (r.text or "").split("\n")
-        for whole, t in [(False, x) for x in lines] + [(True, " ".join(lines))]:
-            c = Counter(terms(t))
-            known = {w: n for w, n in c.items() if w in vocabulary}
-            if not known:
-                continue
-            length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in known.items()) + (sum(c.values()) - sum(known.values())) * rarest**2)
-            for name, tc in templates:
-                norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tc.items()))
-                cosine = sum(n * idf[w] * tc[w] * idf[w] for w, n in known.items() if w in tc) / length / norm
-                if cosine >= license_scan.LEAST:
-                    key = (whole, round(cosine, 6))
-                    if r.doc_id not in best or key > best[r.doc_id][0] or (key == best[r.doc_id][0] and name < best[r.doc_id][1]):
-                        best[r.doc_id] = (key, name)
-    assert {i: (n, k[1]) for i, (k, n) in best.items()} == {i: (n, pytest.approx(c, abs=2e-6)) for i, (n, c) in got.items()} and got
+        whole = best(" ".join(lines), license_scan.file_templates(), True)
+        of_lines = min(filter(None, (best(x, license_scan.TEMPLATES, False) for x in lines)), default=None)
+        if found := whole or of_lines:
+            want[r.doc_id] = (found[1], pytest.approx(-found[0], abs=2e-6), whole is not None)
+    assert got == want and any(w for _, _, w in got.values())
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.1"])
