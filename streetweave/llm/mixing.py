@@ -10,7 +10,9 @@ it; null doc_ids share one too. Null attributes are a category of their own. Tex
 nothing and are kept like the rest of their cell. A target for a value that no document has is left
 out and the others are scaled up; a value without a target gets none of the weight and is dropped. An
 empty table stays empty. The number of cells is that of the combinations that occur: the rounds run in
-one partition while they are few, and by windows over all partitions beyond that.
+one partition while they are few, and by sums and joins over all partitions beyond that. What is left
+between the raked shares and the targets after the fixed number of rounds is told by
+:func:`marginal_gaps`.
 """
 
 from __future__ import annotations
@@ -61,13 +63,29 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         if few:
             now = now.coalesce(1)
         for d in DIMENSIONS:
-            own = F.sum("w").over(Window.partitionBy(d))
-            now = now.withColumn("w", F.when(own > 0, F.col("w") * F.col(f"t_{d}") * F.lit(whole) / own).otherwise(F.lit(0.0)))
-        if k % 2 or k == rounds - 1:
+            if few:
+                now = now.withColumn("own", F.sum("w").over(Window.partitionBy(d)))
+            else:  # summed where the cells are, however many share a value
+                now = now.join(now.groupBy(d).agg(F.sum("w").alias("own")), d)
+            now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") * F.lit(whole) / F.col("own")).otherwise(F.lit(0.0))).drop("own")
+        if not few or k % 2 or k == rounds - 1:
             now = land(now, "mixing-raked")
     return now.select(*DIMENSIONS, "n", "w")
 
 
+def marginal_gaps(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, target and share of the raked weight ``w`` of ``cells``, a row for each value with
+    a target: how far the rounds have come."""
+    total = cells.agg(F.sum("w")).first()[0] or 1.0
+    out = None
+    for d in DIMENSIONS:
+        own = cells.groupBy(F.col(d).alias("value")).agg((F.sum("w") / F.lit(total)).alias("share"))
+        t = targets[d].select("value", F.col("share").alias("target"))
+        rows = t.join(own, "value", "left").select(F.lit(d).alias("dimension"), "value", "target", F.coalesce("share", F.lit(0.0)).alias("share"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def probabilities(cells: DataFrame) -> DataFrame:
     """source, lang, topic and ``prob``, by raked weight over tokens, at most one."""
     ratio = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(0.0))
@@ -128,7 +146,7 @@ def oracle_sql(power: float = 0.9, rounds: int = ROUNDS) -> str:
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(CAST(e.label AS VARCHAR), '') AS topic,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
-  FROM documents LEFT JOIN embeddings e ON vec_id = doc_id),
+  FROM documents LEFT JOIN (SELECT vec_id, min(label) AS label FROM embeddings GROUP BY vec_id) e ON vec_id = doc_id),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM d GROUP BY ALL),
 {targets},
 c0 AS (
