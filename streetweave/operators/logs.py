@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streetweave.operators.ranks import ranked
+
 # Completions a rate is taken from, attempts and failures in a row that end a run.
 RATE_WINDOW, MAX_ATTEMPTS, MAX_FAILURES = 40, 6, 10
 PERMANENT = ("missing_file", "no_coordinates", "no_heading", "invalid_image")
@@ -63,17 +67,16 @@ def retry_candidates(log: DataFrame, limit: int = MAX_ATTEMPTS) -> DataFrame:
     return rows.where((F.col("status") == "failed") & (F.col("attempts") < limit)).select("stage", "image", "attempts")
 
 
-def failures_in_a_row(log: DataFrame, part: list[str]) -> DataFrame:
-    """part, longest: the longest run of failures in log order."""
-    w = Window.partitionBy(*part).orderBy("seq")
-    rows = log.withColumn("__n", F.row_number().over(w)).where("status = 'failed'")
-    rows = rows.withColumn("__run", F.col("__n") - F.row_number().over(w))
+def failures_in_a_row(log: DataFrame, part: list[str], land: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """part, longest: the longest run of failures in log order. ``land`` writes a table and reads it back."""
+    every = ranked(log.select(*part, "seq", "status"), part, [F.col("seq")], land).where("status = 'failed'").withColumnRenamed("rn", "__n")
+    rows = ranked(every, part, [F.col("seq")], land).withColumn("__run", F.col("__n") - F.col("rn"))
     runs = rows.groupBy(*part, "__run").agg(F.count("*").alias("n"))
     return runs.groupBy(*part).agg(F.max("n").alias("longest"))
 
 
-def should_abort(log: DataFrame, part: list[str], limit: int = MAX_FAILURES) -> DataFrame:
-    return failures_in_a_row(log, part).select(*part, (F.col("longest") >= limit).alias("abort"))
+def should_abort(log: DataFrame, part: list[str], land: Callable[[DataFrame], DataFrame], limit: int = MAX_FAILURES) -> DataFrame:
+    return failures_in_a_row(log, part, land).select(*part, (F.col("longest") >= limit).alias("abort"))
 
 
 def fold_reviews(events: DataFrame) -> DataFrame:
@@ -100,8 +103,17 @@ def settings_agreement(analyses: DataFrame) -> DataFrame:
     return analyses.groupBy("dataset").agg(F.count_distinct("settings").alias("settings")).select("dataset", "settings", (F.col("settings") == 1).alias("agree"))
 
 
-def input_fingerprint(rows: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
-    """group, inputs_sha256: the hash of the sorted ``key:value`` lines. Each line is hashed where it is,
-    so a group's list holds fixed-size entries."""
-    line = F.concat(F.col(key), F.lit(":"), F.col(value))
-    return rows.groupBy(*group).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("inputs_sha256"), F.count("*").alias("rows"))
+def input_fingerprint(rows: DataFrame, group: list[str], key: str, value: str, land: Callable[[DataFrame], DataFrame], width: int = 1024) -> DataFrame:
+    """group, inputs_sha256, rows: a tree of hashes over the sorted ``key:value`` lines. ``width`` lines in a
+    row make a hash, as many of these the next one, and the hashes of that level the last; so no task sees
+    more than ``width`` lines of a group. ``land`` writes a table and reads it back."""
+    lines = rows.select(*group, F.concat(F.col(key), F.lit(":"), F.col(value)).alias("x"))
+    now = ranked(lines, group, [F.col("x")], land).select(*group, (F.col("rn") - 1).alias("at"), "x", F.lit(1).cast("long").alias("rows"))
+
+    def hashed(level: DataFrame, keys: list) -> DataFrame:
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"])
+        return level.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", inside), 256).alias("x"), F.sum("rows").alias("rows"))
+
+    for _ in range(2):
+        now = hashed(now, [*group, F.floor(F.col("at") / width).alias("up")]).withColumnRenamed("up", "at")
+    return hashed(now, group).select(*group, F.col("x").alias("inputs_sha256"), "rows")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streetweave.operators.ranks import ranked
+
 
 def categorical_scores(rows: DataFrame, group: list[str]) -> DataFrame:
     """group and n, answered, coverage, accuracy, balanced_accuracy, macro_f1, majority_baseline over
@@ -54,17 +58,17 @@ def numeric_scores(rows: DataFrame, group: list[str], tolerance: float) -> DataF
     return n.join(sums, group, "left").fillna(0, ["answered"])
 
 
-def risk_coverage(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def risk_coverage(rows: DataFrame, group: list[str], order: list[str], land: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """group, share, coverage, accuracy of the most confident answers at a quarter, half, three quarters
-    and all of them. ``rows``: group, truth, predicted, confidence; order breaks ties."""
-    said = rows.where("predicted IS NOT NULL")
-    ranked = said.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("confidence"), *order)))
+    and all of them. ``rows``: group, truth, predicted, confidence; order breaks ties. ``land`` writes a
+    table and reads it back."""
+    said = ranked(rows.where("predicted IS NOT NULL"), group, [F.desc("confidence"), *map(F.col, order)], land)
     counts = rows.groupBy(*group).agg(F.count("*").alias("n"), F.count("predicted").alias("answered"))
     shares = counts.withColumn("share", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75, 1.0)))))
     kept = F.greatest(F.lit(1), F.bround(F.col("answered") * F.col("share")).cast("long"))
     cuts = shares.where("answered > 0").withColumn("kept", kept)
     right = F.avg(F.when(F.col("truth") == F.col("predicted"), 1.0).otherwise(0.0))
-    joined = ranked.join(F.broadcast(cuts), group).where(F.col("rn") <= F.col("kept"))
+    joined = said.join(cuts, group).where(F.col("rn") <= F.col("kept"))
     out = joined.groupBy(*group, "share", "n", "kept").agg(F.round(right, 4).alias("accuracy"))
     return out.select(*group, "share", F.round(F.col("kept") / F.col("n"), 4).alias("coverage"), "accuracy")
 
@@ -74,7 +78,7 @@ def common_subset(rows: DataFrame, key: str, run: str, answered: str) -> DataFra
     n = rows.select(key).distinct().count()
     per_run = rows.where(answered).groupBy(run).agg(F.count_distinct(key).alias("c"))
     deciding = per_run.where(F.col("c") * 2 >= n).select(run)
-    said = rows.where(answered).join(F.broadcast(deciding), run, "left_semi").select(run, key).distinct()
+    said = rows.where(answered).join(deciding, run, "left_semi").select(run, key).distinct()
     return said.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") == deciding.count()).select(key)
 
 

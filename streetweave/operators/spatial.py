@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streetweave.operators.ranks import ranked
 from streetweave.functions.geo import angle_between, bearing_deg, haversine_m
 
 # Radii in metres, neighbours kept, angles and distances of a good view, tile scale.
@@ -161,12 +162,13 @@ def extent(captures: DataFrame, margin: float = 0.003) -> DataFrame:
     )
 
 
-def median_position(captures: DataFrame) -> DataFrame:
-    """dataset, lon, lat: the upper middle value of each."""
+def median_position(captures: DataFrame, land) -> DataFrame:
+    """dataset, lon, lat: the upper middle value of each. ``land`` writes a table and reads it back."""
 
     def middle(c: str) -> DataFrame:
-        ranked = captures.where(F.col(c).isNotNull()).select("dataset", c, F.row_number().over(Window.partitionBy("dataset").orderBy(c)).alias("rn"), F.count("*").over(Window.partitionBy("dataset")).alias("n"))
-        return ranked.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("dataset", c)
+        there = captures.where(F.col(c).isNotNull()).select("dataset", c)
+        n = there.groupBy("dataset").agg((F.floor(F.count("*") / 2) + 1).alias("rn"))
+        return ranked(there, ["dataset"], [F.col(c)], land).join(n, ["dataset", "rn"]).select("dataset", c)
 
     return middle("lon").join(middle("lat"), "dataset")
 

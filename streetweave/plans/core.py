@@ -9,6 +9,7 @@ from streetweave.functions import fields, geo
 from streetweave.operators import cards, fusion, scoring, views
 from streetweave.plans import registry as r
 from streetweave.plans.registry import query
+from streetweave.sources.landing import landing
 
 _FRACTION = "CAST(pixels AS DOUBLE) / (width * height)"
 _SCORE = f"({_FRACTION}) * (0.25 + 0.75 * coverage) * CASE WHEN blurry THEN 0.5 ELSE 1.0 END"
@@ -287,7 +288,7 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     ("scored",),
 )
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.risk_coverage(r.scored(spark, d), ["run"], ["building_id"])
+    return scoring.risk_coverage(r.scored(spark, d), ["run"], ["building_id"], landing(spark, "answers"))
 
 
 r.CTES["run_answers"] = """

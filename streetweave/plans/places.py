@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from streetweave.operators import spatial
 from streetweave.plans import registry as r
 from streetweave.plans.registry import query
+from streetweave.sources.landing import landing
 
 _DIST = (
     "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -141,7 +142,7 @@ def a44(spark: SparkSession, d: str) -> DataFrame:
     ("captures",),
 )
 def a35(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.median_position(r.captures(spark, d))
+    return spatial.median_position(r.captures(spark, d), landing(spark, "positions"))
 
 
 @query("P3", "SELECT image_id FROM captures WHERE lon BETWEEN -0.375 AND -0.365 AND lat BETWEEN 39.472 AND 39.485 AND captured_at_ms >= 852076800000 AND heading < 180", ("captures",))

@@ -9,6 +9,7 @@ from streetweave.operators import captures as cap
 from streetweave.operators import cards, corrections, fusion, logs, views
 from streetweave.plans import registry as r
 from streetweave.plans.registry import query
+from streetweave.sources.landing import landing
 
 r.CTES["folded"] = """
 SELECT *, CASE WHEN decision = 'accepted' AND coalesce(sum(CASE WHEN decision = 'accepted' THEN 1 END) OVER (PARTITION BY osm_id ORDER BY revision ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) > 0 THEN 'superseded' ELSE decision END AS status FROM revisions
@@ -171,7 +172,7 @@ def t5(spark: SparkSession, d: str) -> DataFrame:
     ("ledger",),
 )
 def t5_abort(spark: SparkSession, d: str) -> DataFrame:
-    return logs.should_abort(r.ledger(spark, d), ["stage"], 5)
+    return logs.should_abort(r.ledger(spark, d), ["stage"], landing(spark, "log"), 5)
 
 
 r.CTES["review_events"] = """
@@ -212,9 +213,16 @@ def a42(spark: SparkSession, d: str) -> DataFrame:
     return logs.settings_agreement(r.views(spark, d).select("dataset", (F.col("pixels") % 3).alias("settings")))
 
 
-@query("S14", "SELECT dataset, sha256(string_agg(image_id || ':' || building_id, chr(10) ORDER BY image_id || ':' || building_id)) AS inputs_sha256, count(*) AS rows FROM views GROUP BY dataset", ("views",))
+@query(
+    "S14",
+    """WITH l AS (SELECT dataset, line, row_number() OVER (PARTITION BY dataset ORDER BY line) - 1 AS i FROM (SELECT dataset, image_id || ':' || building_id AS line FROM views)),
+    a AS (SELECT dataset, i // 1024 AS j, sha256(string_agg(line, chr(10) ORDER BY i)) AS h, count(*) AS n FROM l GROUP BY 1, 2),
+    b AS (SELECT dataset, j // 1024 AS k, sha256(string_agg(h, chr(10) ORDER BY j)) AS h, sum(n) AS n FROM a GROUP BY 1, 2)
+    SELECT dataset, sha256(string_agg(h, chr(10) ORDER BY k)) AS inputs_sha256, CAST(sum(n) AS BIGINT) AS rows FROM b GROUP BY dataset""",
+    ("views",),
+)
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    return logs.input_fingerprint(r.views(spark, d), ["dataset"], "image_id", "building_id")
+    return logs.input_fingerprint(r.views(spark, d), ["dataset"], "image_id", "building_id", landing(spark, "lines"))
 
 
 r.CTES["preferred"] = """
