@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetweave.functions.fields import finite, normal_heading
-from streetweave.functions.geo import EARTH_RADIUS_M, haversine_m
+from streetweave.functions.geo import haversine_m
+from streetweave.operators.masks import connected
+from streetweave.operators.spatial import radius_join
 
-# Fixed value: metres between views that count as independent. Larger groups than this are thinned greedily.
-BASELINE_M, EXACT_VIEWS = 3.0, 16
+# Fixed value: metres between views that count as independent.
+BASELINE_M = 3.0
 
 
 def valid_point(point: Column) -> Column:
@@ -88,43 +89,101 @@ def attribution_lines(captures: DataFrame) -> DataFrame:
     return captures.select(F.format_string("%s by %s", "image_id", name).alias("value"))
 
 
-def _largest(lat: np.ndarray, lon: np.ndarray, least_m: float) -> list[int]:
-    """The first of the largest sets of points that are pairwise far enough apart."""
-    p, q = np.radians(lat), np.radians(lon)
-    a = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p[:, None]) * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
-    apart = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(a, 1.0))) >= least_m
-    if len(lat) > EXACT_VIEWS:
-        taken: list[int] = []
-        for i in range(len(lat)):
-            if all(apart[i, j] for j in taken):
-                taken.append(i)
-        return taken
-    for size in range(len(lat), 0, -1):
-        for chosen in combinations(range(len(lat)), size):
-            if all(apart[i, j] for i, j in combinations(chosen, 2)):
-                return list(chosen)
-    return []
-
-
-def independent_views(views: DataFrame, least_m: float = BASELINE_M) -> DataFrame:
-    """building_id, image_id, exact: a largest set of views pairwise at least ``least_m`` apart, the first
-    such set in the order of image ids. Groups of more than ``EXACT_VIEWS`` are thinned in that order
-    instead, and say so. ``views``: building_id, image_id, lat, lon."""
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("image_id", ignore_index=True)
-        kept = rows.iloc[_largest(rows["lat"].to_numpy(), rows["lon"].to_numpy(), least_m)]
-        return kept[["building_id", "image_id"]].assign(exact=len(rows) <= EXACT_VIEWS)
-
-    located = views.where("lat IS NOT NULL AND lon IS NOT NULL").select("building_id", "image_id", "lat", "lon").distinct()
-    return located.groupBy("building_id").applyInPandas(choose, "building_id string, image_id string, exact boolean")
-
-
-def fuse_nearby(views: DataFrame, captures: DataFrame) -> DataFrame:
+def _largest(near: list[int]) -> list[int]:
+    """The first of the largest sets of points no two of which are near. ``near``: for each point, the bits of
+    those that are."""
+    known: dict[int, int] = {0: 0}
+
+    def bits(mask: int):
+        while mask:
+            low = mask & -mask
+            yield low.bit_length() - 1
+            mask ^= low
+
+    def piece(mask: int) -> int:
+        """What the lowest point of the mask is connected with."""
+        found = todo = mask & -mask
+        while todo:
+            todo = sum_of(near[i] for i in bits(todo)) & mask & ~found
+            found |= todo
+        return found
+
+    def sum_of(masks) -> int:
+        out = 0
+        for m in masks:
+            out |= m
+        return out
+
+    def size(mask: int) -> int:
+        """How many points of the mask a largest set has: pieces apart, points with one neighbour at once,
+        else with and without the point that has most neighbours."""
+        total = 0
+        while mask:
+            own = piece(mask)
+            mask ^= own
+            if own in known:
+                total += known[own]
+                continue
+            degrees = {i: (near[i] & own).bit_count() for i in bits(own)}
+            few = min(degrees, key=degrees.get)
+            if degrees[few] <= 1:
+                best = 1 + size(own & ~near[few] & ~(1 << few))
+            else:
+                most = max(degrees, key=degrees.get)
+                best = max(1 + size(own & ~near[most] & ~(1 << most)), size(own & ~(1 << most)))
+            known[own] = best
+            total += best
+        return total
+
+    rest, chosen = (1 << len(near)) - 1, []
+    left = size(rest)
+    while left:  # the lowest point that some largest set begins with
+        i = (rest & -rest).bit_length() - 1
+        rest &= ~(1 << i)
+        if 1 + size(rest & ~near[i]) == left:
+            chosen.append(i)
+            rest &= ~near[i]
+            left -= 1
+    return chosen
+
+
+def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame], least_m: float = BASELINE_M) -> DataFrame:
+    """building_id, image_id: a largest set of views pairwise at least ``least_m`` apart, the first such set in
+    the order of image ids. ``views``: building_id, image_id, lat, lon. ``land`` writes a table and reads
+    it back.
+
+    Views nearer to one another than that are links; the first largest set of a building is that of each
+    connected piece, so only a piece has to fit a task, and a view without links needs none."""
+    located = views.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("building_id", "image_id").agg(F.min(F.struct("lat", "lon")).alias("p"))
+    points = land(located.select("building_id", "image_id", "p.lat", "p.lon"))
+    pairs = radius_join(points, points, least_m, ["building_id", "image_id"], ["building_id", "image_id"])
+    close = pairs.where((F.col("building_id") == F.col("b_building_id")) & (F.col("image_id") != F.col("b_image_id")) & (F.col("distance_m") < least_m))
+    links = land(close.select("building_id", "image_id", F.col("b_image_id").alias("other")))
+    if links.isEmpty():
+        return points.select("building_id", "image_id")
+    node = lambda c: F.to_json(F.array("building_id", c))
+    roots = connected(links.select(node("image_id").alias("u"), node("other").alias("v")), land)
+    placed = links.withColumn("node", node("image_id")).join(roots, "node").select("root", "building_id", "image_id", "other")
+
+    def choose(piece: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(piece["image_id"]))
+        place = {n: k for k, n in enumerate(names)}
+        near = [0] * len(names)
+        for a, b in zip(piece["image_id"], piece["other"], strict=True):
+            near[place[a]] |= 1 << place[b]
+        kept = [names[k] for k in _largest(near)]
+        return pd.DataFrame({"building_id": [piece["building_id"].iloc[0]] * len(kept), "image_id": kept})
+
+    chosen = placed.groupBy("root").applyInPandas(choose, "building_id string, image_id string")
+    free = points.select("building_id", "image_id").join(links, ["building_id", "image_id"], "left_anti")
+    return free.union(chosen)
+
+
+def fuse_nearby(views: DataFrame, captures: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per building: sources, captures, observed_pixels, independent views and their mean coverage."""
     sums = views.groupBy("building_id").agg(
         F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"), F.count_distinct("image_id").alias("captures"), F.sum("pixels").alias("observed_pixels")
     )
-    independent = independent_views(views.select("building_id", "image_id").join(captures, "image_id"))
+    independent = independent_views(views.select("building_id", "image_id").join(captures, "image_id"), land)
     means = views.join(independent, ["building_id", "image_id"]).groupBy("building_id").agg(F.count_distinct("image_id").alias("views"), F.round(F.avg("coverage"), 3).alias("confidence"))
     return sums.join(means, "building_id", "left").fillna(0, ["views"]).fillna(0.0, ["confidence"])

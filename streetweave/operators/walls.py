@@ -5,6 +5,8 @@ footprint) and joined on it, so a camera's scene, some hundred edges, is the lar
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,8 +268,16 @@ def validate_corrections(proposals: DataFrame, footprints: DataFrame) -> DataFra
 
 def wall_zbuffer(facades: DataFrame, width: int, height: int, camera_m: float = 1.7) -> DataFrame:
     """image_id, row, col, owner, depth of the nearest wall in each cell of a panorama at reduced size.
-    ``facades``: image_id, building_id, x1, y1, x2, y2, top_m (height of the wall); column 0 looks north."""
-    rows = facades.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    ``facades``: image_id, building_id, x1, y1, x2, y2, top_m (height of the wall); column 0 looks north.
+    A wall is looked for in the columns between its corners' bearings and one more at either side, the
+    shorter way round; only one that runs through the camera is looked for in all."""
+    bearing = [F.atan2(F.col(f"x{k}"), F.col(f"y{k}")) for k in (1, 2)]
+    turn = F.pmod(bearing[1] - bearing[0] + F.pi(), 2 * F.pi()) - F.pi()
+    first = F.floor(F.when(turn < 0, bearing[1]).otherwise(bearing[0]) * width / (2 * F.pi()) - 0.5) - 1
+    span = F.ceil(F.abs(turn) * width / (2 * F.pi())) + 3
+    every = (F.abs(turn) > math.pi - 1e-6) | (span >= width)
+    columns = F.sequence(F.when(every, F.lit(0)).otherwise(first), F.when(every, F.lit(width - 1)).otherwise(first + span))
+    rows = facades.withColumn("col", F.explode(columns)).withColumn("col", F.pmod("col", F.lit(width)).cast("int"))
     angle = F.radians((F.col("col") + 0.5) * 360.0 / width)
     far = 1e4
     at = crossing_fraction(F.lit(0.0), F.lit(0.0), F.sin(angle) * far, F.cos(angle) * far, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))

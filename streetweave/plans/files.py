@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.operators import corrections, logs
+from streetweave.operators import corrections
 from streetweave.plans import records
 from streetweave.plans import registry as r
 from streetweave.plans.registry import query
@@ -209,5 +209,3 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     streams.stream_thin(_streamed(rows, "captured_at_ms", "capture-stream", 3), 10.0, path, landing(spark, "thin"))
     return spark.read.parquet(path).select("image_id")
 
-
-_ = logs

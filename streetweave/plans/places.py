@@ -295,7 +295,7 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     from streetweave.operators.captures import independent_views
 
     rows = r.captures(spark, d).select(F.floor(F.col("k") / 8).cast("string").alias("building_id"), "image_id", "lat", "lon")
-    return independent_views(rows, 300.0)
+    return independent_views(rows, landing(spark, "views"), 300.0)
 
 
 @query(
@@ -307,4 +307,13 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     from streetweave.operators.captures import fuse_nearby
 
     v, c = r.views(spark, d), r.captures(spark, d).select("image_id", "lat", "lon")
-    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c).select("building_id", "sources", "observed_pixels", "captures")
+    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c, landing(spark, "views")).select("building_id", "sources", "observed_pixels", "captures")
+
+
+@query("A7_independent", None)
+def a7_independent(spark: SparkSession, d: str) -> DataFrame:
+    """A7's independent views and their mean coverage, which SQL does not express."""
+    from streetweave.operators.captures import fuse_nearby
+
+    v, c = r.views(spark, d), r.captures(spark, d).select("image_id", "lat", "lon")
+    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c, landing(spark, "views")).select("building_id", "views", "confidence")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -65,11 +69,34 @@ def geo_metadata(column: str) -> str:
 
 
 def write_geoparquet(df: DataFrame, geometry: str, path: str) -> None:
-    """Parquet with the geometry as WKB. Spark's writer can't set the footer key ``geo``, so its content is
-    written beside the table, as the text table ``<path>.geo``."""
+    """GeoParquet: the geometry as WKB, and its description in the footer of every part. Spark's writer can't
+    set footer keys, so the tasks write their parts themselves; a part gets its name when it is whole, and
+    a task that runs again replaces it. Overwrites parts of an earlier table at ``path``."""
     rows = df.withColumn(geometry, multipolygon_wkb(F.col(geometry)))
-    rows.write.parquet(path)
-    df.sparkSession.range(1).select(F.lit(geo_metadata(geometry)).alias("value")).write.text(f"{path}.geo")
+    described = geo_metadata(geometry)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(base, recursive=True)
+        draft, final = f"{base}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():05d}.parquet"
+        n, writer = 0, None
+        for batch in batches:
+            if writer is None:
+                schema = batch.schema.with_metadata({"geo": described})
+                writer = pq.ParquetWriter(draft, schema, filesystem=store)
+            writer.write_table(pa.Table.from_batches([batch]).cast(schema))
+            n += batch.num_rows
+        if writer is not None:
+            writer.close()
+            store.move(draft, final)
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["rows"])
+
+    rows.mapInArrow(part, "rows long").agg(F.sum("rows")).collect()
+
+
+#: Rings of a correction and corners of a ring that ids leave room for.
+RINGS, CORNERS = 100_000, 1_000_000
 
 
 def correction_nodes(corrections: DataFrame) -> DataFrame:
@@ -77,8 +104,8 @@ def correction_nodes(corrections: DataFrame) -> DataFrame:
     correction's number and the corner's. ``corrections``: osm_id, number, geometry."""
     rings = corrections.select("osm_id", "number", F.posexplode(F.flatten("geometry")).alias("ring", "points"))
     points = rings.select("osm_id", "number", "ring", F.posexplode(F.slice("points", 1, F.size("points") - 1)).alias("pos", "p"))
-    way = -(F.col("number") * 100 + F.col("ring") + 1)
-    return points.select("osm_id", way.alias("way"), "pos", (way * 10_000 - F.col("pos")).alias("node"), F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+    way = -(F.col("number") * RINGS + F.col("ring") + 1)
+    return points.select("osm_id", way.alias("way"), "pos", (way * CORNERS - F.col("pos")).alias("node"), F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
 def write_corrections_xml(corrections: DataFrame, path: str) -> None:

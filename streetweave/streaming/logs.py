@@ -8,7 +8,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +16,10 @@ from streetweave.operators.logs import RATE_WINDOW
 from streetweave.operators.spatial import thin_captures
 
 
+#: Degrees of the grid cells in which kept captures lie.
+KEPT_CELL_DEG = 0.05
+
+
 def stream_ledger_state(stream: DataFrame) -> DataFrame:
     """stage, image, status, seq of the latest entry; run in update mode."""
     last = stream.groupBy("stage", "image").agg(F.max_by(F.struct("status", "seq"), "seq").alias("e"))
@@ -104,17 +108,30 @@ def last_word(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def stream_thin(stream: DataFrame, spacing_m: float, path: str, land: Callable[[DataFrame], DataFrame]) -> None:
     """Keep captures of each batch that are far enough from those kept before and from one another; what is
-    kept is appended under ``path``. Captures kept before count as the earliest."""
+    kept is appended under ``path``. Captures kept before count as the earliest.
+
+    A batch that is run again reads what the batches before it have kept and replaces what it has written
+    itself, so it comes to the same result. What is kept lies in folders of grid cells, and a batch reads
+    those of its own captures and the cells around; a capture that comes again has its old position."""
     spark = stream.sparkSession
+    kept_columns = "image_id string, captured_at_ms long, lat double, lon double, batch int, cell string"
+
+    def cell(lat: Column, lon: Column) -> Column:
+        return F.concat_ws("_", F.floor(lat / KEPT_CELL_DEG), F.floor(lon / KEPT_CELL_DEG))
 
     def add(batch: DataFrame, number: int) -> None:
         new = batch.select("image_id", "captured_at_ms", "lat", "lon", F.lit(1).alias("turn"))
         if number:
-            kept = spark.read.parquet(f"{path}/batch=*").select("image_id", "captured_at_ms", "lat", "lon", F.lit(0).alias("turn"))
+            around = F.explode(F.array(*[cell(F.col("lat") + a * KEPT_CELL_DEG, F.col("lon") + b * KEPT_CELL_DEG) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+            touched = new.where("lat IS NOT NULL AND lon IS NOT NULL").select(around.alias("cell")).distinct()
+            before = spark.read.schema(kept_columns).parquet(path).where(F.col("batch") < number)
+            kept = land(before.join(touched, "cell", "left_semi").select("image_id", "captured_at_ms", "lat", "lon", F.lit(0).alias("turn")))
             new = new.join(kept, "image_id", "left_anti").union(kept)
         # captures kept before come first whatever their time
         first = new.withColumn("captured_at_ms", F.when(F.col("turn") == 0, F.lit(-(1 << 62))).otherwise(F.col("captured_at_ms")))
         out = thin_captures(first, spacing_m, land).where("turn = 1").drop("turn")
-        out.write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
+        own = batch.select("image_id", F.col("captured_at_ms").alias("at")).groupBy("image_id").agg(F.min("at").alias("captured_at_ms"))
+        out = out.drop("captured_at_ms").join(own, "image_id").select("image_id", "captured_at_ms", "lat", "lon", cell(F.col("lat"), F.col("lon")).alias("cell"))
+        out.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/batch={number:06d}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
