@@ -1,11 +1,12 @@
 """Removal of lines found in many documents, with levelled sorted runs of line hashes.
 
-A run is a landed table of line hashes with the number of documents that hold each, sorted by hash.
-Batches of documents are added one after another: a batch's hashes merge-anti-join the run of hashes
-known to be frequent (nothing more need be counted of those) and the rest becomes a run of the lowest
-level. When a level has gathered ``fanout`` runs they are merged into one of the next level, and what
-has reached the limit moves to the frequent run. So each hash is rewritten once a level, and a new
-batch costs what the batch is, not what the corpus is.
+A run is a table of line hashes with the number of documents that hold each, bucketed and sorted by
+hash, so that joining it needs no exchange of the run. Batches of documents are added one after another:
+a batch's hashes merge-anti-join the runs of hashes known to be frequent (nothing more need be counted
+of those) and the rest becomes a run of the lowest level. When a level has gathered ``fanout`` runs they
+are merged into one of the next level, and what has reached the limit moves to a frequent run. So each
+hash is rewritten once a level, and a new batch costs what the batch is, not what the corpus is. A
+manifest in the runs' folder lists the runs after every batch: :meth:`LineRuns.open` goes on from it.
 
 A line's key is the line without ASCII white space at both ends and A-Z lower-cased; hashes have 128
 bits. A document is a distinct (doc_id, text): repeated rows count once, and lose their lines alike.
@@ -16,14 +17,17 @@ and documents of any number of lines are taken whole. Other columns of the input
 from __future__ import annotations
 
 import string
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import land
+from streetweave.llm.shared import discard, land, land_bucketed, new_path, open_bucketed
 
 _WHITE = " \t\n\x0b\x0c\r"
 _HASH = ["h1", "h2"]
+_COUNTS, _FREQUENT = "h1 bigint, h2 bigint, n_docs bigint", "h1 bigint, h2 bigint"
+_MANIFEST = "version int, place int, level int, run string, n_buckets int, min_docs int, fanout int"
 #: Frequent hashes up to this number (16 bytes each) are broadcast; more are merge-joined.
 BROADCAST_HASHES = 200_000
 
@@ -48,21 +52,47 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of one corpus."""
+    """The runs of one corpus, in ``folder``."""
 
-    def __init__(self, min_docs: int, fanout: int = 2):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, folder: str | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.folder = folder or new_path(spark, "line-runs")
+        self.n_buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
         self.levels: list[list[DataFrame]] = []
         self._frequent: list[DataFrame] = []
-
-    def _sorted(self, counts: DataFrame, name: str) -> DataFrame:
-        return land(counts.sortWithinPartitions(*_HASH), name)
+        self._old: list[DataFrame] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The runs as the last batch that was added whole has left them."""
+        manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+        rows = manifest.where(F.col("version") == manifest.agg(F.max("version")).first()[0]).collect()  # a row for each run
+        runs = cls(spark, rows[0]["min_docs"], rows[0]["fanout"], folder)
+        runs.n_buckets, runs.version = rows[0]["n_buckets"], rows[0]["version"]
+        for r in sorted(rows, key=lambda r: r["place"]):
+            columns = _FREQUENT if r["level"] < 0 else _COUNTS
+            own = open_bucketed(spark, "lines", f"{folder}/{r['run']}", columns, runs.n_buckets, _HASH)
+            if r["level"] < 0:
+                runs._frequent.append(own)
+                continue
+            while len(runs.levels) <= r["level"]:
+                runs.levels.append([])
+            runs.levels[r["level"]].append(own)
+        return runs
+
+    def _run(self, counts: DataFrame) -> DataFrame:
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.n_buckets:
+            counts = counts.repartition(self.n_buckets, *_HASH)
+        return land_bucketed(counts, "lines", self.n_buckets, _HASH, sort=_HASH, compression="zstd", path=f"{self.folder}/run-{uuid.uuid4().hex}")
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
+        """The runs merged two by two, bucket by bucket."""
+        merged = runs[0]
         for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy(*_HASH).agg(F.sum("n_docs").alias("n_docs"))
+            other = run.select(*_HASH, F.col("n_docs").alias("more"))
+            both = merged.join(other.hint("merge"), _HASH, "full")
+            merged = both.select(*_HASH, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("n_docs"))
+        return merged
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of whole documents, as :func:`line_hashes` gives them."""
@@ -70,35 +100,46 @@ class LineRuns:
         counts = lines.select("d1", "d2", *_HASH).distinct().groupBy(*_HASH).agg(F.count("*").alias("n_docs"))
         for run in self._frequent:
             counts = counts.join(run.hint("merge"), _HASH, "left_anti")
-        self._push(0, self._sorted(counts, "lines-run"))
+        self._push(0, self._run(counts))
+        self._record()
 
     def _push(self, level: int, run: DataFrame) -> None:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._sorted(self._merged(self.levels[level]), "lines-merged")
+            merged = self._run(self._merged(self.levels[level]))
+            self._old += [*self.levels[level], merged]
             self.levels[level] = []
-            self._frequent.append(self._sorted(merged.where(F.col("n_docs") >= self.min_docs).select(*_HASH), "lines-frequent"))
-            self._push(level + 1, merged.where(F.col("n_docs") < self.min_docs))
+            self._frequent.append(self._run(merged.where(F.col("n_docs") >= self.min_docs).select(*_HASH)))
+            self._push(level + 1, self._run(merged.where(F.col("n_docs") < self.min_docs)))
+
+    def _record(self) -> None:
+        """Write the manifest of this version; what it doesn't list is removed then."""
+        self.version += 1
+        listed = [(-1, r) for r in self._frequent] + [(k, r) for k, level in enumerate(self.levels) for r in level]
+        rows = [(self.version, k, level, r._landed_at.rsplit("/", 1)[-1], self.n_buckets, self.min_docs, self.fanout) for k, (level, r) in enumerate(listed)]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        for run in self._old:
+            discard(run)
+        self._old = []
 
     def frequent(self) -> DataFrame:
         """The hashes of lines found in at least ``min_docs`` documents so far."""
         open_runs = [r for level in self.levels for r in level]
         if not open_runs:
             raise ValueError("no batch has been added")
-        out = self._merged(open_runs).where(F.col("n_docs") >= self.min_docs).select(*_HASH)
-        for run in self._frequent:
-            out = out.union(run)
-        return out.distinct()
+        known = [r.withColumn("n_docs", F.lit(self.min_docs).cast("long")) for r in self._frequent]
+        return self._merged([*open_runs, *known]).where(F.col("n_docs") >= self.min_docs).select(*_HASH)
 
 
 def _dropped(docs: DataFrame, min_docs: int, batches: int) -> DataFrame:
     """d1, d2 and the positions ``dropped`` of the lines that go, for documents that lose any."""
-    lines = land(line_hashes(docs), "lines-hashed")
-    runs = LineRuns(min_docs)
+    batch = F.pmod(F.xxhash64("d2", "d1"), F.lit(batches)).cast("int").alias("batch")
+    lines = land(line_hashes(docs).select("*", batch), "lines-hashed", partition_by=["batch"])
+    runs = LineRuns(docs.sparkSession, min_docs)
     for k in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("d2", "d1"), F.lit(batches)) == k))
+        runs.add(lines.where(F.col("batch") == k))
     frequent = land(runs.frequent(), "lines-found")
     if frequent.count() <= BROADCAST_HASHES:
         frequent = F.broadcast(frequent)

@@ -49,12 +49,15 @@ def land(df: DataFrame, name: str, compression: str = "zstd", partition_by: list
     return landed
 
 
-def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | None = None, sort: list[str] | None = None, compression: str = "uncompressed") -> DataFrame:
-    """Write ``df``, whose tasks hold whole buckets of ``key``, to the shared folder as a table of ``n``
-    buckets, and return it as read back: grouping and joining it by ``key`` needs no exchange."""
+def land_bucketed(
+    df: DataFrame, name: str, n: int, keys: str | list[str], partition: str | None = None, sort: list[str] | None = None, compression: str = "uncompressed", path: str | None = None
+) -> DataFrame:
+    """Write ``df``, whose tasks hold whole buckets of ``keys``, to the shared folder (or ``path``) as a table
+    of ``n`` buckets, and return it as read back: grouping and joining it by ``keys`` needs no exchange."""
     spark = df.sparkSession
-    table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), new_path(spark, name)
-    writer = df.write.bucketBy(n, key).option("path", path).option("compression", compression)
+    keys = [keys] if isinstance(keys, str) else keys
+    table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), path or new_path(spark, name)
+    writer = df.write.bucketBy(n, *keys).option("path", path).option("compression", compression)
     if sort:
         writer = writer.sortBy(*sort)
     if partition:
@@ -66,6 +69,16 @@ def land_bucketed(df: DataFrame, name: str, n: int, key: str, partition: str | N
     return landed
 
 
+def open_bucketed(spark: SparkSession, name: str, path: str, columns: str, n: int, keys: list[str]) -> DataFrame:
+    """A table of :func:`land_bucketed` that another session has written."""
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    by = ", ".join(keys)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+    landed = spark.table(table)
+    landed._landed_at, landed._landed_as = path, table
+    return landed
+
+
 def discard(landed: DataFrame, part: str = "") -> None:
     """Remove a landed table, or a part of a partitioned one, that nothing reads any more."""
     spark = landed.sparkSession

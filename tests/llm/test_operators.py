@@ -14,11 +14,12 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from streetweave.llm import blocks, components, decontamination, license_scan, line_dedup, mixing, quality_rules, recompression_dedup, simhash_dedup, suffix_dedup, token_files, url_filter
+from streetweave.llm import blocks, components, decontamination, license_scan, line_dedup, mixing, quality_rules, recompression_dedup, shared, simhash_dedup, suffix_dedup, token_files, url_filter
 from tests.llm.fixtures import CLASHES, components as brute_components
 from tests.llm.fixtures import documents, empty, raw, table
 from tests.oracle import connect, rows_of, rows_of_sql
@@ -273,11 +274,23 @@ def test_line_dedup_equals_brute_force(spark):
 
 def test_line_runs_stay_right_over_many_batches(spark):
     lines = spark.createDataFrame([(b, d, 0, h, 0) for b in range(7) for d in range(3) for h in range(b + 1)], "b int, d1 long, pos int, h1 long, h2 long").withColumn("d2", F.col("b").cast("long"))
-    runs = line_dedup.LineRuns(min_docs=10)
+    folder = shared.new_path(spark, "test-runs")
+    runs = line_dedup.LineRuns(spark, min_docs=10, folder=folder)
     for b in range(7):
+        if b == 4:  # another day
+            runs = line_dedup.LineRuns.open(spark, folder)
         runs.add(lines.where(F.col("b") == b))
     # hash h is in 3 documents of each batch from h on
-    assert sorted(r.h1 for r in runs.frequent().collect()) == [h for h in range(7) if 3 * (7 - h) >= 10]
+    want = [h for h in range(7) if 3 * (7 - h) >= 10]
+    assert sorted(r.h1 for r in runs.frequent().collect()) == want
+    again = line_dedup.LineRuns.open(spark, folder)
+    assert sorted(r.h1 for r in again.frequent().collect()) == want and len(again._frequent) == len(runs._frequent) > 0
+    # a run is joined as it lies: only the batch is exchanged
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    counts = lines.groupBy("h1", "h2").count().join(runs._frequent[0].hint("merge"), ["h1", "h2"], "left_anti")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 # quality
@@ -322,9 +335,26 @@ def test_clean_documents_are_kept_and_junk_is_not(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality_rules.judged(docs).join(labels, "doc_id").collect()
-    good = [r for r in rows if r.quality == 1 and not r.base_failed]
+    judged = [r for r in rows if not r.base_failed]
+    good, junk = ([r for r in judged if r.quality == q] for q in (1, 0))
     assert sum(r.kept for r in good) >= 0.99 * len(good)
-    assert sum(r.kept for r in rows if r.quality == 0) < sum(1 for r in rows if r.quality == 0)
+    rejected = [r for r in judged if not r.kept]
+    assert sum(not r.kept for r in junk) >= 0.3 * len(junk)  # recall: junk that neither repeats nor is random passes
+    assert sum(r.quality == 0 for r in rejected) >= 0.9 * len(rejected)  # precision
+
+
+def test_bands_equal_brute_force(spark):
+    docs = table(spark, [(k, t, "", "", 0) for k, t in enumerate(r[1] for r in documents())])
+    bands = quality_rules.Bands()
+    squeeze = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    for r in docs.join(quality_rules.judged(docs).select("doc_id", "kept", "base_failed", "ratio"), "doc_id").select("text", "base_failed", docs["doc_id"], "ratio", quality_rules.verdict(F.col("text"))["kept"].alias("verdict")).collect():
+        b = raw(r.text)
+        low, high = next((lo, hi) for size, lo, hi in reversed(bands.whole) if len(b) >= size)
+        chunks = [squeeze(b[k : k + 1024]) for k in range(0, len(b) - 1023, 1024)]
+        bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in chunks)
+        assert r.ratio == pytest.approx(squeeze(b), rel=0.05)
+        if abs(r.ratio - low) > 0.1 and abs(r.ratio - high) > 0.1:
+            assert r.verdict == (not r.base_failed and low <= squeeze(b) <= high and bad <= bands.bad_share * len(chunks))
 
 
 # decontamination
