@@ -5,8 +5,9 @@ Candidates are texts that share one of 24 bands of five minima: of pairs with si
 could join two components is verified on the two whole sets, as 64-bit hashes of the shingles.
 
 First each member of a bucket is held against the bucket's first; then, in buckets that still hold more
-than one component, all pairs of members of different components are. So a large group of near copies
-costs little. A bucket of many texts that aren't similar costs the square of its size.
+than one component, members of different components are, inside tasks that get a bounded block of the
+bucket and give the links of a forest. So a large group of near copies costs little, and no pairs are
+emitted but links. A bucket of many texts that aren't similar costs comparisons with the square of its size.
 """
 
 from __future__ import annotations
@@ -83,6 +84,37 @@ def banded(keyed: DataFrame, words_per_shingle: int, printed) -> DataFrame:
     return land(made.select("doc_id", "rid", "th", F.col("s")[0].alias("fp"), F.col("s")[1].alias("sh"), F.slice("s", 3, BANDS).alias("bands")), "shingle-bands")
 
 
+def _forest(least: float):
+    """Links within a block of a bucket that join its components, by comparing sets of different ones."""
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sh")
+        shs, roots = table["sh"].to_pylist(), table["root"].to_pylist()
+        sets = [np.asarray(x.values) for x in table["set"]]
+        up = {r: r for r in roots}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        us, vs = [], []
+        for i, x in enumerate(sets):
+            for j in range(i):
+                few, many = sorted((len(x), len(sets[j])))
+                if few < least * many or top(roots[i]) == top(roots[j]):
+                    continue
+                common = len(np.intersect1d(x, sets[j], assume_unique=True))
+                if common >= least * (few + many - common):
+                    up[top(roots[i])] = top(roots[j])
+                    us.append(shs[j])
+                    vs.append(shs[i])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return links
+
+
 def jaccard_links(docs: DataFrame, made: DataFrame, words_per_shingle: int, least: float, blocks) -> DataFrame:
     """Links (u, v) between the ``fp`` of ``docs`` (text), ``made`` of them by ``banded``, that connect those
     of similar sets. ``blocks`` deals (variant, fp) to groups: variant, part, fp."""
@@ -93,26 +125,24 @@ def jaccard_links(docs: DataFrame, made: DataFrame, words_per_shingle: int, leas
     firsts = rows.groupBy("bucket").agg(F.min("sh").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     shared = land(rows.join(firsts, "bucket"), "shingle-buckets")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct().join(heads.select("sh", "th"), "sh")
+    def sets_of(shs: DataFrame) -> DataFrame:
+        wanted = shs.distinct().join(heads.select("sh", "th"), "sh")
         texts = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th").groupBy("sh").agg(F.min("text").alias("text"))
-        sets = land(texts.select("sh", shingle_set(F.col("text"), words_per_shingle).alias("set")), "shingle-sets")
-        both = pairs.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return land(both.where(common >= least * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+        return land(texts.select("sh", shingle_set(F.col("text"), words_per_shingle).alias("set")), "shingle-sets")
 
     tried = land(shared.where("sh <> a").select("a", F.col("sh").alias("b")).distinct(), "shingle-tried")
-    found = verified(tried, "shingle-found")
+    sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("sh")))
+    both = tried.join(sets.select(F.col("sh").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sh").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = land(both.where(common >= least * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("u"), F.col("b").alias("v")), "shingle-found")
     roots = components(found, "shingle-roots")
     placed = shared.join(roots, shared["sh"] == roots["node"], "left").select("bucket", "sh", F.coalesce("root", "sh").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
-    rest = land(placed.join(open_, "bucket"), "shingle-open")
+    rest = land(placed.join(open_, "bucket").select(F.col("bucket").alias("variant"), F.col("sh").alias("fp"), "root").distinct(), "shingle-open")
     if not rest.isEmpty():
-        dealt = blocks(rest.select(F.col("bucket").alias("variant"), F.col("sh").alias("fp")).distinct())
-        dealt = dealt.join(rest.select(F.col("bucket").alias("variant"), F.col("sh").alias("fp"), "root").distinct(), ["variant", "fp"])
-        one, other = (dealt.select("variant", "part", F.col("fp").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        pairs = one.join(other, ["variant", "part"]).where("a < b AND ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        found = found.union(verified(land(pairs, "shingle-pairs"), "shingle-found"))
+        dealt = blocks(rest.select("variant", "fp")).join(rest, ["variant", "fp"])
+        whole = dealt.select("variant", "part", F.col("fp").alias("sh"), "root").join(sets, "sh")
+        found = found.union(land(whole.groupBy("variant", "part").applyInArrow(_forest(least), "u long, v long"), "shingle-more"))
     head = heads.select("sh", "head")
     named = found.join(head.toDF("u", "hu"), "u").join(head.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
     return equal.union(named)
