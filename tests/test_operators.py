@@ -241,6 +241,25 @@ def test_a_wall_across_the_street(spark):
     assert {r.owner for r in depth.where("col IN (0, 35)").collect()} == {"near"}
 
 
+def test_visibility_index_of_a_camera(spark):
+    """The scene above in degrees: a hidden house is near but not seen, one far away is neither."""
+    m = 1 / 111_195.08
+
+    def house(name, east, north, half):
+        y, x = 39.0 + north * m, east * m / math.cos(math.radians(39.0))
+        dy, dx = half * m, half * m / math.cos(math.radians(39.0))
+        return (name, y, x, [[[[x - dx, y - dy], [x + dx, y - dy], [x + dx, y + dy], [x - dx, y + dy], [x - dx, y - dy]]]])
+
+    rows = [house("near", 0.0, 16.0, 5.0), house("far", 0.0, 40.0, 5.0), house("side", 30.0, 0.0, 4.0), house("away", 400.0, 0.0, 4.0)]
+    footprints = spark.createDataFrame(rows, "building_id string, lat double, lon double, geometry array<array<array<array<double>>>>")
+    cameras = spark.createDataFrame([("i", 39.0, 0.0), ("j", None, None)], "image_id string, lat double, lon double")
+    seen, pairs = walls.visibility_index(cameras, footprints, 20.0)
+    got = {(r.image_id, r.building_id): r for r in seen.collect()}
+    assert set(got) == {("i", "near"), ("i", "side")}
+    assert got["i", "near"].distance_m == pytest.approx(11.0, abs=0.1) and got["i", "near"].aov_deg == pytest.approx(2 * math.degrees(math.atan(5 / 11)), abs=0.5)
+    assert {(r.image_id, r.building_id) for r in pairs.collect()} == {("i", "near"), ("i", "far"), ("i", "side")}
+
+
 def test_attached_walls_are_no_facades(spark):
     def box(x):
         return [[[[x, 10.0], [x + 10, 10.0], [x + 10, 20.0], [x, 20.0], [x, 10.0]]]]
