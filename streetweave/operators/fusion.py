@@ -82,22 +82,27 @@ def fuse_categorical(
     return joined.select(*group, F.when(share.isNotNull(), F.col("t.class")).alias("top"), share.alias("share"), "views", reason.isNotNull().alias("abstained"), reason.alias("reason"))
 
 
+def _reached(group: list[str], value: str, weight: str, order: list[str]) -> Column:
+    """The value where the weight of the rows up to it, in order, has come to half of the group's."""
+    run = F.sum(weight).over(Window.partitionBy(*group).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(run >= F.sum(weight).over(Window.partitionBy(*group)) / 2, F.col(value))
+
+
 def weighted_median(rows: DataFrame, group: list[str], value: str, weight: str, order: list[str]) -> DataFrame:
     """group, median: the first value at which the running weight reaches half of all."""
-    run = F.sum(weight).over(Window.partitionBy(*group).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(weight).over(Window.partitionBy(*group))
-    reached = rows.withColumn("__run", run).withColumn("__all", whole).where(F.col("__run") >= F.col("__all") / 2)
-    return reached.groupBy(*group).agg(F.min(value).alias("median"))
+    return rows.withColumn("__at", _reached(group, value, weight, order)).groupBy(*group).agg(F.min("__at").alias("median"))
 
 
 def fuse_numeric(values: DataFrame, group: list[str], order: list[str], min_views: int = 1) -> DataFrame:
-    """group, value, spread, views: weighted median and weighted median absolute deviation."""
-    rows = values.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('inf') AND weight > 0")
-    middle = weighted_median(rows, group, "value", "weight", order)
-    off = rows.join(middle, group).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    spread = weighted_median(off, group, "off", "weight", order).withColumnRenamed("median", "spread")
-    n = rows.groupBy(*group).agg(F.count("*").alias("views")).where(F.col("views") >= min_views)
-    return n.join(middle, group).join(spread, group).select(*group, F.round("median", 3).alias("value"), F.round("spread", 3).alias("spread"), "views")
+    """group, value, spread, views: weighted median and weighted median absolute deviation. All windows are
+    over the group, which is exchanged once."""
+    rows = values.where("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('inf') AND weight > 0").select(*group, "value", "weight", *order)
+    middle = rows.withColumn("__at", _reached(group, "value", "weight", order)).withColumn("__middle", F.min("__at").over(Window.partitionBy(*group)))
+    off = middle.withColumn("off", F.abs(F.col("value") - F.col("__middle")))
+    sums = off.withColumn("__off", _reached(group, "off", "weight", order)).groupBy(*group).agg(
+        F.round(F.min("__middle"), 3).alias("value"), F.round(F.min("__off"), 3).alias("spread"), F.count("*").alias("views")
+    )
+    return sums.where(F.col("views") >= min_views)
 
 
 def abstain_all(buildings: DataFrame, attributes: tuple[str, ...], reason: Column) -> DataFrame:
