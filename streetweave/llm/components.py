@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import land
+from streetweave.llm.shared import discard, land
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (u, v) is connected with. A node of
     no edge has no row. Self-links and links given twice or both ways do no harm.
 
-    Each round is landed, so no lineage builds up; the graph stays in the cluster, and the driver sees
+    Each round is landed, so no lineage builds up, and the one before it removed; the graph stays in the cluster, and the driver sees
     a count and a checksum, by which it tells that a round has changed nothing."""
     now = land(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
@@ -42,4 +42,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-        now = land(_small_star(_large_star(now)), name)
+        after = land(_small_star(_large_star(now)), name)
+        discard(now)
+        now = after

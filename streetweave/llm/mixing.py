@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import land
+from streetweave.llm.shared import discard, land
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of raking, and the most cells for one partition and for a broadcast.
@@ -56,7 +56,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for d in DIMENSIONS:
         t = targets[d].select(F.col("value").alias(d), F.col("share").alias(f"t_{d}"))
         now = now.join(t, d, "left").fillna(0.0, [f"t_{d}"])
-    now = land(now.withColumn("w", F.col("n")), "mixing-cells")
+    now = landed = land(now.withColumn("w", F.col("n")), "mixing-cells")
     few = now.count() <= FEW_CELLS
     whole = now.agg(F.sum("n")).first()[0] or 0.0
     for k in range(rounds):
@@ -69,7 +69,9 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
                 now = now.join(now.groupBy(d).agg(F.sum("w").alias("own")), d)
             now = now.withColumn("w", F.when(F.col("own") > 0, F.col("w") * F.col(f"t_{d}") * F.lit(whole) / F.col("own")).otherwise(F.lit(0.0))).drop("own")
         if not few or k % 2 or k == rounds - 1:
-            now = land(now, "mixing-raked")
+            now, old = land(now, "mixing-raked"), landed
+            discard(old)
+            landed = now
     return now.select(*DIMENSIONS, "n", "w")
 
 
