@@ -42,7 +42,7 @@ from streetweave.llm.shared import landing_conf, new_path
 #: Ids in a segment before it is closed (a longer document has its own).
 SEGMENT_IDS = 4 << 20
 #: Characters of the texts that are given to the tokenizer at once, and words that it may keep in its cache.
-BATCH_CHARS, CACHED_WORDS = 1 << 18, 100_000
+BATCH_CHARS, CACHED_WORDS = 1 << 12, 300_000
 #: Documents of a segment that share a key when single documents are looked up.
 LOOKUP = 4096
 _SEGMENTS = "shard int, seq int, n_docs long, n_null long, n_ids long, width int, ids binary, doc_ids binary, ends binary"
