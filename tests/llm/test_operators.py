@@ -248,6 +248,15 @@ def test_components_of_a_long_path(spark):
     assert components.components(edges.limit(0), "t").count() == 0
 
 
+def test_components_of_a_hub(spark):
+    """One node with 30,000 neighbours, some of which have neighbours of their own."""
+    n = 30_000
+    spokes = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    beyond = spark.range(1, n + 1, 100).select(F.col("id").alias("u"), (F.col("id") + 10**6).alias("v"))
+    got = components.components(spokes.union(beyond), "t")
+    assert got.count() == n + n // 100 and got.where("root <> 0").count() == 0
+
+
 # lines
 
 
