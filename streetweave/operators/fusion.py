@@ -68,7 +68,7 @@ def fuse_categorical(
     Each (group, class) is summed where it is read, so a group of any size costs a row per class."""
     rows = votes.where("weight > 0")
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("class"))
-    sums = rows.groupBy(*group, "class").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.count_distinct(*view).alias("n"))
+    sums = rows.groupBy(*group, "class").agg(F.sum(F.col("score") * F.col("weight")).alias("s"))
     counted = rows.select(*group, *view).distinct().groupBy(*group).agg(F.count("*").alias("views"))
     known = sums.withColumn("place", place).where("place > 0")
     ranked = known.groupBy(*group).agg(F.sum("s").alias("mass"), F.max_by(F.struct("class", "s"), F.struct("s", -F.col("place"))).alias("t"))
