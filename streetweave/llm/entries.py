@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm import decontamination, license_scan, line_dedup, mixing, recompression_dedup, url_filter
+from streetweave.llm import decontamination, lexical_search, license_scan, line_dedup, mixing, personal_data, recompression_dedup, url_filter, whitening
 from streetweave.llm.quality_rules import judged
 from streetweave.llm.recompression_dedup import remove_repeated_passages
 from streetweave.llm.simhash_dedup import labelled
@@ -65,6 +65,18 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, sf_dir, "embeddings"), k=32)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_mixing,
         op10_recompression_dedup,
+        op11_whitening,
+        op12_personal_data,
+        op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
@@ -86,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontamination.ORACLE_SQL,
     "op9_mixing": mixing.oracle_sql(),
     "op10_recompression_dedup": recompression_dedup.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
