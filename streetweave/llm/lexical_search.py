@@ -37,8 +37,11 @@ from pyspark.sql.functions import arrow_udf
 
 from streetweave.llm.shared import discard, land
 
-#: Vectors in a bucket, in a range partition, and terms of the items of a block.
-BUCKET, PART, ENTRIES = 2048, 32_768, 200_000
+#: Vectors in a bucket, in a range partition (the longest documents come first, so few), and terms of the
+#: items of a block.
+BUCKET, PART, ENTRIES = 2048, 8192, 200_000
+#: Range partitions at most; beyond, they get larger and are sorted on disk.
+MOST_PARTS = 20_000
 #: Share of an item's length that its first coordinates leave over, at most.
 REST = 0.5
 _SLICE = 1 << 20
@@ -202,8 +205,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bucket]:
             yield _Bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), terms, impacts.astype(np.int64), offsets)
 
 
-def _landed_vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[DataFrame, np.ndarray] | None:
-    """(vectors with doc_id, norm, terms, impacts and part, from the longest on; the weight of each term)."""
+def _landed_vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[DataFrame, np.ndarray, int] | None:
+    """(vectors with doc_id, norm, terms, impacts and part, from the longest on; the weight of each term; the number of parts)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counted = land(texts.mapInArrow(_counting(vocabulary), "doc_id long, n long, terms array<int>, times array<long>"), "search-counts")
     n_docs, length = counted.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -214,14 +217,14 @@ def _landed_vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[Data
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most a row for each term of the items
         df[r.t] = r["count"]
     weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df + 1))).astype(np.int64)
-    n_parts = max(1, math.ceil(n_docs / PART))
+    n_parts = min(MOST_PARTS, math.ceil(n_docs / PART))
     rows = counted.mapInArrow(_weighing(n_docs, length), "doc_id long, norm double, terms array<int>, impacts array<long>")
     # copies have one length: the second key spreads them
     order = [F.desc("norm"), F.xxhash64("doc_id", "terms")]
     ranged = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     vectors = land(ranged, "search-vectors")
     discard(counted)
-    return vectors, weights
+    return vectors, weights, n_parts
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -238,7 +241,7 @@ def _search_block(docs: DataFrame, block: list, k: int) -> DataFrame | None:
     made = _landed_vectors(docs, vocabulary)
     if made is None:
         return None
-    vectors, weights = made
+    vectors, weights, n_parts = made
     ids = {r.q: np.array(sorted(vocabulary[t.encode()] for t in r.terms), np.int64) for r in block}
     items = {q: (t[weights[t] > 0], weights[t][weights[t] > 0]) for q, t in ids.items()}
     items = {q: v for q, v in items.items() if len(v[0])}
@@ -247,8 +250,7 @@ def _search_block(docs: DataFrame, block: list, k: int) -> DataFrame | None:
     def search(rows: DataFrame, least: dict[int, int], name: str) -> DataFrame:
         return land(rows.select(*columns).mapInArrow(_searching(items, least, len(vocabulary), k), "q long, doc_id long, score long"), name)
 
-    n_parts = max(1, math.ceil(vectors.count() / PART))
-    head = max(1, n_parts // 16)
+    head = max(1, n_parts // 8)
     first = search(vectors.where(F.col("part") < head), {}, "search-head")
     least = {r.q: int(r.score) for r in _top(first, k).where(F.col("rank") == k).collect()}  # a row for each item of the block
     others = search(vectors.where(F.col("part") >= head), least, "search-rest") if n_parts > 1 else None
