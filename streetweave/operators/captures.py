@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streetweave.functions.fields import finite, normal_heading
 from streetweave.functions.geo import haversine_m
+from streetweave.operators.independent import first_largest
 from streetweave.operators.masks import connected
 from streetweave.operators.spatial import radius_join
 
@@ -89,64 +91,6 @@ def attribution_lines(captures: DataFrame) -> DataFrame:
     return captures.select(F.format_string("%s by %s", "image_id", name).alias("value"))
 
 
-def _largest(near: list[int]) -> list[int]:
-    """The first of the largest sets of points no two of which are near. ``near``: for each point, the bits of
-    those that are."""
-    known: dict[int, int] = {0: 0}
-
-    def bits(mask: int):
-        while mask:
-            low = mask & -mask
-            yield low.bit_length() - 1
-            mask ^= low
-
-    def piece(mask: int) -> int:
-        """What the lowest point of the mask is connected with."""
-        found = todo = mask & -mask
-        while todo:
-            todo = sum_of(near[i] for i in bits(todo)) & mask & ~found
-            found |= todo
-        return found
-
-    def sum_of(masks) -> int:
-        out = 0
-        for m in masks:
-            out |= m
-        return out
-
-    def size(mask: int) -> int:
-        """How many points of the mask a largest set has: pieces apart, points with one neighbour at once,
-        else with and without the point that has most neighbours."""
-        total = 0
-        while mask:
-            own = piece(mask)
-            mask ^= own
-            if own in known:
-                total += known[own]
-                continue
-            degrees = {i: (near[i] & own).bit_count() for i in bits(own)}
-            few = min(degrees, key=degrees.get)
-            if degrees[few] <= 1:
-                best = 1 + size(own & ~near[few] & ~(1 << few))
-            else:
-                most = max(degrees, key=degrees.get)
-                best = max(1 + size(own & ~near[most] & ~(1 << most)), size(own & ~(1 << most)))
-            known[own] = best
-            total += best
-        return total
-
-    rest, chosen = (1 << len(near)) - 1, []
-    left = size(rest)
-    while left:  # the lowest point that some largest set begins with
-        i = (rest & -rest).bit_length() - 1
-        rest &= ~(1 << i)
-        if 1 + size(rest & ~near[i]) == left:
-            chosen.append(i)
-            rest &= ~near[i]
-            left -= 1
-    return chosen
-
-
 def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame], least_m: float = BASELINE_M) -> DataFrame:
     """building_id, image_id: a largest set of views pairwise at least ``least_m`` apart, the first such set in
     the order of image ids. ``views``: building_id, image_id, lat, lon. ``land`` writes a table and reads
@@ -158,21 +102,24 @@ def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame],
     points = land(located.select("building_id", "image_id", "p.lat", "p.lon"))
     pairs = radius_join(points, points, least_m, ["building_id", "image_id"], ["building_id", "image_id"])
     close = pairs.where((F.col("building_id") == F.col("b_building_id")) & (F.col("image_id") != F.col("b_image_id")) & (F.col("distance_m") < least_m))
-    links = land(close.select("building_id", "image_id", F.col("b_image_id").alias("other")))
+    links = land(close.select("building_id", "image_id", "lat", "lon", F.col("b_image_id").alias("other")))
     if links.isEmpty():
         return points.select("building_id", "image_id")
     node = lambda c: F.to_json(F.array("building_id", c))
     roots = connected(links.select(node("image_id").alias("u"), node("other").alias("v")), land)
-    placed = links.withColumn("node", node("image_id")).join(roots, "node").select("root", "building_id", "image_id", "other")
+    placed = links.withColumn("node", node("image_id")).join(roots, "node").select("root", "building_id", "image_id", "lat", "lon", "other")
 
     def choose(piece: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(piece["image_id"]))
-        place = {n: k for k, n in enumerate(names)}
-        near = [0] * len(names)
-        for a, b in zip(piece["image_id"], piece["other"], strict=True):
-            near[place[a]] |= 1 << place[b]
-        kept = [names[k] for k in _largest(near)]
-        return pd.DataFrame({"building_id": [piece["building_id"].iloc[0]] * len(kept), "image_id": kept})
+        ends = piece.drop_duplicates("image_id").sort_values("image_id")
+        names = ends["image_id"].tolist()
+        number = {n: k for k, n in enumerate(names)}
+        near: list[set[int]] = [set() for _ in names]
+        for a, b in zip(piece["image_id"].map(number), piece["other"].map(number), strict=True):
+            near[a].add(b)
+        # degrees of longitude are shorter: metres, up to a factor
+        across = math.cos(math.radians(float(ends["lat"].iloc[0])))
+        kept = first_largest(near, list(zip(ends["lat"], ends["lon"] * across, strict=True)))
+        return pd.DataFrame({"building_id": piece["building_id"].iloc[0], "image_id": [names[k] for k in kept]})
 
     chosen = placed.groupBy("root").applyInPandas(choose, "building_id string, image_id string")
     free = points.select("building_id", "image_id").join(links, ["building_id", "image_id"], "left_anti")
@@ -180,10 +127,17 @@ def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame],
 
 
 def fuse_nearby(views: DataFrame, captures: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Per building: sources, captures, observed_pixels, independent views and their mean coverage."""
-    sums = views.groupBy("building_id").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"), F.count_distinct("image_id").alias("captures"), F.sum("pixels").alias("observed_pixels")
-    )
-    independent = independent_views(views.select("building_id", "image_id").join(captures, "image_id"), land)
-    means = views.join(independent, ["building_id", "image_id"]).groupBy("building_id").agg(F.count_distinct("image_id").alias("views"), F.round(F.avg("coverage"), 3).alias("confidence"))
-    return sums.join(means, "building_id", "left").fillna(0, ["views"]).fillna(0.0, ["confidence"])
+    """Per building: sources, revisions of its footprint that were used, captures, observed_pixels,
+    inferred_pixels, independent views, their ids and their mean coverage. ``views``: building_id, image_id,
+    source, pixels, coverage and, if known, inferred_pixels and revision."""
+    known = {c: F.col(c) if c in views.columns else F.lit(None).cast("long") for c in ("inferred_pixels", "revision")}
+    rows = views.select("building_id", "image_id", "source", "pixels", "coverage", *[v.alias(c) for c, v in known.items()])
+    sums = rows.groupBy("building_id").agg(
+        F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"), F.array_sort(F.collect_set("revision")).alias("revisions"),
+        F.count_distinct("image_id").alias("captures"), F.sum("pixels").alias("observed_pixels"), F.coalesce(F.sum("inferred_pixels"), F.lit(0)).alias("inferred_pixels"),
+    )
+    independent = independent_views(rows.select("building_id", "image_id").join(captures, "image_id"), land)
+    met = rows.join(independent, ["building_id", "image_id"]).groupBy("building_id")
+    means = met.agg(F.count_distinct("image_id").alias("views"), F.array_sort(F.collect_set("image_id")).alias("independent_ids"), F.round(F.avg("coverage"), 3).alias("confidence"))
+    joined = sums.join(means, "building_id", "left").fillna(0, ["views"]).fillna(0.0, ["confidence"])
+    return joined.withColumn("independent_ids", F.coalesce("independent_ids", F.array().cast("array<string>")))

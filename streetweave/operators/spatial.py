@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetweave.functions.geo import angle_between, bearing_deg, haversine_m
+from streetweave.operators.boxes import points_in_boxes
 from streetweave.operators.ranks import ranked
 
 # Radii in metres, neighbours kept, angles and distances of a good view, tile scale.
@@ -115,20 +116,17 @@ def expected_views(visibility: DataFrame, surveyed: DataFrame, max_m: float = VI
 
 
 def smallest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """point_id and region of the smallest box around each point. ``regions`` is a fixed small table."""
-    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    """point_id and region of the smallest box around each point, however many boxes there are."""
     area = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))
-    met = points.join(F.broadcast(regions), inside)
+    met = points_in_boxes(points, regions, ["region", "west", "south", "east", "north"])
     return met.groupBy("point_id").agg(F.min_by("region", F.struct(area, "region")).alias("region"))
 
 
-def region_at(points: DataFrame, boxes: DataFrame, excluded: DataFrame) -> DataFrame:
-    """The points inside any box and outside all excluded ones. Both are fixed small tables."""
-
-    def inside(b: DataFrame) -> Column:
-        return points["lon"].between(b["west"], b["east"]) & points["lat"].between(b["south"], b["north"])
-
-    return points.join(F.broadcast(boxes), inside(boxes), "left_semi").join(F.broadcast(excluded), inside(excluded), "left_anti")
+def region_at(points: DataFrame, boxes: DataFrame, excluded: DataFrame, key: str = "image_id") -> DataFrame:
+    """The points, told apart by ``key``, inside any box and outside all excluded ones."""
+    places = points.select(key, "lon", "lat")
+    inside, out = (points_in_boxes(places, b, []).select(key).distinct() for b in (boxes, excluded))
+    return points.join(inside, key, "left_semi").join(out, key, "left_anti")
 
 
 def plan_tiles(captures: DataFrame, tile_m: float = 250.0) -> DataFrame:

@@ -1,0 +1,157 @@
+"""What a camera sees of the walls around it, a scene at a time, in one exchange.
+
+Walls and samples are put in order of their bearing; a wall is compared with the samples between its corners'
+bearings alone, and with walls whose boxes meet its own, so the work follows what lies behind one another and
+not the square of the scene. The camera is at the origin."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from streetweave.operators.polygons import _inside, _pairs
+
+# Metres between wall samples and the most of them, metres beside a wall, shared-wall and
+# facing tolerances, and the share of a ray short of its end at which a wall still hides it.
+SAMPLE_M, MAX_SAMPLES, BESIDE_M, SHARED_M, FACING_M, EPSILON = 1.5, 64, 0.2, 0.25, 0.5, 1e-5
+EDGE = ["building_id", "polygon_no", "ring_no", "edge_no"]
+
+
+def facing(walls: np.ndarray, polygon: np.ndarray) -> np.ndarray:
+    """Which walls show their outer side: beside their middle, the camera's side is outside their polygon and
+    the other inside. ``polygon`` numbers the polygon of each wall."""
+    middle = (walls[:, :2] + walls[:, 2:]) / 2
+    far = np.hypot(middle[:, 0], middle[:, 1])
+    out = np.zeros(len(walls), bool)
+    order = np.argsort(polygon, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(polygon[order])) + 1):
+        some = rows[far[rows] >= FACING_M]
+        step = (BESIDE_M / far[some])[:, None]
+        near, beyond = (_inside(middle[some] + sign * middle[some] * step, walls[rows]) for sign in (-1.0, 1.0))
+        out[some] = ~near & beyond
+    return out
+
+
+def shared(walls: np.ndarray, building: np.ndarray) -> np.ndarray:
+    """Which walls a wall of another building covers along nearly all their length."""
+    out = np.zeros(len(walls), bool)
+    length = np.maximum(np.hypot(walls[:, 2] - walls[:, 0], walls[:, 3] - walls[:, 1]), 1e-9)
+    wide = np.concatenate([np.minimum(walls[:, :2], walls[:, 2:]) - 2 * SHARED_M, np.maximum(walls[:, :2], walls[:, 2:]) + 2 * SHARED_M], axis=1)
+    for i, j in _pairs(wide, walls):
+        i, j = i[building[i] != building[j]], j[building[i] != building[j]]
+        d = walls[i, 2:] - walls[i, :2]
+        along, off = [], []
+        for end in (walls[j, :2], walls[j, 2:]):
+            v = end - walls[i, :2]
+            off.append(np.abs(v[:, 0] * d[:, 1] - v[:, 1] * d[:, 0]) / length[i])
+            along.append((v[:, 0] * d[:, 0] + v[:, 1] * d[:, 1]) / length[i])
+        covered = (off[0] <= SHARED_M) & (off[1] <= SHARED_M) & (np.minimum(*along) <= SHARED_M) & (np.maximum(*along) >= length[i] - SHARED_M)
+        out[i[covered]] = True
+    return out
+
+
+def clear(points: np.ndarray, walls: np.ndarray) -> np.ndarray:
+    """Which points have no wall between them and the camera."""
+    turn = 2 * np.pi
+    bearing = np.arctan2(points[:, 0], points[:, 1]) % turn
+    order = np.argsort(bearing, kind="stable")
+    p, at = points[order], bearing[order]
+    ends = np.arctan2(walls[:, [0, 2]], walls[:, [1, 3]]) % turn
+    span = (ends[:, 1] - ends[:, 0] + np.pi) % turn - np.pi
+    low = np.where(span >= 0, ends[:, 0], ends[:, 1]) - 1e-9
+    high = low + np.abs(span) + 2e-9
+    every = np.abs(span) > np.pi - 1e-6  # through the camera: any bearing
+    low, high = np.where(every, -1.0, low), np.where(every, turn + 1.0, high)
+    hidden = np.zeros(len(points), bool)
+    for shift in (0.0, turn, -turn):  # intervals over the seam
+        first, last = np.searchsorted(at, low + shift, "left"), np.searchsorted(at, high + shift, "right")
+        n = last - first
+        w = np.repeat(np.arange(len(walls)), n)
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        x, y = p[k, 0], p[k, 1]
+        u1, v1, dx, dy = walls[w, 0], walls[w, 1], walls[w, 2] - walls[w, 0], walls[w, 3] - walls[w, 1]
+        det = x * dy - y * dx
+        live = np.abs(det) > 1e-12
+        det = np.where(live, det, 1.0)
+        t, u = (u1 * dy - v1 * dx) / det, (u1 * y - v1 * x) / det
+        hidden[k[live & (t >= 0) & (t < 1 - EPSILON) & (u >= 0) & (u <= 1)]] = True
+    out = np.empty(len(points), bool)
+    out[order] = ~hidden
+    return out
+
+
+def visible_parts(walls: np.ndarray, polygon: np.ndarray, building: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(wall, and the shares of its length at which a visible part of it starts and ends)."""
+    seen = np.flatnonzero(facing(walls, polygon) & ~shared(walls, building))
+    length = np.hypot(walls[seen, 2] - walls[seen, 0], walls[seen, 3] - walls[seen, 1])
+    n = np.clip(np.ceil(length / SAMPLE_M), 1, MAX_SAMPLES).astype(int)
+    wall, i = np.repeat(np.arange(len(seen)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    e = walls[seen][wall]
+    points = e[:, :2] + (e[:, 2:] - e[:, :2]) * ((i + 0.5) / n[wall])[:, None]
+    free = clear(points, walls)
+    wall, i = wall[free], i[free]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(wall) != 0) | (np.diff(i) != 1)])) if len(wall) else np.zeros(0, int)
+    last = np.concatenate([new[1:], [len(wall)]])[: len(new)] - 1
+    w = wall[new]
+    return seen[w], i[new] / n[w], (i[last] + 1) / n[w]
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    walls = np.stack([table[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1) if table.num_rows else np.zeros((0, 4))
+    building = table["building_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    polygon = building.astype(np.int64) * (1 << 32) + table["polygon_no"].to_numpy()
+    return walls, building, polygon
+
+
+def visible_facades(walls: DataFrame) -> DataFrame:
+    """image_id, building_id, polygon_no, ring_no, edge_no, x1, y1, x2, y2, distance of the visible parts of
+    facing, unshared walls. A scene, which is what lies around one camera, is a group."""
+
+    def look(table: pa.Table) -> pa.Table:
+        edges, building, polygon = _columns(table)
+        wall, a, b = visible_parts(edges, polygon, building)
+        e = edges[wall]
+        d = e[:, 2:] - e[:, :2]
+        start, end = e[:, :2] + d * a[:, None], e[:, :2] + d * b[:, None]
+        d = end - start
+        t = np.clip(-(start * d).sum(1) / np.maximum((d * d).sum(1), 1e-12), 0.0, 1.0)
+        near = start + t[:, None] * d
+        out = table.select(["image_id", *EDGE]).take(pa.array(wall))
+        for name, values in (("x1", start[:, 0]), ("y1", start[:, 1]), ("x2", end[:, 0]), ("y2", end[:, 1]), ("distance", np.sqrt((near * near).sum(1)))):
+            out = out.append_column(name, pa.array(values, pa.float64()))
+        return out
+
+    scenes = dealt(walls.select("image_id", *EDGE, "x1", "y1", "x2", "y2"))
+    return scenes.groupBy("image_id").applyInArrow(look, _schema(walls, ["image_id", *EDGE]) + ", x1 double, y1 double, x2 double, y2 double, distance double")
+
+
+def visible_samples(samples: DataFrame, walls: DataFrame) -> DataFrame:
+    """The samples (sx, sy) whose line to the camera crosses no wall before them."""
+
+    def look(points: pa.Table, around: pa.Table) -> pa.Table:
+        edges = np.stack([around[c].to_numpy() for c in ("u1", "v1", "u2", "v2")], axis=1)
+        return points.filter(pa.array(clear(np.stack([points["sx"].to_numpy(), points["sy"].to_numpy()], axis=1), edges)))
+
+    names = {"x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"}
+    around = dealt(walls.select(F.col("image_id").alias("scene"), *[F.col(a).alias(b) for a, b in names.items()]), "scene")
+    return dealt(samples).groupBy("image_id").cogroup(around.groupBy("scene")).applyInArrow(_met(look), samples.schema)
+
+
+def dealt(rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """Scenes over all tasks: a number of partitions that adaptive execution leaves alone, since a scene costs
+    far more time than its few bytes tell."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def _met(look: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A scene without walls hides nothing, one without samples has nothing to show."""
+    return lambda points, around: look(points, around) if points.num_rows and around.num_rows else points
+
+
+def _schema(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)

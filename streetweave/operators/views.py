@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,32 +194,43 @@ def coverage_report(rows: DataFrame, nearby: DataFrame, visible: DataFrame) -> D
     )
 
 
-def assess_footprints(views: DataFrame) -> DataFrame:
-    """Per building: geometry variants, captures, alignment, depth samples, the status of each check and a
-    conclusion. ``views``: building_id, image_id, geometry, corrected, facade_iou, depth_samples,
-    depth_conflicts; captures count as independent views where no finer choice was made before."""
+def assess_footprints(views: DataFrame, land: Callable[[DataFrame], DataFrame], inputs: DataFrame | None = None) -> DataFrame:
+    """Per building: geometry variants, sources, revisions, views far enough apart to be independent, alignment,
+    depth samples, the status of each of seven checks and a conclusion. ``views``: building_id, image_id, lat,
+    lon, geometry, source, revision (null: not corrected), facade_iou, depth_samples, depth_conflicts. Views
+    without a position are no independent ones. ``inputs`` counts the analyses that were read: compatible,
+    stale, incomplete, invalid; without it the inputs are taken as complete."""
+    from streetweave.operators.captures import independent_views
+
+    far = independent_views(views.select("building_id", "image_id", "lat", "lon"), land).groupBy("building_id").agg(F.count("*").alias("independent_views"))
     sums = views.groupBy("building_id").agg(
         F.count("*").alias("views"),
-        F.count_distinct("image_id").alias("independent_views"),
         F.count_distinct("geometry").alias("variants"),
-        F.max("corrected").alias("corrected"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_sort(F.collect_set("revision")).alias("revisions"),
         F.min("facade_iou").alias("least_iou"),
         F.max("facade_iou").alias("largest_iou"),
-        F.sum("depth_samples").alias("samples"),
-        F.sum("depth_conflicts").alias("conflicts"),
+        F.coalesce(F.sum("depth_samples"), F.lit(0)).alias("samples"),
+        F.coalesce(F.sum("depth_conflicts"), F.lit(0)).alias("conflicts"),
     )
+    rows = sums.join(far, "building_id", "left").fillna(0, ["independent_views"])
+    read = ("compatible", "stale", "incomplete", "invalid")
+    counts = None if inputs is None else inputs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in read]).first()
+    complete = counts is None or not (counts.stale or counts.incomplete or counts.invalid)
     conclusion = (
         F.when(F.col("variants") > 1, "mixed_geometry_association")
         .when(F.col("independent_views") > 1, "consistent_multi_view_association")
         .otherwise("single_view_association")
     )
-    return sums.select(
+    return rows.select(
         "*",
         F.when(F.col("independent_views") > 1, "supporting").otherwise("caution").alias("multi_view_support"),
         F.when(F.col("variants") == 1, "supporting").otherwise("caution").alias("geometry_consistency"),
-        F.when(F.col("corrected"), "caution").otherwise("informational").alias("footprint_correction"),
+        F.lit("informational").alias("geometry_provenance"),
+        F.when(F.size("revisions") > 0, "caution").otherwise("informational").alias("footprint_correction"),
         F.when(F.col("least_iou").isNotNull(), "informational").otherwise("not_available").alias("pose_alignment"),
         F.when(F.col("conflicts") > 0, "caution").when(F.col("samples") > 0, "supporting").otherwise("not_available").alias("depth_evidence"),
+        F.lit("supporting" if complete else "caution").alias("input_completeness"),
         conclusion.alias("conclusion"),
     )
 

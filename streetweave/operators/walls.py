@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from streetweave.functions.geo import crossing_fraction, local_metres, segment_distance
 from streetweave.operators.masks import islands
 from streetweave.operators.spatial import radius_join
+from streetweave.operators.sweep import BESIDE_M, FACING_M, MAX_SAMPLES, SAMPLE_M, SHARED_M, dealt, visible_facades, visible_samples
 
-# Metres between wall samples and the most of them, metres beside a wall, shared-wall and
-# facing tolerances, radius of a scene, limits of corrections.
-SAMPLE_M, MAX_SAMPLES, BESIDE_M, SHARED_M, FACING_M = 1.5, 64, 0.2, 0.25, 0.5
-SCENE_M, CENTROID_SHIFT_M, MAX_PARTS, PART_OVERLAP, EPSILON = 140.0, 50.0, 20, 0.01, 1e-5
+# Fixed value: radius of a scene, in metres.
+SCENE_M = 140.0
 
 
 def edges(footprints: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
@@ -117,30 +116,6 @@ def wall_samples(walls: DataFrame) -> DataFrame:
     return rows.withColumn("sx", F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("fraction")).withColumn("sy", F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("fraction"))
 
 
-def visible_samples(samples: DataFrame, walls: DataFrame) -> DataFrame:
-    """The samples whose line to the camera crosses no wall before them."""
-    w = walls.select(F.col("image_id").alias("i2"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
-    nought = F.lit(0.0)
-    at = crossing_fraction(nought, nought, F.col("sx"), F.col("sy"), F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2"))
-    return samples.join(w, (samples["image_id"] == w["i2"]) & (at < 1 - EPSILON), "left_anti")
-
-
-def visible_facades(walls: DataFrame) -> DataFrame:
-    """image_id, building_id, polygon_no, ring_no, edge_no, x1, y1, x2, y2, distance of the visible parts of
-    facing, unshared walls."""
-    clear = visible_samples(wall_samples(unshared_walls(facing_walls(walls))), walls)
-    runs = islands(clear.select(*_EDGE, "sample"), _EDGE, "sample")
-    rows = runs.join(wall_samples(walls).select(*_EDGE, "samples", "x1", "y1", "x2", "y2").distinct(), _EDGE)
-    a, b = F.col("start") / F.col("samples"), (F.col("end") + 1) / F.col("samples")
-
-    def point(f: Column, p: str, q: str) -> Column:
-        return F.col(p) + (F.col(q) - F.col(p)) * f
-
-    parts = rows.select(*_EDGE, point(a, "x1", "x2").alias("x1"), point(a, "y1", "y2").alias("y1"), point(b, "x1", "x2").alias("x2"), point(b, "y1", "y2").alias("y2"))
-    nought = F.lit(0.0)
-    return parts.withColumn("distance", segment_distance(nought, nought, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-
-
 def facade_bearings(facades: DataFrame) -> DataFrame:
     """The facades with width_deg, length_m and centre_deg as seen from the camera."""
     first, second = F.pmod(F.degrees(F.atan2("x1", "y1")), F.lit(360.0)), F.pmod(F.degrees(F.atan2("x2", "y2")), F.lit(360.0))
@@ -162,26 +137,6 @@ def visibility_index(cameras: DataFrame, footprints: DataFrame, reach_m: float)
     return visibility(facade_bearings(visible_facades(wall_edges(cameras, footprints, pairs)))), pairs
 
 
-def box_overlaps(a: DataFrame, b: DataFrame, cell_deg: float) -> DataFrame:
-    """a_id, b_id, iou of boxes (id, west, south, east, north) that overlap, through cells they touch."""
-
-    def cells(rows: DataFrame, p: str) -> DataFrame:
-        y = F.explode(F.sequence(F.floor(F.col("south") / cell_deg), F.floor(F.col("north") / cell_deg)))
-        x = F.explode(F.sequence(F.floor(F.col("west") / cell_deg), F.floor(F.col("east") / cell_deg)))
-        cut = rows.withColumn("cy", y).withColumn("cx", x)
-        return cut.select("cy", "cx", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "west", "south", "east", "north")])
-
-    met = cells(a, "a").join(cells(b, "b"), ["cy", "cx"]).drop("cy", "cx").distinct()
-    w = F.least("a_east", "b_east") - F.greatest("a_west", "b_west")
-    h = F.least("a_north", "b_north") - F.greatest("a_south", "b_south")
-
-    def area(p: str) -> Column:
-        return (F.col(f"{p}_east") - F.col(f"{p}_west")) * (F.col(f"{p}_north") - F.col(f"{p}_south"))
-
-    both = w * h
-    return met.where((w > 0) & (h > 0)).select("a_id", "b_id", (both / (area("a") + area("b") - both)).alias("iou"))
-
-
 def mutual_best(overlaps: DataFrame, least: float = 0.5) -> DataFrame:
     """a_id, b_id, iou of pairs that are each other's best match; exact ties go to the smaller id."""
     best_a = overlaps.groupBy("a_id").agg(F.min(F.struct((-F.col("iou")).alias("o"), F.col("b_id").alias("x"))).alias("m")).select("a_id", F.col("m.x").alias("b_id"))
@@ -240,74 +195,99 @@ def depth_samples(observations: DataFrame, track: int = 2, error: float = 8.0, c
     return kept.groupBy("image_id", F.round("u", 4).alias("u"), F.round("v", 4).alias("v")).agg(F.min("depth").alias("depth"))
 
 
-def validate_corrections(proposals: DataFrame, footprints: DataFrame) -> DataFrame:
-    """osm_id, revision, issues of proposed corrections that aren't acceptable. ``proposals``: osm_id,
-    revision, kind, parts (of boxes west, south, east, north), lat, lon; footprints: building_id, lat, lon."""
-    rows = proposals.join(footprints.select(F.col("building_id").alias("osm_id"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "osm_id", "left")
-    east, north = local_metres(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
-    n = F.size("parts")
-
-    def area(b: Column) -> Column:
-        return (b["east"] - b["west"]) * (b["north"] - b["south"])
-
-    def shared(a: Column, b: Column) -> Column:
-        w, h = F.least(a["east"], b["east"]) - F.greatest(a["west"], b["west"]), F.least(a["north"], b["north"]) - F.greatest(a["south"], b["south"])
-        return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
-
-    # at most MAX_PARTS parts are compared: more are rejected for their number
-    few = F.slice("parts", 1, MAX_PARTS)
-    clash = F.exists(F.transform(few, lambda a, i: F.exists(F.slice(few, i + 2, MAX_PARTS), lambda b: shared(a, b) > PART_OVERLAP * F.least(area(a), area(b)))), lambda x: x)
-    flat = F.exists("parts", lambda b: area(b) <= 0)
-    codes = F.array(
-        F.when(F.col("lat0").isNull(), "unknown_footprint"), F.when(F.hypot(east, north) > CENTROID_SHIFT_M, "moved_too_far"), F.when(flat, "empty_part"),
-        F.when((F.col("kind") == "split") & ~n.between(2, MAX_PARTS), "bad_part_count"), F.when(clash, "parts_overlap"),
-    )
-    issues = F.filter(codes, lambda c: c.isNotNull())
-    return rows.select("osm_id", "revision", F.concat_ws(",", issues).alias("issues")).where("issues <> ''")
-
-
-def wall_zbuffer(facades: DataFrame, width: int, height: int, camera_m: float = 1.7) -> DataFrame:
-    """image_id, row, col, owner, depth of the nearest wall in each cell of a panorama at reduced size.
-    ``facades``: image_id, building_id, x1, y1, x2, y2, top_m (height of the wall); column 0 looks north.
+def _wall_columns(facades: DataFrame, width: int, height: int, camera_m: float) -> DataFrame:
+    """The facades once for each column of the panorama they are met in, with col, depth, top and bottom (rows).
     A wall is looked for in the columns between its corners' bearings and one more at either side, the
     shorter way round; only one that runs through the camera is looked for in all."""
     bearing = [F.atan2(F.col(f"x{k}"), F.col(f"y{k}")) for k in (1, 2)]
-    turn = F.pmod(bearing[1] - bearing[0] + F.pi(), 2 * F.pi()) - F.pi()
-    first = F.floor(F.when(turn < 0, bearing[1]).otherwise(bearing[0]) * width / (2 * F.pi()) - 0.5) - 1
+    rows = _held(facades, "__b", F.struct(bearing[0].alias("one"), bearing[1].alias("two"), (F.pmod(bearing[1] - bearing[0] + F.pi(), 2 * F.pi()) - F.pi()).alias("turn")))
+    turn = F.col("__b.turn")
+    first = F.floor(F.when(turn < 0, F.col("__b.two")).otherwise(F.col("__b.one")) * width / (2 * F.pi()) - 0.5) - 1
     span = F.ceil(F.abs(turn) * width / (2 * F.pi())) + 3
     every = (F.abs(turn) > math.pi - 1e-6) | (span >= width)
     columns = F.sequence(F.when(every, F.lit(0)).otherwise(first), F.when(every, F.lit(width - 1)).otherwise(first + span))
-    rows = facades.withColumn("col", F.explode(columns)).withColumn("col", F.pmod("col", F.lit(width)).cast("int"))
+    rows = rows.withColumn("__c", F.explode(columns)).withColumn("col", F.pmod("__c", F.lit(width)).cast("int"))
     angle = F.radians((F.col("col") + 0.5) * 360.0 / width)
     far = 1e4
-    at = crossing_fraction(F.lit(0.0), F.lit(0.0), F.sin(angle) * far, F.cos(angle) * far, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    hit = rows.withColumn("depth", at * far).where("depth > 0.25")
+    rows = _held(rows, "__ray", F.struct((F.sin(angle) * far).alias("u"), (F.cos(angle) * far).alias("v")))
+    at = crossing_fraction(F.lit(0.0), F.lit(0.0), F.col("__ray.u"), F.col("__ray.v"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    rows = _held(rows, "__at", at)
+    depth = F.col("__at") * far
+    rows = _held(rows, "depth", F.when(depth > 0.25, depth))
 
     def row(elevation: Column) -> Column:
         return F.floor((0.5 - elevation / F.pi()) * height).cast("int")
 
     top = F.greatest(F.lit(0), row(F.atan2(F.col("top_m") - camera_m, F.col("depth"))))
     bottom = F.least(F.lit(height - 1), row(F.atan2(F.lit(-camera_m), F.col("depth"))))
-    cells = hit.withColumn("top", top).withColumn("bottom", bottom).where("top <= bottom")
-    cells = cells.select("image_id", "col", "building_id", "depth", F.explode(F.sequence(F.col("top"), F.col("bottom"))).alias("row"))
+    rows = _held(rows, "__r", F.struct(top.alias("top"), bottom.alias("bottom"))).withColumn("top", F.col("__r.top")).withColumn("bottom", F.col("__r.bottom"))
+    return rows.where("top <= bottom").drop("__b", "__c", "__ray", "__at", "__r")
+
+
+def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is worked out once for each, where it isn't null. The optimizer does not
+    look through ``explode``; without it every use of a column repeats all that the column is made of."""
+    return rows.withColumn(name, F.explode(F.when(value.isNotNull(), F.array(value))))
+
+
+def wall_zbuffer(facades: DataFrame, width: int, height: int, camera_m: float = 1.7) -> DataFrame:
+    """image_id, row, col, owner, depth of the nearest wall in each cell of a panorama at reduced size.
+    ``facades``: image_id, building_id, x1, y1, x2, y2, top_m (height of the wall); column 0 looks north."""
+    cells = _wall_columns(facades, width, height, camera_m).select("image_id", "col", "building_id", "depth", F.explode(F.sequence(F.col("top"), F.col("bottom"))).alias("row"))
     return cells.groupBy("image_id", "row", "col").agg(F.min(F.struct("depth", "building_id")).alias("n")).select("image_id", "row", "col", F.col("n.building_id").alias("owner"), F.col("n.depth").alias("depth"))
 
 
+def _ones(low: Column, high: Column) -> Column:
+    """A long with the bits from ``low`` to ``high`` (0 to 63) set."""
+    return F.call_function("shiftleft", F.lit(-1).cast("long"), low).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - high))
+
+
+def wall_masks(facades: DataFrame, keys: list[str], width: int, height: int, camera_m: float = 1.7) -> DataFrame:
+    """keys, col, word, mask: the rows of a column in which some wall is, as bits; 64 rows to a word. Walls of a
+    scene unite by ``bit_or``, so neither cells nor depths are made."""
+    runs = _wall_columns(facades, width, height, camera_m).withColumn("word", F.explode(F.sequence(F.shiftright("top", 6), F.shiftright("bottom", 6))))
+    low, high = F.greatest(F.lit(0), F.col("top") - F.col("word") * 64), F.least(F.lit(63), F.col("bottom") - F.col("word") * 64)
+    return runs.groupBy(*keys, "col", "word").agg(F.bit_or(_ones(low, high)).alias("mask"))
+
+
+def cell_masks(cells: DataFrame) -> DataFrame:
+    """image_id, col, word, mask of single cells (image_id, row, col)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("row").cast("int"), F.lit(64)))
+    return cells.groupBy("image_id", F.col("col").cast("int").alias("col"), F.shiftright(F.col("row").cast("int"), 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
+
+
 def pose_scores(observed: DataFrame, facades: DataFrame, candidates: DataFrame, width: int, height: int) -> DataFrame:
     """image_id, candidate, shift_m, turn_deg, score: how well the projected walls meet the observed cells
-    for each candidate (dx, dy, turn_deg) of a fixed small table. ``observed``: image_id, row, col."""
-    moved = facades.join(F.broadcast(candidates)).select(
-        F.concat_ws("|", "image_id", F.col("candidate").cast("string")).alias("image_id"), "building_id", "top_m", *[(F.col(c) - F.col("dx")).alias(c) for c in ("x1", "x2")], *[(F.col(c) - F.col("dy")).alias(c) for c in ("y1", "y2")]
-    )
-    cells = wall_zbuffer(moved, width, height).select(F.split("image_id", r"\|")[0].alias("image_id"), F.split("image_id", r"\|")[1].cast("int").alias("candidate"), "row", "col")
-    shift = F.round(F.col("turn_deg") / 360.0 * width).cast("int")
-    turned = cells.join(F.broadcast(candidates.select("candidate", "turn_deg")), "candidate").select("image_id", "candidate", "row", F.pmod(F.col("col") - shift, F.lit(width)).alias("col"), F.lit(1).alias("p")).distinct()
-    seen = observed.select("image_id", "row", "col").distinct()
-    n = seen.groupBy("image_id").agg(F.count("*").alias("n_seen"))
-    both = turned.join(seen.withColumn("s", F.lit(1)), ["image_id", "row", "col"], "left")
-    sums = both.groupBy("image_id", "candidate").agg(F.count("*").alias("n_walls"), F.count("s").alias("both")).join(n, "image_id")
-    score = F.col("both") / (F.col("n_walls") + F.col("n_seen") - F.col("both"))
-    return sums.join(F.broadcast(candidates), "candidate").select("image_id", "candidate", F.hypot("dx", "dy").alias("shift_m"), "turn_deg", score.alias("score"))
+    for each candidate (dx, dy, turn_deg) of a fixed table of at most 1,000. ``observed``: image_id, col, word,
+    mask, as :func:`cell_masks` and :func:`wall_masks` give them.
+
+    A scene is one exchange: walls are projected once for each offset, and a turn only shifts the columns that
+    are compared. All that is grouped and joined after it keeps to the partitioning by image."""
+    fixed = candidates.limit(1001).collect()
+    if len(fixed) > 1000:
+        raise ValueError("candidates are a fixed table of at most 1,000 rows")
+    offsets = sorted({(c.dx, c.dy) for c in fixed})
+    turns = sorted({c.turn_deg for c in fixed})
+    number = {(c.dx, c.dy, c.turn_deg): c.candidate for c in fixed}
+    moved = dealt(facades.select("image_id", "x1", "y1", "x2", "y2", "top_m"))
+    moved = moved.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(offsets)])))
+    moved = moved.select("image_id", F.col("o.k").alias("offset"), "top_m", *[(F.col(f"x{k}") - F.col("o.dx")).alias(f"x{k}") for k in (1, 2)], *[(F.col(f"y{k}") - F.col("o.dy")).alias(f"y{k}") for k in (1, 2)])
+    walls = wall_masks(moved, ["image_id", "offset"], width, height)
+    words = (height + 63) // 64
+    place = F.col("col") * words + F.col("word")
+    seen = observed.where("mask <> 0").groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("p"), "mask"))).alias("seen"), F.sum(F.bit_count("mask")).alias("n_seen"))
+
+    def both(turn: float) -> Column:
+        there = F.pmod(F.col("col") - round(turn / 360.0 * width), F.lit(width)) * words + F.col("word")
+        return F.sum(F.bit_count(F.col("mask").bitwiseAND(F.coalesce(F.element_at("seen", there.cast("int")), F.lit(0).cast("long")))))
+
+    sums = walls.join(seen, "image_id").groupBy("image_id", "offset").agg(F.max("n_seen").alias("n_seen"), F.sum(F.bit_count("mask")).alias("n_walls"), *[both(t).alias(f"both{k}") for k, t in enumerate(turns)])
+    each = F.array(*[F.struct(F.lit(k).alias("turn"), F.col(f"both{k}").alias("both")) for k in range(len(turns))])
+    rows = sums.select("image_id", "offset", "n_seen", "n_walls", F.explode(each).alias("t"))
+    table = F.array(*[F.struct(F.lit(number.get((dx, dy, t))).cast("int").alias("candidate"), F.lit(math.hypot(dx, dy)).alias("shift_m"), F.lit(t).alias("turn_deg")) for dx, dy in offsets for t in turns])
+    rows = rows.withColumn("c", F.element_at(table, (F.col("offset") * len(turns) + F.col("t.turn") + 1).cast("int"))).where("c.candidate IS NOT NULL")
+    score = F.col("t.both") / (F.col("n_walls") + F.col("n_seen") - F.col("t.both"))
+    return rows.select("image_id", "c.candidate", "c.shift_m", "c.turn_deg", score.alias("score"))
 
 
 def pose_candidates(spark, offsets=(-4.0, 0.0, 4.0), turns=(-6.0, 0.0, 6.0)) -> DataFrame:

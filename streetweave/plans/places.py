@@ -298,22 +298,25 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return independent_views(rows, landing(spark, "views"), 300.0)
 
 
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    from streetweave.operators.captures import fuse_nearby
+
+    v, c = r.views(spark, d), r.captures(spark, d).select("image_id", "lat", "lon")
+    v = v.withColumn("revision", F.when(F.col("pixels") % 3 == 0, F.col("pixels") % 5)).withColumn("inferred_pixels", F.floor(F.col("pixels") / 7))
+    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c, landing(spark, "views"))
+
+
 @query(
     "A7",
-    """SELECT building_id, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS sources, sum(pixels) AS observed_pixels, count(DISTINCT image_id) AS captures FROM views GROUP BY building_id""",
+    """SELECT building_id, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS sources, coalesce(string_agg(DISTINCT CAST(CASE WHEN pixels % 3 = 0 THEN pixels % 5 END AS VARCHAR), ',' ORDER BY CAST(CASE WHEN pixels % 3 = 0 THEN pixels % 5 END AS VARCHAR)), '') AS revisions,
+      sum(pixels) AS observed_pixels, sum(pixels // 7) AS inferred_pixels, count(DISTINCT image_id) AS captures FROM views GROUP BY building_id""",
     ("views",),
 )
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    from streetweave.operators.captures import fuse_nearby
-
-    v, c = r.views(spark, d), r.captures(spark, d).select("image_id", "lat", "lon")
-    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c, landing(spark, "views")).select("building_id", "sources", "observed_pixels", "captures")
+    return _fused(spark, d).select("building_id", "sources", F.concat_ws(",", F.col("revisions").cast("array<string>")).alias("revisions"), "observed_pixels", "inferred_pixels", "captures")
 
 
 @query("A7_independent", None)
 def a7_independent(spark: SparkSession, d: str) -> DataFrame:
     """A7's independent views and their mean coverage, which SQL does not express."""
-    from streetweave.operators.captures import fuse_nearby
-
-    v, c = r.views(spark, d), r.captures(spark, d).select("image_id", "lat", "lon")
-    return fuse_nearby(v.withColumnRenamed("dataset", "source"), c, landing(spark, "views")).select("building_id", "views", "confidence")
+    return _fused(spark, d).select("building_id", "views", F.concat_ws(",", "independent_ids").alias("independent_ids"), "confidence")

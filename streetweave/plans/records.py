@@ -406,16 +406,27 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "A20",
-    """SELECT building_id, count(*) AS views, CASE WHEN count(DISTINCT pixels % 2) > 1 THEN 'mixed_geometry_association' WHEN count(DISTINCT image_id) > 1 THEN 'consistent_multi_view_association' ELSE 'single_view_association' END AS conclusion,
-      CASE WHEN sum(pixels // 400 % 3) > 2 THEN 'caution' WHEN sum(pixels // 400) > 0 THEN 'supporting' ELSE 'not_available' END AS depth_evidence FROM (SELECT building_id, image_id, pixels // 400 AS pixels FROM views) GROUP BY building_id""".replace("pixels // 400 % 3) > 2", "CASE WHEN pixels % 3 = 2 THEN 1 ELSE 0 END) > 0").replace("sum(pixels // 400)", "sum(pixels)"),
-    ("views",),
+    """WITH v AS (SELECT building_id, w.image_id, w.dataset AS source, w.pixels // 400 AS n, w.coverage, lat, lon, CASE WHEN (w.pixels // 400) % 7 = 0 THEN (w.pixels // 400) % 3 END AS revision FROM views w LEFT JOIN captures c ON c.image_id = w.image_id),
+    f AS (SELECT a.building_id, max(a.lat + a.lon <> b.lat + b.lon AND 2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) >= 3) AS far
+      FROM v a JOIN v b ON a.building_id = b.building_id GROUP BY a.building_id),
+    g AS (SELECT building_id, count(*) AS views, count(DISTINCT n % 2) AS variants, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(revision) AS corrected, sum(n) AS samples, sum(CASE WHEN n % 3 = 2 THEN 1 ELSE 0 END) AS conflicts,
+      count(lat) AS located FROM v GROUP BY building_id), s AS (SELECT count(*) FILTER (WHERE quality = 0) AS stale FROM labels)
+    SELECT building_id, views, sources, CASE WHEN variants > 1 THEN 'mixed_geometry_association' WHEN coalesce(far, false) THEN 'consistent_multi_view_association' ELSE 'single_view_association' END AS conclusion,
+      CASE WHEN coalesce(far, false) THEN 'supporting' ELSE 'caution' END AS multi_view_support, CASE WHEN variants = 1 THEN 'supporting' ELSE 'caution' END AS geometry_consistency, 'informational' AS geometry_provenance,
+      CASE WHEN corrected > 0 THEN 'caution' ELSE 'informational' END AS footprint_correction, 'informational' AS pose_alignment,
+      CASE WHEN conflicts > 0 THEN 'caution' WHEN samples > 0 THEN 'supporting' ELSE 'not_available' END AS depth_evidence, CASE WHEN stale > 0 THEN 'caution' ELSE 'supporting' END AS input_completeness FROM g LEFT JOIN f USING (building_id), s""",
+    ("views", "captures"),
 )
 def a20(spark: SparkSession, d: str) -> DataFrame:
     n = F.floor(F.col("pixels") / 400)
-    rows = r.views(spark, d).select(
-        "building_id", "image_id", (n % 2).alias("geometry"), F.lit(False).alias("corrected"), F.col("coverage").alias("facade_iou"), n.alias("depth_samples"), F.when(n % 3 == 2, 1).otherwise(0).alias("depth_conflicts")
-    )
-    return views.assess_footprints(rows).select("building_id", "views", "conclusion", "depth_evidence")
+    rows = r.views(spark, d).join(r.captures(spark, d).select("image_id", "lat", "lon"), "image_id", "left").select(
+        "building_id", "image_id", "lat", "lon", (n % 2).alias("geometry"), F.col("dataset").alias("source"), F.when(n % 7 == 0, n % 3).alias("revision"), F.col("coverage").alias("facade_iou"),
+        n.alias("depth_samples"), F.when(n % 3 == 2, 1).otherwise(0).alias("depth_conflicts"),
+    )
+    good = F.col("quality") == 1
+    read = r.table(spark, d, "labels").select(F.when(good, 1).otherwise(0).alias("compatible"), F.when(F.col("quality") == 0, 1).otherwise(0).alias("stale"), F.lit(0).alias("incomplete"), F.lit(0).alias("invalid"))
+    checks = ("multi_view_support", "geometry_consistency", "geometry_provenance", "footprint_correction", "pose_alignment", "depth_evidence", "input_completeness")
+    return views.assess_footprints(rows, landing(spark, "views"), read).select("building_id", "views", F.concat_ws(",", "sources").alias("sources"), "conclusion", *checks)
 
 
 @query("A41", "SELECT building_id, count(*) AS n FROM views GROUP BY building_id", ("views",))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetweave.functions import geo
-from streetweave.operators import corrections, walls
+from streetweave.operators import corrections, polygons, walls
 from streetweave.plans import registry as r
 from streetweave.plans.registry import query
 from streetweave.sources.landing import landing
@@ -71,7 +71,7 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cameras(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth of the capture keys as cameras of the visibility queries: a survey's chosen stops."""
+    """All captures, as the cameras of the visibility queries."""
     return r.captures(spark, d)
 
 
@@ -86,12 +86,62 @@ def _scene(spark: SparkSession, d: str) -> DataFrame:
     return walls.edges(rows, ["image_id", "building_id"])
 
 
-@query("G2", None)
+r.CTES["scene"] = """
+SELECT image_id, building_id, e AS edge_no, x + half * [-1, 1, 1, -1, -1][e + 1] AS x1, y + half * [-1, -1, 1, 1, -1][e + 1] AS y1, x + half * [-1, 1, 1, -1, -1][e + 2] AS x2, y + half * [-1, -1, 1, 1, -1][e + 2] AS y2
+FROM (SELECT CAST(l_orderkey AS VARCHAR) AS image_id, CAST(l_linenumber AS VARCHAR) AS building_id, l_linenumber * 14.0::DOUBLE - 40 AS x, CASE WHEN l_suppkey % 2 = 0 THEN 12.0::DOUBLE ELSE -15.0::DOUBLE END + l_partkey % 5 AS y,
+    CASE WHEN l_suppkey % 3 = 0 THEN 7.0::DOUBLE ELSE 5.0::DOUBLE END AS half FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1), (SELECT unnest([0, 1, 2, 3]) AS e)
+"""
+r.CTES["facing"] = """
+SELECT p.image_id, p.building_id, p.edge_no, p.x1, p.y1, p.x2, p.y2 FROM (
+  SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my, sqrt(power((x1 + x2) / 2, 2) + power((y1 + y2) / 2, 2)) AS far FROM scene) p JOIN scene w ON w.image_id = p.image_id AND w.building_id = p.building_id
+WHERE far >= 0.5 GROUP BY ALL
+HAVING sum(CASE WHEN (w.y1 > my - my * 0.2 / far) <> (w.y2 > my - my * 0.2 / far) AND mx - mx * 0.2 / far < w.x1 + (my - my * 0.2 / far - w.y1) / (w.y2 - w.y1) * (w.x2 - w.x1) THEN 1 ELSE 0 END) % 2 = 0
+  AND sum(CASE WHEN (w.y1 > my + my * 0.2 / far) <> (w.y2 > my + my * 0.2 / far) AND mx + mx * 0.2 / far < w.x1 + (my + my * 0.2 / far - w.y1) / (w.y2 - w.y1) * (w.x2 - w.x1) THEN 1 ELSE 0 END) % 2 = 1
+"""
+_ACROSS = "abs(({x} - w.x1) * (w.y2 - w.y1) - ({y} - w.y1) * (w.x2 - w.x1)) / w.n <= 0.25"
+_ALONG = "(({x} - w.x1) * (w.x2 - w.x1) + ({y} - w.y1) * (w.y2 - w.y1)) / w.n"
+r.CTES["shared"] = f"""
+SELECT DISTINCT w.image_id, w.building_id, w.edge_no FROM (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS n FROM scene) w JOIN scene o ON o.image_id = w.image_id AND o.building_id <> w.building_id
+WHERE {_ACROSS.format(x="o.x1", y="o.y1")} AND {_ACROSS.format(x="o.x2", y="o.y2")} AND least({_ALONG.format(x="o.x1", y="o.y1")}, {_ALONG.format(x="o.x2", y="o.y2")}) <= 0.25 AND greatest({_ALONG.format(x="o.x1", y="o.y1")}, {_ALONG.format(x="o.x2", y="o.y2")}) >= w.n - 0.25
+"""
+r.CTES["samples"] = """
+SELECT *, x1 + (x2 - x1) * ((i + 0.5) / n) AS sx, y1 + (y2 - y1) * ((i + 0.5) / n) AS sy FROM (
+  SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(greatest(1, least(64, ceil(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) / 1.5))) AS INTEGER) AS n FROM scene))
+"""
+r.CTES["clear"] = """
+SELECT * FROM samples s WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, sx * (y2 - y1) - sy * (x2 - x1) AS det FROM (SELECT w.*, s.sx, s.sy FROM scene w WHERE w.image_id = s.image_id))
+  WHERE abs(det) > 1e-12 AND (x1 * (y2 - y1) - y1 * (x2 - x1)) / det >= 0 AND (x1 * (y2 - y1) - y1 * (x2 - x1)) / det < 1 - 1e-5 AND (x1 * sy - y1 * sx) / det BETWEEN 0 AND 1)
+"""
+r.CTES["facades"] = """
+SELECT image_id, building_id, edge_no, x1 + (x2 - x1) * (a / n) AS x1, y1 + (y2 - y1) * (a / n) AS y1, x1 + (x2 - x1) * (b / n) AS x2, y1 + (y2 - y1) * (b / n) AS y2 FROM (
+  SELECT image_id, building_id, edge_no, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2, any_value(n) AS n, min(i) AS a, max(i) + 1 AS b FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY image_id, building_id, edge_no ORDER BY i) AS run FROM clear SEMI JOIN facing USING (image_id, building_id, edge_no) ANTI JOIN shared USING (image_id, building_id, edge_no)) GROUP BY image_id, building_id, edge_no, run)
+"""
+r.CTES["bearings"] = """
+SELECT *, abs(turn) AS width_deg, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS length_m, (first + turn / 2 + 360) % 360 AS centre_deg, sqrt(power(x1 + t * (x2 - x1), 2) + power(y1 + t * (y2 - y1), 2)) AS distance FROM (
+  SELECT *, (b - first + 540) % 360 - 180 AS turn, greatest(0, least(1, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / greatest(power(x2 - x1, 2) + power(y2 - y1, 2), 1e-12))) AS t FROM (
+    SELECT *, (degrees(atan2(x1, y1)) + 360) % 360 AS first, (degrees(atan2(x2, y2)) + 360) % 360 AS b FROM facades))
+"""
+
+
+def _columns_sql(walls: str) -> str:
+    """All walls against all 72 columns of a panorama, with the rows they take."""
+    return f"""SELECT *, CAST(greatest(0, floor((0.5 - atan2(8.3, depth) / pi()) * 36)) AS INTEGER) AS top, CAST(least(35, floor((0.5 - atan2(-1.7, depth) / pi()) * 36)) AS INTEGER) AS bottom FROM (
+      SELECT *, (x1 * (y2 - y1) - y1 * (x2 - x1)) / det * 1e4 AS depth FROM (SELECT *, u * (y2 - y1) - v * (x2 - x1) AS det FROM {walls},
+        (SELECT c AS col, sin(radians((c + 0.5) * 360.0::DOUBLE / 72)) * 1e4 AS u, cos(radians((c + 0.5) * 360.0::DOUBLE / 72)) * 1e4 AS v FROM (SELECT unnest(range(72)) AS c)))
+      WHERE abs(det) > 1e-12 AND (x1 * (y2 - y1) - y1 * (x2 - x1)) / det BETWEEN 0 AND 1 AND (x1 * v - y1 * u) / det BETWEEN 0 AND 1) WHERE depth > 0.25"""
+
+
+for _name, _needs in {"facing": ("scene",), "shared": ("scene",), "samples": ("scene",), "clear": ("scene", "samples"), "facades": ("scene", "facing", "shared", "samples", "clear"), "bearings": ("scene", "facing", "shared", "samples", "clear", "facades")}.items():
+    r.NEEDS[_name] = _needs
+
+
+@query("G2", "SELECT image_id, building_id, edge_no FROM facing", ("facing",))
 def g2(spark: SparkSession, d: str) -> DataFrame:
     return walls.facing_walls(_scene(spark, d)).select("image_id", "building_id", "edge_no")
 
 
-@query("J8", None)
+@query("J8", "SELECT image_id, building_id, edge_no FROM scene ANTI JOIN shared USING (image_id, building_id, edge_no)", ("shared",))
 def j8(spark: SparkSession, d: str) -> DataFrame:
     return walls.unshared_walls(_scene(spark, d)).select("image_id", "building_id", "edge_no")
 
@@ -107,26 +157,31 @@ SELECT image_id, building_id, e AS edge_no, CASE WHEN s % 3 = 0 THEN 10 ELSE 7 E
 """
 
 
-@query("J7", None)
+@query("J7", "SELECT image_id, building_id, count(*) AS samples FROM clear GROUP BY image_id, building_id", ("clear",))
 def j7(spark: SparkSession, d: str) -> DataFrame:
     scene = _scene(spark, d)
     clear = walls.visible_samples(walls.wall_samples(scene), scene)
     return clear.groupBy("image_id", "building_id").agg(F.count("*").alias("samples"))
 
 
-@query("G4", None)
+@query("G4", "SELECT image_id, building_id, edge_no, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(distance, 6) AS distance FROM bearings", ("bearings",))
 def g4(spark: SparkSession, d: str) -> DataFrame:
     f = walls.visible_facades(_scene(spark, d))
     return f.select("image_id", "building_id", "edge_no", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "distance")])
 
 
-@query("G5", None)
+@query("G5", "SELECT image_id, building_id, edge_no, round(width_deg, 6) AS width_deg, round(centre_deg, 6) AS centre_deg FROM bearings", ("bearings",))
 def g5(spark: SparkSession, d: str) -> DataFrame:
     b = walls.facade_bearings(walls.visible_facades(_scene(spark, d)))
     return b.select("image_id", "building_id", "edge_no", F.round("width_deg", 6).alias("width_deg"), F.round("centre_deg", 6).alias("centre_deg"))
 
 
-@query("A11", None)
+@query(
+    "A11",
+    """SELECT image_id, building_id, round(least(sum(width_deg), 360), 2) AS aov_deg, round(min(distance), 2) AS distance_m, round(sum(length_m), 2) AS visible_wall_m,
+      round(arg_max(centre_deg, ROW(round(width_deg, 9), -round(centre_deg, 9))), 2) AS bearing_deg FROM bearings GROUP BY image_id, building_id""",
+    ("bearings",),
+)
 def a11(spark: SparkSession, d: str) -> DataFrame:
     return walls.visibility(walls.facade_bearings(walls.visible_facades(_scene(spark, d))))
 
@@ -137,7 +192,12 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return seen
 
 
-@query("G6", None)
+@query(
+    "G6",
+    f"""WITH c AS ({_columns_sql("facades")}), k AS (SELECT image_id, col, building_id, depth, unnest(range(top, bottom + 1)) AS row FROM c WHERE top <= bottom)
+    SELECT image_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, arg_min(building_id, ROW(depth, building_id)) AS owner, round(min(depth), 6) AS depth FROM k GROUP BY image_id, row, col""",
+    ("facades",),
+)
 def g6(spark: SparkSession, d: str) -> DataFrame:
     scene = walls.visible_facades(_scene(spark, d)).withColumn("top_m", F.lit(10.0))
     return walls.wall_zbuffer(scene, 72, 36).select("image_id", "row", "col", "owner", F.round("depth", 6).alias("depth"))
@@ -146,21 +206,41 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     scene = walls.visible_facades(_scene(spark, d)).withColumn("top_m", F.lit(10.0))
     scene = landing(spark, "facades")(scene.select("image_id", "building_id", "x1", "y1", "x2", "y2", "top_m"))
-    seen = walls.wall_zbuffer(scene.withColumn("x1", F.col("x1") + 2).withColumn("x2", F.col("x2") + 2), 72, 36)
+    seen = walls.wall_masks(scene.withColumn("x1", F.col("x1") + 2).withColumn("x2", F.col("x2") + 2), ["image_id"], 72, 36)
     return walls.pose_scores(seen, scene, walls.pose_candidates(spark), 72, 36)
 
 
-@query("J9", "SELECT CAST(p_partkey AS VARCHAR) AS a_id, CAST(p_partkey AS VARCHAR) AS b_id, round(CASE WHEN p_size % 3 = 0 THEN 1.0 WHEN p_size % 3 = 1 THEN 0.64 ELSE 0.5 END, 6) AS iou FROM part")
+_L = ((0.0, 0.0, 0.5, 0.25), (0.0, 0.25, 0.25, 0.5))
+#: The second footprints as rectangles, by size: the same L, the whole square, an L turned round, a lower box.
+_OTHERS = (_L, ((0.0, 0.0, 0.5, 0.5),), ((0.0, 0.25, 0.5, 0.5), (0.25, 0.0, 0.5, 0.25)), ((0.0, 0.0, 0.5, 0.25),))
+_RINGS = (((0.0, 0.0), (0.5, 0.0), (0.5, 0.25), (0.25, 0.25), (0.25, 0.5), (0.0, 0.5)), ((0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)), ((0.25, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5), (0.0, 0.25), (0.25, 0.25)), ((0.0, 0.0), (0.5, 0.0), (0.5, 0.25), (0.0, 0.25)))
+
+
+def _rectangles(which) -> str:
+    return ", ".join(f"({k}, {x1}, {y1}, {x2}, {y2})" for k, shape in which for x1, y1, x2, y2 in shape)
+
+
+@query(
+    "J9",
+    f"""WITH ra(k, x1, y1, x2, y2) AS (VALUES {_rectangles([(0, _L)])}), rb(k, x1, y1, x2, y2) AS (VALUES {_rectangles(enumerate(_OTHERS))}),
+    p AS (SELECT p_partkey, p_size % 4 AS k, (p_partkey % 5) * 0.0625 AS dx, (p_size % 3) * 0.03125 AS dy FROM part),
+    o AS (SELECT p_partkey, sum(greatest(0, least(ra.x2, rb.x2 + dx) - greatest(ra.x1, rb.x1 + dx)) * greatest(0, least(ra.y2, rb.y2 + dy) - greatest(ra.y1, rb.y1 + dy))) AS shared FROM p JOIN rb ON rb.k = p.k, ra GROUP BY p_partkey),
+    s AS (SELECT k, sum((x2 - x1) * (y2 - y1)) AS area FROM rb GROUP BY k)
+    SELECT CAST(p_partkey AS VARCHAR) AS a_id, CAST(p_partkey AS VARCHAR) AS b_id, round(shared / (0.1875 + area - shared), 6) AS iou FROM o JOIN p USING (p_partkey) JOIN s USING (k) WHERE shared / (0.1875 + area - shared) >= 0.5""",
+)
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    # apart from one another: a lattice of boxes, and the same shrunk by a third kind of amount
-    k, s = F.col("p_partkey"), F.col("p_size") % 3
+    """L-shaped footprints on a lattice, and for each another shape, moved by up to a quarter."""
+    k = F.col("p_partkey")
     x, y = (k % 1000).cast("double"), F.floor(k / 1000).cast("double")
-    w = F.when(s == 0, 0.5).when(s == 1, 0.4).otherwise(0.5)
-    h = F.when(s == 0, 0.5).when(s == 1, 0.4).otherwise(0.25)
-    p = r.table(spark, d, "part").select(k.cast("string").alias("id"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
-    a = p.select("id", F.col("x").alias("west"), F.col("y").alias("south"), (F.col("x") + 0.5).alias("east"), (F.col("y") + 0.5).alias("north"))
-    b = p.select("id", F.col("x").alias("west"), F.col("y").alias("south"), (F.col("x") + F.col("w")).alias("east"), (F.col("y") + F.col("h")).alias("north"))
-    return walls.mutual_best(walls.box_overlaps(a, b, 0.25)).select("a_id", "b_id", F.round("iou", 6).alias("iou"))
+
+    def shape(ring, dx, dy):
+        return F.array(F.array(F.array(*[F.array(x + dx + px, y + dy + py) for px, py in (*ring, ring[0])])))
+
+    dx, dy, which = (k % 5) * 0.0625, (F.col("p_size") % 3) * 0.03125, F.col("p_size") % 4
+    other = F.when(which == 0, shape(_RINGS[0], dx, dy)).when(which == 1, shape(_RINGS[1], dx, dy)).when(which == 2, shape(_RINGS[2], dx, dy)).otherwise(shape(_RINGS[3], dx, dy))
+    p = r.table(spark, d, "part").select(k.cast("string").alias("id"), shape(_RINGS[0], 0.0, 0.0).alias("one"), other.alias("other"))
+    met = polygons.polygon_overlaps(p.select("id", F.col("one").alias("geometry")), p.select("id", F.col("other").alias("geometry")))
+    return walls.mutual_best(met).select("a_id", "b_id", F.round("iou", 6).alias("iou"))
 
 
 @query(
@@ -228,22 +308,41 @@ def a39(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "G12",
-    """SELECT osm_id, revision, concat_ws(',', CASE WHEN seq % 4 = 0 THEN 'moved_too_far' END, CASE WHEN kind = 'split' AND seq % 3 = 0 THEN 'bad_part_count' END, CASE WHEN seq % 3 > 0 AND seq % 5 = 0 THEN 'parts_overlap' END) AS issues
-    FROM revisions JOIN footprints ON building_id = osm_id WHERE seq % 4 = 0 OR (kind = 'split' AND seq % 3 = 0) OR (seq % 3 > 0 AND seq % 5 = 0)""",
+    """WITH c AS (SELECT osm_id, revision, kind, seq, seq % 3 = 0 AS one, seq % 7 = 0 AS bow, seq % 7 > 0 AND seq % 11 = 0 AS hole FROM revisions JOIN footprints ON building_id = osm_id),
+    i AS (SELECT osm_id, revision, concat_ws(',', CASE WHEN bow THEN 'self_intersection' END, CASE WHEN hole THEN 'hole_outside' END, CASE WHEN seq % 4 = 0 AND NOT (one AND (bow OR hole)) THEN 'moved_too_far' END,
+      CASE WHEN (kind = 'split') = one THEN 'bad_part_count' END, CASE WHEN NOT one AND seq % 5 = 0 AND NOT bow AND NOT hole THEN 'parts_overlap' END) AS issues FROM c)
+    SELECT osm_id, revision, issues FROM i WHERE issues <> ''""",
     ("revisions", "footprints"),
 )
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    f = r.footprints(spark, d).select("building_id", "lat", "lon")
-    box = lambda w, e: F.struct(F.lit(w).alias("west"), F.lit(0.0).alias("south"), F.lit(e).alias("east"), F.lit(1.0).alias("north"))
-    one = F.array(box(0.0, 1.0))
-    two = F.when(F.col("seq") % 5 == 0, F.array(box(0.0, 1.0), box(0.5, 1.5))).otherwise(F.array(box(0.0, 1.0), box(1.0, 2.0)))
-    p = r.revisions(spark, d).join(f, F.col("osm_id") == F.col("building_id")).select(
-        "osm_id", "revision", "kind", F.when(F.col("seq") % 3 == 0, one).otherwise(two).alias("parts"), (F.col("lat") + F.when(F.col("seq") % 4 == 0, 0.001).otherwise(0.0)).alias("lat"), "lon"
-    )
-    return walls.validate_corrections(p, f).select("osm_id", F.col("revision").cast("long").alias("revision"), "issues")
+    """Halves of a footprint as parts; some are twisted, have a hole beside them, overlap, or lie too far off."""
+    f = boxes(spark, d).select("building_id", "lat", "lon", "half", "geometry")
+    lat = F.col("lat") + F.when(F.col("seq") % 4 == 0, 0.001).otherwise(0.0)
+
+    def ring(*corners):
+        return F.array(*[F.array(F.col("lon") + F.col("half") * cx, lat + F.col("half") * cy) for cx, cy in (*corners, corners[0])])
 
+    left = ((-1, -1), (0, -1), (0, 1), (-1, 1))
+    twisted, beside = (left[0], left[2], left[1], left[3]), ((2, 2), (2.5, 2), (2.5, 2.5), (2, 2.5))
+    first = F.when(F.col("seq") % 7 == 0, F.array(F.array(ring(*twisted)))).when(F.col("seq") % 11 == 0, F.array(F.array(ring(*left), ring(*beside)))).otherwise(F.array(F.array(ring(*left))))
+    second = F.when(F.col("seq") % 5 == 0, F.array(F.array(ring((-0.5, -1), (1, -1), (1, 1), (-0.5, 1))))).otherwise(F.array(F.array(ring((0, -1), (1, -1), (1, 1), (0, 1)))))
+    parts = F.when(F.col("seq") % 3 == 0, F.array(first)).otherwise(F.array(first, second))
+    p = r.revisions(spark, d).join(f, F.col("osm_id") == F.col("building_id")).select("osm_id", "revision", "kind", parts.alias("parts"))
+    return polygons.validate_corrections(p, f).select("osm_id", F.col("revision").cast("long").alias("revision"), "issues")
 
-@query("G7", None)
+
+@query(
+    "G7",
+    f"""WITH o AS (SELECT dx, dy, row_number() OVER (ORDER BY dx, dy) AS place FROM (SELECT unnest([-4.0::DOUBLE, 0, 4]) AS dx), (SELECT unnest([-4.0::DOUBLE, 0, 4]) AS dy)),
+    t AS (SELECT dx, dy, turn, row_number() OVER (ORDER BY abs(dx) + abs(dy) + abs(turn) > 0, dx, dy, turn) - 1 AS candidate FROM o, (SELECT unnest([-6.0::DOUBLE, 0, 6]) AS turn)),
+    moved AS (SELECT image_id, dx, dy, x1 - dx AS x1, y1 - dy AS y1, x2 - dx AS x2, y2 - dy AS y2 FROM facades, o), beside AS (SELECT image_id, x1 + 2 AS x1, y1, x2 + 2 AS x2, y2 FROM facades),
+    p AS (SELECT image_id, dx, dy, col, bit_or((1::BIGINT << (bottom + 1)) - (1::BIGINT << top)) AS mask FROM ({_columns_sql("moved")}) WHERE top <= bottom GROUP BY ALL),
+    s AS (SELECT image_id, col, bit_or((1::BIGINT << (bottom + 1)) - (1::BIGINT << top)) AS mask FROM ({_columns_sql("beside")}) WHERE top <= bottom GROUP BY ALL),
+    n AS (SELECT image_id, sum(bit_count(mask)) AS n_seen FROM s GROUP BY image_id),
+    m AS (SELECT p.image_id, candidate, sum(bit_count(p.mask)) AS n_walls, sum(coalesce(bit_count(p.mask & s.mask), 0)) AS shared FROM p JOIN t ON t.dx = p.dx AND t.dy = p.dy LEFT JOIN s ON s.image_id = p.image_id AND s.col = (p.col - CAST(round(turn / 5) AS INTEGER) + 72) % 72 GROUP BY ALL)
+    SELECT image_id, CAST(candidate AS INTEGER) AS candidate, round(shared / (n_walls + n_seen - shared), 9) AS score FROM m JOIN n USING (image_id)""",
+    ("facades",),
+)
 def g7(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("image_id", "candidate", F.round("score", 9).alias("score"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streetweave.functions import fields, geo
-from streetweave.operators import captures, cards, corrections, fusion, logs, masks, ranks, scoring, spatial, views, walls
+from streetweave.operators import captures, cards, corrections, fusion, logs, masks, polygons, ranks, scoring, spatial, views, walls
 from streetweave.sources import documents, maps, sinks
 from streetweave.sources.landing import landing
 from streetweave.streaming import logs as streams
@@ -277,9 +277,11 @@ def test_holes_are_outside(spark):
 
 
 def test_mutual_best_overlap(spark):
-    a = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 10.0), ("b", 20.0, 0.0, 30.0, 10.0), ("c", 50.0, 0.0, 60.0, 10.0)], "id string, west double, south double, east double, north double")
-    b = spark.createDataFrame([("x", 0.5, 0.0, 10.5, 10.0), ("y", 20.0, 0.0, 30.0, 5.0), ("z", 58.0, 0.0, 68.0, 10.0)], "id string, west double, south double, east double, north double")
-    got = {(r.a_id, r.b_id): round(r.iou, 4) for r in walls.mutual_best(walls.box_overlaps(a, b, 4.0)).collect()}
+    box = lambda w, s, e, n: [[[[w, s], [e, s], [e, n], [w, n], [w, s]]]]
+    schema = "id string, geometry array<array<array<array<double>>>>"
+    a = spark.createDataFrame([("a", box(0.0, 0.0, 10.0, 10.0)), ("b", box(20.0, 0.0, 30.0, 10.0)), ("c", box(50.0, 0.0, 60.0, 10.0))], schema)
+    b = spark.createDataFrame([("x", box(0.5, 0.0, 10.5, 10.0)), ("y", box(20.0, 0.0, 30.0, 5.0)), ("z", box(58.0, 0.0, 68.0, 10.0))], schema)
+    got = {(r.a_id, r.b_id): round(r.iou, 4) for r in walls.mutual_best(polygons.polygon_overlaps(a, b)).collect()}
     assert got == {("a", "x"): 0.9048, ("b", "y"): 0.5}
 
 
@@ -478,7 +480,7 @@ def test_pose_scores_equal_brute_force(spark):
                 want[i, k] = len(got & seen[i]) / len(got | seen[i])
     facades = spark.createDataFrame([(i, *w) for i, f in scenes.items() for w in f], "image_id string, building_id string, x1 double, y1 double, x2 double, y2 double, top_m double")
     observed = spark.createDataFrame([(i, r, c) for i, s in seen.items() for r, c in s], "image_id string, row int, col int")
-    scores = {(r.image_id, r.candidate): r.score for r in walls.pose_scores(observed, facades, candidates, width, height).collect()}
+    scores = {(r.image_id, r.candidate): r.score for r in walls.pose_scores(walls.cell_masks(observed), facades, candidates, width, height).collect()}
     assert scores == pytest.approx(want, abs=1e-12) and len(want) == 4 * 27
 
 
