@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetweave.functions.geo import crossing_fraction, local_metres, segment_distance
-from streetweave.operators.masks import islands
 from streetweave.operators.spatial import radius_join
 from streetweave.operators.sweep import BESIDE_M, FACING_M, MAX_SAMPLES, SAMPLE_M, SHARED_M, dealt, visible_facades, visible_samples
 
@@ -294,36 +293,3 @@ def pose_candidates(spark, offsets=(-4.0, 0.0, 4.0), turns=(-6.0, 0.0, 6.0)) ->
     """The fixed table of candidates; number 0 is the recorded pose."""
     grid = sorted(((x, y, t) for x in offsets for y in offsets for t in turns), key=lambda c: (c != (0.0, 0.0, 0.0), c))
     return spark.createDataFrame([(i, *c) for i, c in enumerate(grid)], "candidate int, dx double, dy double, turn_deg double")
-
-
-def clean_fallback(pixels: DataFrame, least: int, land) -> DataFrame:
-    """The pixels without building evidence in pieces smaller than ``least`` where no instance is; pieces are
-    connected runs of a row, so the graph is of runs and not of pixels."""
-    from streetweave.operators.masks import connected
-
-    free = pixels.where("instance = 0 AND label > 0 AND building").select("image_id", "row", "col")
-    runs = islands(free, ["image_id", "row"], "col").withColumn("id", F.concat_ws("/", "image_id", F.lpad(F.col("row").cast("string"), 6, "0"), F.lpad(F.col("start").cast("string"), 6, "0")))
-    runs = land(runs)
-    below = runs.select("image_id", (F.col("row") - 1).alias("row"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("id").alias("v"))
-    touching = runs.join(below, ["image_id", "row"]).where("start <= e2 AND s2 <= end").select(F.col("id").alias("u"), "v")
-    roots = connected(touching.union(runs.select(F.col("id").alias("u"), F.col("id").alias("v"))), land)
-    sized = runs.join(roots, runs["id"] == roots["node"])
-    small = sized.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") < least).select("root")
-    gone = sized.join(small, "root", "left_semi").select("image_id", "row", F.explode(F.sequence("start", "end")).alias("col")).withColumn("gone", F.lit(True))
-    return pixels.join(gone, ["image_id", "row", "col"], "left").withColumn("building", F.col("building") & F.col("gone").isNull()).drop("gone")
-
-
-def apply_mask_edits(pixels: DataFrame, edits: DataFrame, width: int) -> DataFrame:
-    """The pixels after reviewed edits of labels by column range. ``edits``: image_id, label, from_col, to_col
-    (clockwise), action (keep, remove, rename), to_label, top_row, bottom_row (lines the mask keeps to)."""
-    rows = pixels.join(edits.select("image_id", "label", "from_col", "to_col", "action", "to_label", "top_row", "bottom_row"), ["image_id", "label"], "left")
-    span = F.pmod(F.col("to_col") - F.col("from_col"), F.lit(width))
-    inside = (F.pmod(F.col("col") - F.col("from_col"), F.lit(width)) <= span) & F.col("row").between(F.coalesce("top_row", F.lit(-1)), F.coalesce("bottom_row", F.lit(1 << 30)))
-    label = (
-        F.when(F.col("action").isNull(), F.col("label"))
-        .when((F.col("action") == "keep") & ~inside, F.lit(0))
-        .when((F.col("action") == "remove") & inside, F.lit(0))
-        .when((F.col("action") == "rename") & inside, F.col("to_label"))
-        .otherwise(F.col("label"))
-    )
-    return rows.withColumn("label", label.cast("int")).drop("from_col", "to_col", "action", "to_label", "top_row", "bottom_row")

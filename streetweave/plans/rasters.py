@@ -241,26 +241,43 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G8", None)
 def g8(spark: SparkSession, d: str) -> DataFrame:
-    from streetweave.operators.walls import clean_fallback
+    """Pieces and holes of one pixel, by a share of the panorama."""
+    from streetweave.operators.mask_edits import clean_fallback
 
-    return clean_fallback(r.pixels(spark, d), 2, landing(spark, "pieces")).select("image_id", "row", "col", "building")
+    return clean_fallback(r.pixels(spark, d), 2 / (90 * 12) * 90 * 12, landing(spark, "pieces")).select("image_id", "row", "col", "building")
 
 
 @query(
     "G9",
-    """SELECT p.image_id, p."row", p.col, CASE WHEN p.label = 1 AND (p.col - 10 + 90) % 90 > 40 THEN 0 WHEN p.label = 2 AND (p.col - 80 + 90) % 90 <= 20 AND p."row" BETWEEN 2 AND 9 THEN 0
-      WHEN p.label = 3 AND (p.col - 0 + 90) % 90 <= 45 THEN 7 ELSE p.label END AS label FROM pixels p""",
+    """WITH h AS (SELECT image_id, max(label) AS top, max(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS one, max(CASE WHEN label = 2 THEN 1 ELSE 0 END) AS two, max(CASE WHEN label = 3 THEN 1 ELSE 0 END) AS three FROM pixels GROUP BY image_id),
+    g AS (SELECT image_id, y AS "row", x AS col, (x + 0.5) * 4 AS bearing, 90 - (y + 0.5) * 15 AS el, h.* EXCLUDE (image_id) FROM h, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(90)) AS x)),
+    a AS (SELECT g.*, p.image_id IS NOT NULL AS there, coalesce(label, 0) AS l0, coalesce(owner, 0) AS f0, coalesce(instance, 0) AS i FROM g LEFT JOIN pixels p USING (image_id, "row", col)),
+    k AS (SELECT *, one = 1 AND NOT ((bearing - 40 + 360) % 360 <= 164 AND el <= 60 AND el <= 50 - ((bearing - 40 + 360) % 360) / 4.0) AS drop1 FROM a),
+    b AS (SELECT *, CASE WHEN l0 = 1 AND drop1 THEN 0 ELSE l0 END AS l1, CASE WHEN f0 = 1 AND drop1 THEN 0 ELSE f0 END AS f1 FROM k),
+    c AS (SELECT *, CASE WHEN two = 0 THEN l1 WHEN (bearing - 350 + 360) % 360 <= 40 THEN CASE WHEN l1 > 0 OR i > 0 THEN 2 ELSE 0 END WHEN l1 = 2 THEN 0 ELSE l1 END AS l2 FROM b),
+    d AS (SELECT *, bearing BETWEEN 100 AND 112 AND el >= -30 + (bearing - 100) AND el <= 20 AS fill FROM c),
+    e AS (SELECT *, CASE WHEN fill THEN top + 1 WHEN l2 = top + 1 THEN 0 ELSE l2 END AS l3, CASE WHEN f1 = top + 1 AND NOT fill THEN 0 ELSE f1 END AS f3 FROM d),
+    f AS (SELECT *, CASE WHEN three = 1 AND l3 = 3 AND NOT (bearing <= 300 AND i > 0) THEN 0 ELSE l3 END AS l4, CASE WHEN three = 1 AND f3 = 3 AND NOT (bearing <= 300 AND i > 0) THEN 0 ELSE f3 END AS f4 FROM e)
+    SELECT image_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, CAST(l4 AS INTEGER) AS label, CAST(f4 AS INTEGER) AS facade FROM f WHERE there OR l4 > 0""",
     ("pixels",),
 )
 def g9(spark: SparkSession, d: str) -> DataFrame:
-    from streetweave.operators.walls import apply_mask_edits
-
-    p = r.pixels(spark, d)
-    kinds = spark.createDataFrame(
-        [(1, 10, 50, "keep", None, None, None), (2, 80, 10, "remove", None, 2, 9), (3, 0, 45, "rename", 7, None, None)], "label int, from_col int, to_col int, action string, to_label int, top_row int, bottom_row int"
-    )
-    edits = p.select("image_id", "label").distinct().join(F.broadcast(kinds), "label")
-    return apply_mask_edits(p, edits, 90).select("image_id", "row", "col", "label")
+    """Every image gets the same edits: keep below a traced roof, claim over north, fill as a new building between
+    two lines, rename, keep within instances by the new name, and one of a building that isn't there."""
+    from streetweave.operators.mask_edits import EDITS, edit_masks
+
+    p = r.pixels(spark, d).withColumn("facade", F.col("owner"))
+    records = p.where("label > 0").select("image_id", "label", F.concat(F.lit("b"), F.col("label").cast("string")).alias("building_id")).distinct()
+    kinds = [
+        (1, "b1", "keep", 40.0, 204.0, 60.0, [[204.0, 9.0], [40.0, 50.0]], None, None, None, None), (2, "b2", "claim", 350.0, 30.0, None, None, None, None, None, None),
+        (3, "b5", "fill", 100.0, 112.0, None, [[100.0, 20.0]], [[112.0, -18.0], [100.0, -30.0]], None, None, True), (4, "b3", "rename", None, None, None, None, None, None, "b30", None),
+        (5, "b30", "keep", 0.0, 300.0, None, None, None, True, None, None), (6, "b9", "remove", None, None, None, None, None, None, None, None),
+    ]
+    fixed = spark.createDataFrame(kinds, EDITS.split(", ", 1)[1])
+    images = p.select("image_id").distinct()
+    edits = images.withColumn("e", F.explode(F.array(*[F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) if not isinstance(v, list) else F.array(*[F.array(*map(F.lit, q)) for q in v]).alias(t.name) for v, t in zip(k, fixed.schema, strict=True)]) for k in kinds])))
+    edited, _ = edit_masks(p, records, edits.select("image_id", "e.*"), images.withColumn("heading_deg", F.lit(180.0)), 90, 12)
+    return edited.select("image_id", "row", "col", "label", "facade")
 
 
 @query("F4", """SELECT image_id, CAST(floor((((heading * 7 + 13) % 360 - heading) / 360.0 + 0.5 - floor(((heading * 7 + 13) % 360 - heading) / 360.0 + 0.5)) * 2048) AS BIGINT) AS col FROM captures""", ("captures",))

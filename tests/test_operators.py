@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streetweave.functions import fields, geo
-from streetweave.operators import captures, cards, corrections, fusion, logs, masks, polygons, ranks, scoring, spatial, views, walls
+from streetweave.operators import captures, cards, corrections, fusion, logs, mask_edits, masks, polygons, ranks, scoring, spatial, views, walls
 from streetweave.sources import documents, maps, sinks
 from streetweave.sources.landing import landing
 from streetweave.streaming import logs as streams
@@ -211,7 +211,7 @@ def test_connected_masks_and_small_pieces(spark):
     assert {(r.node, r.root) for r in masks.connected(edges, land).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "d")}
     cells = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (5, 5)]
     df = spark.createDataFrame([("i", r, c) for r, c in cells], "image_id string, row int, col int").select("*", F.lit(0).alias("instance"), F.lit(1).alias("label"), F.lit(True).alias("building"))
-    got = {(r["row"], r["col"]) for r in walls.clean_fallback(df, 3, land).where("NOT building").collect()}
+    got = {(r["row"], r["col"]) for r in mask_edits.clean_fallback(df, 3, land).where("NOT building").collect()}
     assert got == {(5, 5)}
 
 
