@@ -130,10 +130,23 @@ def visibility(bearings: DataFrame) -> DataFrame:
     )
 
 
-def visibility_index(cameras: DataFrame, footprints: DataFrame, reach_m: float) -> tuple[DataFrame, DataFrame]:
-    """(visibility rows, nearby pairs) of cameras with coordinates."""
-    pairs = near_footprints(cameras, footprints, reach_m)
-    return visibility(facade_bearings(visible_facades(wall_edges(cameras, footprints, pairs)))), pairs
+def visibility_index(cameras: DataFrame, footprints: DataFrame, reach_m: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(visibility rows, nearby, skipped) of cameras (image_id, lat, lon, and heading if known). ``nearby`` has
+    building_id, captures of every footprint within the radius of some camera, seen or not; ``skipped`` has
+    image_id, reason of cameras that can't be indexed: no_id, no_position, bad_position, bad_heading."""
+    heading = F.isnan("heading") | (F.abs("heading") == float("inf")) if "heading" in cameras.columns else F.lit(False)
+    reason = (
+        F.when(F.col("image_id").isNull() | (F.col("image_id") == ""), "no_id")
+        .when(F.col("lat").isNull() | F.col("lon").isNull(), "no_position")
+        .when(~(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)) | F.isnan("lat") | F.isnan("lon"), "bad_position")
+        .when(F.coalesce(heading, F.lit(False)), "bad_heading")
+    )
+    told = cameras.withColumn("reason", reason)
+    sound = told.where("reason IS NULL").drop("reason")
+    pairs = near_footprints(sound, footprints, reach_m)
+    seen = visibility(facade_bearings(visible_facades(wall_edges(sound, footprints, pairs))))
+    nearby = pairs.groupBy("building_id").agg(F.count("*").alias("captures"))
+    return seen, nearby, told.where("reason IS NOT NULL").select("image_id", "reason")
 
 
 def mutual_best(overlaps: DataFrame, least: float = 0.5) -> DataFrame:

@@ -188,8 +188,14 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A12", None)
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    seen, _ = walls.visibility_index(_cameras(spark, d), boxes(spark, d), 20.0)
-    return seen
+    """All three parts of the index in one table; some cameras lack a position or have one that is none."""
+    k = F.col("k")
+    cameras = r.captures(spark, d).select(
+        "image_id", "heading", F.when(k % 50 != 1, F.col("lat")).alias("lat"), F.when(k % 70 == 2, 400.0).otherwise(F.col("lon")).alias("lon")
+    )
+    seen, nearby, skipped = walls.visibility_index(cameras, boxes(spark, d), 20.0)
+    rows = seen.withColumn("part", F.lit("view")).unionByName(nearby.withColumn("part", F.lit("nearby")), allowMissingColumns=True)
+    return rows.unionByName(skipped.withColumn("part", F.lit("skipped")), allowMissingColumns=True)
 
 
 @query(

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
@@ -68,31 +72,53 @@ def geo_metadata(column: str) -> str:
     return json.dumps({"version": "1.0.0", "primary_column": column, "columns": {column: {"encoding": "WKB", "geometry_types": ["MultiPolygon"]}}})
 
 
+def _store(path: str, default: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, by its scheme or else that of the cluster's default file system."""
+    if "://" not in path and not path.startswith("file:"):
+        if default.startswith("file:"):
+            return fs.LocalFileSystem(), os.path.abspath(path)
+        path = default.rstrip("/") + path
+    return (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
 def write_geoparquet(df: DataFrame, geometry: str, path: str) -> None:
     """GeoParquet: the geometry as WKB, and its description in the footer of every part. Spark's writer can't
-    set footer keys, so the tasks write their parts themselves; a part gets its name when it is whole, and
-    a task that runs again replaces it. Overwrites parts of an earlier table at ``path``."""
+    set footer keys, so the tasks write their parts themselves, each attempt under a name of its own, and tell
+    the driver which. When all are done the driver removes what is there besides these: parts of an earlier
+    table at ``path``, and those of attempts that were lost or came second. A job that fails leaves the earlier
+    table's parts where they are. A path without a scheme is in the cluster's default file system; if that is a
+    local one, all executors have to share the folder."""
     rows = df.withColumn(geometry, multipolygon_wkb(F.col(geometry)))
-    described = geo_metadata(geometry)
+    described, run = geo_metadata(geometry), uuid.uuid4().hex[:12]
+    default = str(df.sparkSession._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, base = _store(path, default)
         store.create_dir(base, recursive=True)
-        draft, final = f"{base}/_part-{task.partitionId():05d}-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():05d}.parquet"
-        n, writer = 0, None
+        name, writer = f"part-{task.partitionId():05d}-{run}-{task.taskAttemptId()}.parquet", None
         for batch in batches:
             if writer is None:
                 schema = batch.schema.with_metadata({"geo": described})
-                writer = pq.ParquetWriter(draft, schema, filesystem=store)
+                # readers pass over names that begin with a line
+                writer = pq.ParquetWriter(f"{base}/_{name}", schema, filesystem=store)
             writer.write_table(pa.Table.from_batches([batch]).cast(schema))
-            n += batch.num_rows
         if writer is not None:
             writer.close()
-            store.move(draft, final)
-        yield pa.record_batch([pa.array([n], pa.int64())], names=["rows"])
-
-    rows.mapInArrow(part, "rows long").agg(F.sum("rows")).collect()
+            yield pa.record_batch([pa.array([name], pa.string())], names=["name"])
+
+    written = {r.name for r in rows.mapInArrow(part, "name string").collect()}  # a name for each part
+    store, base = _store(path, default)
+    store.create_dir(base, recursive=True)
+    for f in store.get_file_info(fs.FileSelector(base)):
+        ours = f.base_name.removeprefix("_") in written
+        if f.type == fs.FileType.File and not ours and re.match(r"_?part-", f.base_name):
+            store.delete_file(f.path)
+    for name in sorted(written):
+        store.move(f"{base}/_{name}", f"{base}/{name}")
+    if not written:  # a table without rows has a part all the same, which says what it would hold
+        schema = to_arrow_schema(rows.schema).with_metadata({"geo": described})
+        pq.write_table(schema.empty_table(), f"{base}/part-00000-{run}.parquet", filesystem=store)
 
 
 #: Rings of a correction and corners of a ring that ids leave room for.

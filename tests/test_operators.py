@@ -252,12 +252,14 @@ def test_visibility_index_of_a_camera(spark):
 
     rows = [house("near", 0.0, 16.0, 5.0), house("far", 0.0, 40.0, 5.0), house("side", 30.0, 0.0, 4.0), house("away", 400.0, 0.0, 4.0)]
     footprints = spark.createDataFrame(rows, "building_id string, lat double, lon double, geometry array<array<array<array<double>>>>")
-    cameras = spark.createDataFrame([("i", 39.0, 0.0), ("j", None, None)], "image_id string, lat double, lon double")
-    seen, pairs = walls.visibility_index(cameras, footprints, 20.0)
+    odd = [("j", None, None, 1.0), ("k", 39.0, 200.0, 1.0), ("l", 39.0, 0.0, float("nan")), (None, 39.0, 0.0, 1.0)]
+    cameras = spark.createDataFrame([("i", 39.0, 0.0, None), *odd], "image_id string, lat double, lon double, heading double")
+    seen, nearby, skipped = walls.visibility_index(cameras, footprints, 20.0)
     got = {(r.image_id, r.building_id): r for r in seen.collect()}
     assert set(got) == {("i", "near"), ("i", "side")}
     assert got["i", "near"].distance_m == pytest.approx(11.0, abs=0.1) and got["i", "near"].aov_deg == pytest.approx(2 * math.degrees(math.atan(5 / 11)), abs=0.5)
-    assert {(r.image_id, r.building_id) for r in pairs.collect()} == {("i", "near"), ("i", "far"), ("i", "side")}
+    assert {(r.building_id, r.captures) for r in nearby.collect()} == {("near", 1), ("far", 1), ("side", 1)}
+    assert {(r.image_id, r.reason) for r in skipped.collect()} == {("j", "no_position"), ("k", "bad_position"), ("l", "bad_heading"), (None, "no_id")}
 
 
 def test_attached_walls_are_no_facades(spark):
@@ -357,6 +359,20 @@ def test_sinks(spark, tmp_path):
     assert parts and all(json.loads(pq.read_schema(f).metadata[b"geo"])["primary_column"] == "geometry" for f in parts)
 
 
+def test_geoparquet_leaves_nothing_of_the_table_before(spark, tmp_path):
+    path = str(tmp_path / "gp")
+    shape = "array<array<array<array<double>>>>"
+    rows = lambda first, n: spark.createDataFrame([(f"way/{first + k}", [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]) for k in range(n)], f"building_id string, geometry {shape}")
+    sinks.write_geoparquet(rows(0, 80).repartition(8), "geometry", path)
+    assert spark.read.parquet(path).count() == 80
+    (tmp_path / "gp" / "_part-00003-lost-7.parquet").write_bytes(b"a draft of an attempt that was lost")
+    sinks.write_geoparquet(rows(500, 20).repartition(2), "geometry", "file:" + path)
+    assert {r.building_id for r in spark.read.parquet(path).collect()} == {f"way/{500 + k}" for k in range(20)}
+    assert len(list((tmp_path / "gp").glob("*.parquet"))) == 2
+    sinks.write_geoparquet(rows(0, 0), "geometry", path)
+    assert spark.read.parquet(path).columns == ["building_id", "geometry"] and spark.read.parquet(path).count() == 0
+
+
 def test_ranks_of_large_groups(spark):
     rng = random.Random(3)
     rows = [(rng.choice(("a", "a", "a", None, "b")), rng.randrange(40), k) for k in range(500)]
