@@ -7,11 +7,15 @@ could join two components is verified on the two whole sets, as 64-bit hashes of
 First each member of a bucket is held against the bucket's first; then, in buckets that still hold more
 than one component, members of different components are, inside tasks that get a bounded block of the
 bucket and give the links of a forest. So a large group of near copies costs little, and no pairs are
-emitted but links. A bucket of many texts that aren't similar costs comparisons with the square of its size.
+emitted but links. Inside a block a prefix filter leaves only sets that share one of their rarest hashes, so
+many texts of a bucket that aren't similar cost next to nothing.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,13 +88,45 @@ def banded(keyed: DataFrame, words_per_shingle: int, printed) -> DataFrame:
     return land(made.select("doc_id", "rid", "th", F.col("s")[0].alias("fp"), F.col("s")[1].alias("sh"), F.slice("s", 3, BANDS).alias("bands")), "shingle-bands")
 
 
+def similar_pairs(sets: list[np.ndarray], least: float, wanted: Callable[[int, int], bool] = lambda i, j: True) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of sets with a Jaccard similarity of ``least`` or more that are ``wanted`` when they come up.
+
+    Prefix filter: in one order of all hashes, the rarest first, sets that are so similar share one of the
+    first n - ceil(least * n) + 1 of their n hashes. So only sets that meet in a list of these are compared,
+    smaller ones first; sets that have nothing rare in common never are."""
+    sizes = np.array([len(x) for x in sets])
+    hashes, at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    rare = np.argsort(n, kind="stable")
+    rank = np.empty(len(hashes), np.int64)
+    rank[rare] = np.arange(len(hashes))
+    alone = int(np.searchsorted(n[rare], 2))  # a hash that no other set has can't be shared
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lists: dict[int, list[int]] = {}
+    for i in np.argsort(sizes, kind="stable").tolist():
+        size = int(sizes[i])
+        if not size:
+            continue
+        own = rank[at[ends[i] : ends[i + 1]]]
+        met: dict[int, None] = {}
+        last = size - math.ceil(least * size - 1e-9)
+        prefix = np.partition(own, last)[: last + 1]
+        for h in prefix[prefix >= alone].tolist():
+            if others := lists.get(h):
+                met.update(dict.fromkeys(others))
+            lists.setdefault(h, []).append(i)
+        for j in met:
+            if sizes[j] >= least * size - 1e-9 and wanted(i, j):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= least * (size + int(sizes[j]) - common):
+                    yield i, j
+
+
 def _forest(least: float):
     """Links within a block of a bucket that join its components, by comparing sets of different ones."""
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("sh")
         shs, roots = table["sh"].to_pylist(), table["root"].to_pylist()
-        sets = [np.asarray(x.values) for x in table["set"]]
         up = {r: r for r in roots}
 
         def top(r: int) -> int:
@@ -100,16 +136,10 @@ def _forest(least: float):
             return r
 
         us, vs = [], []
-        for i, x in enumerate(sets):
-            for j in range(i):
-                few, many = sorted((len(x), len(sets[j])))
-                if few < least * many or top(roots[i]) == top(roots[j]):
-                    continue
-                common = len(np.intersect1d(x, sets[j], assume_unique=True))
-                if common >= least * (few + many - common):
-                    up[top(roots[i])] = top(roots[j])
-                    us.append(shs[j])
-                    vs.append(shs[i])
+        for i, j in similar_pairs([x.values.to_numpy() for x in table["set"]], least, lambda i, j: top(roots[i]) != top(roots[j])):
+            up[top(roots[i])] = top(roots[j])
+            us.append(shs[j])
+            vs.append(shs[i])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return links
