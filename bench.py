@@ -13,7 +13,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = ("A1", "A2", "A5", "A6", "A13", "A21", "A27", "J2", "J3", "J10", "P17", "W1", "W2", "W4", "W6", "T4")
+HEADLINE = ("A1", "A2", "A5", "A6", "A13", "A21", "A27", "J2", "J3", "J9", "J10", "J13", "P17", "W1", "W2", "W4", "W6", "T4")
 
 
 def main() -> None:

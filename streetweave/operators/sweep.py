@@ -107,6 +107,20 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return walls, building, polygon
 
 
+def facing_walls(walls: DataFrame) -> DataFrame:
+    """The walls whose outer side faces the camera."""
+    return _chosen(walls, lambda edges, building, polygon: facing(edges, polygon))
+
+
+def unshared_walls(walls: DataFrame) -> DataFrame:
+    """The walls not nearly covered by a collinear wall of another footprint of the scene."""
+    return _chosen(walls, lambda edges, building, polygon: ~shared(edges, building))
+
+
+def _chosen(walls: DataFrame, which: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    return dealt(walls).groupBy("image_id").applyInArrow(lambda table: table.filter(pa.array(which(*_columns(table)))), walls.schema)
+
+
 def visible_facades(walls: DataFrame) -> DataFrame:
     """image_id, building_id, polygon_no, ring_no, edge_no, x1, y1, x2, y2, distance of the visible parts of
     facing, unshared walls. A scene, which is what lies around one camera, is a group."""

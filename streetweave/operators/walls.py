@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from streetweave.functions.geo import crossing_fraction, local_metres, segment_distance
 from streetweave.operators.spatial import radius_join
-from streetweave.operators.sweep import BESIDE_M, FACING_M, MAX_SAMPLES, SAMPLE_M, SHARED_M, dealt, visible_facades, visible_samples
+
+# Also names of this module: the operators on whole scenes.
+from streetweave.operators.sweep import MAX_SAMPLES, SAMPLE_M, dealt, facing_walls, unshared_walls, visible_facades, visible_samples
 
 # Fixed value: radius of a scene, in metres.
 SCENE_M = 140.0
@@ -66,46 +68,6 @@ def inside_footprint(points: DataFrame, footprints: DataFrame, reach_m: float) -
     return parity.where("inside").select("point_id", "building_id").distinct()
 
 
-_EDGE = ["image_id", "building_id", "polygon_no", "ring_no", "edge_no"]
-
-
-def facing_walls(walls: DataFrame) -> DataFrame:
-    """The walls whose outer side faces the camera at the origin: beside their middle, the camera's side is
-    outside their polygon and the other inside."""
-    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    length = F.hypot(mx, my)
-    middles = walls.where(length >= FACING_M).select(*_EDGE, mx.alias("mx"), my.alias("my"), length.alias("far"))
-
-    def parity(sign: float, name: str) -> DataFrame:
-        step = F.lit(sign * BESIDE_M) / F.col("far")
-        points = middles.select(*_EDGE, (F.col("mx") + F.col("mx") * step).alias("px"), (F.col("my") + F.col("my") * step).alias("py"))
-        own = walls.select("image_id", "building_id", "polygon_no", "x1", "y1", "x2", "y2")
-        rows = points.join(own, ["image_id", "building_id", "polygon_no"])
-        straddles = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-        at = F.col("x1") + (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-        return rows.groupBy(*_EDGE).agg((F.count_if(straddles & (F.col("px") < at)) % 2).alias(name))
-
-    both = parity(-1.0, "near").join(parity(1.0, "beyond"), _EDGE).where("near = 0 AND beyond = 1")
-    return walls.join(both.select(*_EDGE), _EDGE, "left_semi")
-
-
-def unshared_walls(walls: DataFrame) -> DataFrame:
-    """The walls not nearly covered by a collinear wall of another footprint of the scene."""
-    other = walls.select("image_id", F.col("building_id").alias("b2"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    n = F.hypot(dx, dy)
-
-    def off(x: Column, y: Column) -> Column:
-        return F.abs((x - F.col("x1")) * dy - (y - F.col("y1")) * dx) / F.greatest(n, F.lit(1e-9))
-
-    def along(x: Column, y: Column) -> Column:
-        return ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.greatest(n, F.lit(1e-9))
-
-    s, t = along(F.col("u1"), F.col("v1")), along(F.col("u2"), F.col("v2"))
-    covered = (off(F.col("u1"), F.col("v1")) <= SHARED_M) & (off(F.col("u2"), F.col("v2")) <= SHARED_M) & (F.least(s, t) <= SHARED_M) & (F.greatest(s, t) >= n - SHARED_M)
-    return walls.join(other, (walls["image_id"] == other["image_id"]) & (walls["building_id"] != other["b2"]) & covered, "left_anti")
-
-
 def wall_samples(walls: DataFrame) -> DataFrame:
     """The walls' columns with sample, fraction, sx, sy: points at the middles of equal parts."""
     n = F.greatest(F.lit(1), F.least(F.lit(MAX_SAMPLES), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / SAMPLE_M))).cast("int")
