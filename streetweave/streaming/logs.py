@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from streetweave.operators.logs import RATE_WINDOW
 from streetweave.operators.spatial import thin_captures
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Degrees of the grid cells in which kept captures lie.
 KEPT_CELL_DEG = 0.05
 
@@ -26,6 +28,20 @@ def stream_ledger_state(stream: DataFrame) -> DataFrame:
     return last.select("stage", "image", "e.status", "e.seq")
 
 
+class _Keyed(StatefulProcessor):
+    """State of one key, entry by entry: a batch reads and writes only the entries that it touches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def close(self) -> None:
+        pass
+
+
+def _by_entry(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
+
+
 def _stateful(stream: DataFrame, keys: list[str], schema: str, step: Callable[[tuple, dict, pd.DataFrame], tuple[dict, list[tuple]]]) -> DataFrame:
     """``step(key, state, rows)`` gives the new state (JSON) and the rows to emit."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -55,21 +71,37 @@ def stream_progress(completions: DataFrame) -> DataFrame:
     return _stateful(completions, ["stage"], "stage string, completed long, rate_per_minute double", step)
 
 
+class _Reviews(_Keyed):
+    """A map of attribute to what was said last, and the latest withdrawal, after which entries expire."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.said, self.since = handle.getMapState("said", "attribute string", "seq long, value string"), handle.getValueState("since", "seq long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        since = before = self.since.get()[0] if self.since.exists() else -1
+        new: dict[str, tuple[int, str]] = {}
+        for frame in rows:
+            for e in frame.itertuples():
+                if e.action == "withdraw":
+                    since = max(since, int(e.seq))
+                elif int(e.seq) > new.get(e.attribute, (-1,))[0]:
+                    new[e.attribute] = (int(e.seq), e.value)
+        for attribute, entry in new.items():
+            old = self.said.getValue((attribute,)) if self.said.containsKey((attribute,)) else None
+            if entry[0] > since and (old is None or entry[0] > old[0]):
+                self.said.updateValue((attribute,), entry)
+        if since > before:
+            self.since.update((since,))
+            for attribute in [a for (a,), (seq, _) in self.said.iterator() if seq <= since]:
+                self.said.removeKey((attribute,))
+        review = json.dumps({a: v for (a,), (_, v) in sorted(self.said.iterator())})
+        yield pd.DataFrame({"building_id": [key[0]], "review": [review]})
+
+
 def stream_reviews(events: DataFrame) -> DataFrame:
     """building_id, review (JSON of attribute to value) after each batch: a withdrawal removes what was said
     before it, and a partial review keeps the other attributes."""
-
-    def step(key: tuple, held: dict, rows: pd.DataFrame) -> tuple[dict, list[tuple]]:
-        since, said = held.get("since", -1), held.get("said", {})
-        for e in rows.itertuples():
-            if e.action == "withdraw":
-                since = max(since, int(e.seq))
-            elif int(e.seq) > said.get(e.attribute, [-1])[0]:
-                said[e.attribute] = [int(e.seq), e.value]
-        said = {a: v for a, v in said.items() if v[0] > since}
-        return {"since": since, "said": said}, [(key[0], json.dumps({a: v[1] for a, v in sorted(said.items())}))]
-
-    return _stateful(events, ["building_id"], "building_id string, review string", step)
+    return _by_entry(events, ["building_id"], _Reviews(), "building_id string, review string")
 
 
 def stream_ready_buildings(visits: DataFrame) -> DataFrame:
@@ -96,6 +128,8 @@ def run_available(stream: DataFrame, path: str, mode: str = "update") -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
 
+    # keyed state lives in RocksDB, on the executors' disks and in the checkpoint
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
     writer.start().awaitTermination()
 
