@@ -42,7 +42,7 @@ def test_first_largest_set_equals_brute_force(side):
 
 def test_twenty_points_of_a_crowd():
     points, near = field(20, 9.0, 9.0, 4)
-    best = max(sum(1 for _ in range(0)) for _ in range(1))
+    best = 0
     for mask in range(1 << 20):
         if mask.bit_count() > best and all(not mask >> j & 1 for i in range(20) if mask >> i & 1 for j in near[i]):
             best = mask.bit_count()
