@@ -407,7 +407,7 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "A20",
     """WITH v AS (SELECT building_id, w.image_id, w.dataset AS source, w.pixels // 400 AS n, w.coverage, lat, lon, CASE WHEN (w.pixels // 400) % 7 = 0 THEN (w.pixels // 400) % 3 END AS revision FROM views w LEFT JOIN captures c ON c.image_id = w.image_id),
-    f AS (SELECT a.building_id, max(a.lat + a.lon <> b.lat + b.lon AND 2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) >= 3) AS far
+    f AS (SELECT a.building_id, max(2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) >= 3) AS far
       FROM v a JOIN v b ON a.building_id = b.building_id GROUP BY a.building_id),
     g AS (SELECT building_id, count(*) AS views, count(DISTINCT n % 2) AS variants, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(revision) AS corrected, sum(n) AS samples, sum(CASE WHEN n % 3 = 2 THEN 1 ELSE 0 END) AS conflicts,
       count(lat) AS located FROM v GROUP BY building_id), s AS (SELECT count(*) FILTER (WHERE quality = 0) AS stale FROM labels)
