@@ -172,7 +172,9 @@ def _outcome(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
 @query("T1", "SELECT stage, image, arg_max(status, seq) AS status, max(seq) AS seq FROM ledger GROUP BY stage, image", ("ledger",))
 def t1(spark: SparkSession, d: str) -> DataFrame:
     rows = r.ledger(spark, d).select("stage", "image", "status", "seq")
-    return _outcome(streams.stream_ledger_state(_streamed(rows, "seq", "ledger-stream")), ["stage", "image"], "t1")
+    path = _path(spark, "t1-states")
+    streams.run_upsert(streams.stream_ledger_state(_streamed(rows, "seq", "ledger-stream")), path, ["stage", "image"], "seq")
+    return streams.current_states(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 @query(

@@ -6,15 +6,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from streetweave.operators.logs import RATE_WINDOW
 from streetweave.operators.spatial import thin_captures
+from streetweave.sources.landing import remove
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,17 +61,29 @@ def _stateful(stream: DataFrame, keys: list[str], schema: str, step: Callable[[t
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_progress(completions: DataFrame) -> DataFrame:
-    """stage, completed, rate_per_minute from the last completions, kept as a ring of that many.
-    ``completions``: stage, at_ms, seq of finished work."""
+class _Progress(_Keyed):
+    """The last completions as a list of bounded length, and how many there were."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent, self.n = handle.getListState("recent", "at_ms long, seq long"), handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        recent = [(int(at), int(seq)) for at, seq in self.recent.get()] if self.recent.exists() else []
+        n = self.n.get()[0] if self.n.exists() else 0
+        for frame in rows:
+            n += len(frame)
+            recent = sorted([*recent, *zip(frame["at_ms"].tolist(), frame["seq"].tolist(), strict=True)])[-RATE_WINDOW:]
+        self.recent.put(recent)
+        self.n.update((n,))
+        span = (recent[-1][0] - recent[0][0]) / 1000.0
+        rate = (len(recent) - 1) / span * 60 if len(recent) > 1 and span > 0 else None
+        yield pd.DataFrame({"stage": [key[0]], "completed": [n], "rate_per_minute": pd.Series([rate], dtype="float64")})
 
-    def step(key: tuple, held: dict, rows: pd.DataFrame) -> tuple[dict, list[tuple]]:
-        recent = sorted([*map(tuple, held.get("recent", [])), *zip(rows["at_ms"].tolist(), rows["seq"].tolist(), strict=True)])[-RATE_WINDOW:]
-        n, span = held.get("n", 0) + len(rows), (recent[-1][0] - recent[0][0]) / 1000.0
-        rate = (len(recent) - 1) / span if len(recent) > 1 and span > 0 else None
-        return {"recent": recent, "n": n}, [(key[0], n, None if rate is None else rate * 60)]
 
-    return _stateful(completions, ["stage"], "stage string, completed long, rate_per_minute double", step)
+def stream_progress(completions: DataFrame) -> DataFrame:
+    """stage, completed, rate_per_minute from the last completions, kept as a list of that many.
+    ``completions``: stage, at_ms, seq of finished work."""
+    return _by_entry(completions, ["stage"], _Progress(), "stage string, completed long, rate_per_minute double")
 
 
 class _Reviews(_Keyed):
@@ -140,6 +155,72 @@ def last_word(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+def _manifests(spark: SparkSession, path: str, before: int | None = None) -> list[tuple[int, dict[int, int]]]:
+    """The versions of a table of current states, oldest first: each its number, and which batch wrote each bucket."""
+    rows = spark.read.schema("bucket int, written int, batch int").parquet(f"{path}/manifest")
+    found: dict[int, dict[int, int]] = {}
+    for r in rows.where(F.lit(before is None) | (F.col("batch") < (before or 0))).collect():  # a row for each bucket and version
+        found.setdefault(r["batch"], {})[r["bucket"]] = r["written"]
+    return sorted(found.items())
+
+
+def _states(spark: SparkSession, path: str, schema: str, folders: dict[int, int]) -> DataFrame:
+    """The rows of some buckets, each as a given batch has written it."""
+    if not folders:
+        return spark.createDataFrame([], f"{schema}, bucket int")
+    by_batch: dict[int, list[int]] = {}
+    for bucket, written in folders.items():
+        by_batch.setdefault(written, []).append(bucket)
+    own = reduce(or_, [(F.col("batch") == k) & F.col("bucket").isin(v) for k, v in by_batch.items()])
+    return spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{path}/states").where(own).drop("batch")
+
+
+def upsert(path: str, keys: list[str], order: str, n_buckets: int = 32) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each batch to keep a table of the last row of each key, by ``order``, in the
+    shared folder under ``path``; of equal ones the greatest row is the last.
+
+    Keys are hashed to buckets, each with one row per key, so buckets are even. A batch writes the buckets it
+    touches anew, as folders with its number, and then a manifest of which folder is the bucket now; readers
+    go by the manifest. A batch that is run again reads the manifest before it and replaces its own folders.
+    Folders that the last manifest has replaced are removed in the batch after, so a reader that has begun
+    has a batch's time to end. ``path`` belongs to one checkpoint."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _manifests(spark, path, number) if number else []
+        live = known[-1][1] if known else {}
+        if len(known) > 1:
+            for bucket, written in known[-2][1].items():
+                if live[bucket] != written:
+                    remove(spark, f"{path}/states/batch={written:06d}/bucket={bucket}")
+            for old, _ in known[:-1]:
+                remove(spark, f"{path}/manifest/batch={old:06d}")
+        columns = batch.columns
+        new = batch.select("*", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int").alias("bucket"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most n_buckets
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema)
+        both = new.unionByName(_states(spark, path, schema, {b: live[b] for b in touched if b in live}))
+        last = both.groupBy("bucket", *keys).agg(F.max(F.struct(order, *[c for c in columns if c not in (order, *keys)])).alias("__last"))
+        last = last.select("bucket", *[c if c in keys else F.col(f"__last.{c}").alias(c) for c in columns])
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/states/batch={number:06d}")
+        listed = spark.createDataFrame(sorted((live | dict.fromkeys(touched, number)).items()), "bucket int, written int")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number:06d}")
+
+    return add
+
+
+def run_upsert(stream: DataFrame, path: str, keys: list[str], order: str, n_buckets: int = 32) -> None:
+    """Run a stream over what is there, into a table of current states (:func:`upsert`)."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(upsert(path, keys, order, n_buckets))
+    writer.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def current_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table of current states under ``path``, as its last manifest says."""
+    known = _manifests(spark, path)
+    return _states(spark, path, schema, known[-1][1] if known else {}).drop("bucket")
+
+
 def stream_thin(stream: DataFrame, spacing_m: float, path: str, land: Callable[[DataFrame], DataFrame]) -> None:
     """Keep captures of each batch that are far enough from those kept before and from one another; what is
     kept is appended under ``path``. Captures kept before count as the earliest.

@@ -3,6 +3,8 @@
 import json
 import math
 import random
+import uuid
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -506,3 +508,36 @@ def test_every_scene_is_scored(spark):
     folder = "/root/testdata/sf0.001"
     ids = lambda name: {r.image_id for r in QUERIES[name](spark, folder).select("image_id").distinct().collect()}
     assert ids("G7") == ids("G4")
+
+
+def test_current_states_survive_a_batch_that_runs_again(spark):
+    landing(spark, "t")
+    path, schema = f"{spark.conf.get('spark.checkpoint.dir')}/states-{uuid.uuid4().hex}", "stage string, image string, status string, seq long"
+    rng = random.Random(11)
+    log = [(rng.choice("ab"), str(rng.randrange(30)), rng.choice(("done", "failed", None)), n) for n in range(240)]
+    parts = [log[:100], log[180:], [], log[100:180]]  # the third is late: it must not undo what came before
+    add = streams.upsert(path, ["stage", "image"], "seq", n_buckets=5)
+    seen = []
+    for number, part in enumerate(parts):
+        seen += part
+        for _ in range(2):  # the driver is lost after the batch, which runs again
+            add(spark.createDataFrame(part, schema), number)
+        want = {}
+        for row in seen:
+            if row[3] > want.get(row[:2], (0, 0, 0, -1))[3]:
+                want[row[:2]] = row
+        assert sorted(map(tuple, streams.current_states(spark, path, schema).collect()), key=str) == sorted(want.values(), key=str)
+    # what the last but one manifest has replaced is gone
+    folders = [p for p in Path(path.removeprefix("file:"), "states").glob("batch=*/bucket=*")]
+    assert len(folders) <= 10
+
+
+def test_progress_of_a_stream_over_batches_without_a_span(spark, tmp_path):
+    schema, source = "stage string, at_ms long, seq long", tmp_path / "in"
+    rows = [("one", 5, 1)] + [("s", 1000 * n, n) for n in range(100)]
+    for part in (rows[:31], rows[31:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = streams.stream_progress(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)))
+    streams.run_available(stream, str(tmp_path / "out"))
+    got = streams.last_word(spark.read.parquet(str(tmp_path / "out")), ["stage"])
+    assert {r.stage: (r.completed, r.rate_per_minute) for r in got.collect()} == {"one": (1, None), "s": (100, 60.0)}
