@@ -8,8 +8,9 @@ against the words themselves.
 
 The windows of the benchmark are the broadcast side while their number is within ``BROADCAST_WINDOWS``;
 there the words of a document are at hand in the scan's task, by reference, for the verification.
-Beyond that number document windows are exchanged by their hashes, without words, and documents with
-candidates are read again to verify these. Both ways give the same hits.
+Beyond that number a bitmap of the benchmark's hashes, of a fixed size, is broadcast; document windows that
+it lets pass are exchanged by their hashes, without words, and documents with candidates are read again to
+verify these. Both ways give the same hits.
 
 Hits are collected per document, (doc_id, hash of the text), so repeated rows share one entry and get
 the same result. Null texts and texts without words are clean; items without words have no window; an
@@ -27,6 +28,9 @@ from streetweave.llm.shared import land
 
 #: Windows that are broadcast at most; one is its hash, item and words, some 200 bytes. More are joined by an exchange.
 BROADCAST_WINDOWS = 500_000
+#: The bitmap has 64 bits for each value of so many leading bits of a hash, so a million rows at most. A document
+#: window that isn't in the benchmark passes with a chance of the benchmark's windows over 67 million.
+FILTER_BITS = 20
 #: What separates words, once A-Z are lower-cased, and what does in the text as it is.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,6 +78,18 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.select("item_id", "size", "hash", F.slice("w", F.col("at") + 1, F.col("size")).alias("window")).distinct()
 
 
+def _in_bitmap(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``scanned`` whose bit of ``h`` is set by some ``hash`` of ``known``."""
+
+    def row(h: str) -> Column:
+        return F.shiftrightunsigned(h, 64 - FILTER_BITS)
+
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    bits = known.select(row("hash").alias("b"), bit.alias("x")).groupBy("b").agg(F.bit_or("x").alias("bits"))
+    met = scanned.join(F.broadcast(bits), row("h") == F.col("b"))
+    return met.where(F.getbit("bits", F.col("h").bitwiseAND(F.lit(63)).cast("int")) == 1).drop("b", "bits")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """d1, d2 (the document), spans (at, size: the windows found) and items, for documents with hits."""
     looked_for = land(benchmark_windows(benchmark, window), "benchmark-windows")
@@ -92,7 +108,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         met = scanned.join(F.broadcast(looked_for), F.col("h") == F.col("hash")).withColumn("at", at).where(verified)
     else:
         known = looked_for.select("hash", "size").distinct()
-        found = scanned.drop("w").join(known, F.col("h") == F.col("hash")).select("d1", "d2", at.alias("at"), "size", "hash")
+        found = _in_bitmap(scanned.drop("w"), known).join(known, F.col("h") == F.col("hash")).select("d1", "d2", at.alias("at"), "size", "hash")
         spots = found.groupBy("d1", "d2").agg(F.collect_set(F.struct("at", "size", "hash")).alias("spots"))
         own = docs.select(*[k.alias(f"o{i}") for i, k in enumerate(keys)], docs["text"])
         back = own.join(spots, own["o0"].eqNullSafe(spots["d1"]) & (own["o1"] == spots["d2"]))

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetweave.llm.shared import discard, land, land_bucketed, new_path, open_bucketed
+from streetweave.llm.shared import discard, land, land_bucketed, new_path, note, open_bucketed
 
 _WHITE = " \t\n\x0b\x0c\r"
 _HASH = ["h1", "h2"]
@@ -56,7 +56,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, folder: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.folder = folder or new_path(spark, "line-runs")
+        self.folder, self._scratch = folder or new_path(spark, "line-runs"), folder is None
         self.n_buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
         self.levels: list[list[DataFrame]] = []
         self._frequent: list[DataFrame] = []
@@ -83,7 +83,10 @@ class LineRuns:
     def _run(self, counts: DataFrame) -> DataFrame:
         if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.n_buckets:
             counts = counts.repartition(self.n_buckets, *_HASH)
-        return land_bucketed(counts, "lines", self.n_buckets, _HASH, sort=_HASH, compression="zstd", path=f"{self.folder}/run-{uuid.uuid4().hex}")
+        run = land_bucketed(counts, "lines", self.n_buckets, _HASH, sort=_HASH, compression="zstd", path=f"{self.folder}/run-{uuid.uuid4().hex}")
+        if self._scratch:
+            note(run)
+        return run
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         """The runs merged two by two, bucket by bucket."""

@@ -2,12 +2,20 @@
 
 A landed table cuts lineage: a lost executor costs a re-read, not a re-run. The folder is the
 one that the cluster names in ``spark.checkpoint.dir`` (:mod:`streetweave.sources.landing`).
+
+Results of operators read what they have landed, so that stays until someone removes it::
+
+    with scratch():
+        remove_repeated_bytes(docs).write.parquet(out)
+
+removes tables, their entries in the catalog and their files once the result is written.
 """
 
 from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +24,28 @@ from streetweave.sources.landing import remove, shared_dir
 #: While a table is landed: shuffle files go with their job, and Arrow batches hold so many rows at most.
 _LANDING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
+_NOTED: ContextVar[list[DataFrame] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def scratch():
+    """Within, what operators land is noted, and removed at the end, also after an error. Results of these
+    operators must have been written by then. Runs of lines in a folder of the caller's are not touched."""
+    noted: list[DataFrame] = []
+    before = _NOTED.set(noted)
+    try:
+        yield
+    finally:
+        _NOTED.reset(before)
+        for landed in noted:
+            discard(landed)
+
+
+def note(landed: DataFrame) -> None:
+    """Leave ``landed`` to the :func:`scratch` around, if there is one."""
+    if (noted := _NOTED.get()) is not None:
+        noted.append(landed)
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,6 +76,7 @@ def land(df: DataFrame, name: str, compression: str = "zstd", partition_by: list
         writer.parquet(path)
     landed = spark.read.schema(df.schema).parquet(path)
     landed._landed_at = path
+    note(landed)
     return landed
 
 
@@ -56,6 +87,7 @@ def land_bucketed(
     of ``n`` buckets, and return it as read back: grouping and joining it by ``keys`` needs no exchange."""
     spark = df.sparkSession
     keys = [keys] if isinstance(keys, str) else keys
+    own = path is None
     table, path = f"{name}_{uuid.uuid4().hex}".replace("-", "_"), path or new_path(spark, name)
     writer = df.write.bucketBy(n, *keys).option("path", path).option("compression", compression)
     if sort:
@@ -66,6 +98,8 @@ def land_bucketed(
         writer.saveAsTable(table)
     landed = spark.table(table)
     landed._landed_at, landed._landed_as = path, table
+    if own:
+        note(landed)
     return landed
 
 
@@ -83,5 +117,5 @@ def discard(landed: DataFrame, part: str = "") -> None:
     """Remove a landed table, or a part of a partitioned one, that nothing reads any more."""
     spark = landed.sparkSession
     if not part and (table := getattr(landed, "_landed_as", None)):
-        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     remove(spark, f"{landed._landed_at}/{part}".rstrip("/"))

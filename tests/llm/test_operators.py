@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -426,10 +427,44 @@ def test_decontamination_without_a_broadcast(spark, monkeypatch):
     plan = decontamination.hits(docs, bench(spark, items))._jdf.queryExecution().executedPlan().toString()
     # words are exchanged for documents that are read again because of a candidate, never with each window
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    sent = re.findall(r"Exchange hashpartitioning\(h#.*\n.*Generate posexplode\(.*?\), \[(.*?)\]", plan)
-    assert sent and not any(" w#" in columns for columns in sent)
+    sent = re.findall(r"Exchange hashpartitioning\(h#(.*?)Generate posexplode\(.*?\), \[(.*?)\]", plan, re.DOTALL)
+    # and a window is exchanged only if the bitmap lets it pass
+    assert sent and all("getbit" in between and " w#" not in columns for between, columns in sent)
 
 
+def test_the_bitmap_lets_all_windows_of_the_benchmark_pass(spark):
+    known = spark.range(2000).select(F.xxhash64("id").alias("hash"))
+    scanned = spark.range(100_000).select("id", F.xxhash64("id").alias("h"))
+    extremes = spark.createDataFrame([(-1, -1), (-2, 0), (-3, -(1 << 63)), (-4, (1 << 63) - 1)], "id long, h long")
+    known, scanned = known.union(extremes.select("h")), scanned.union(extremes)
+    passed = [r.id for r in decontamination._in_bitmap(scanned, known).select("id").collect()]
+    assert len(passed) == len(set(passed)) < 2100 and set(passed) >= {*range(2000), -1, -2, -3, -4}
+
+
+def test_nothing_that_was_landed_is_left_behind(spark):
+    docs = table(spark)
+    base = Path(shared.new_path(spark, "x").removeprefix("file:")).parent
+
+    def left() -> tuple[set, set]:
+        return {t.name for t in spark.catalog.listTables()}, {p.name for p in base.iterdir()}
+
+    kept = line_dedup.LineRuns(spark, 2, folder=f"{shared.new_path(spark, 'own-runs')}")
+    before = left()
+    out = {}
+    with shared.scratch():
+        kept.add(line_dedup.line_hashes(docs))
+        for name, make in (("bytes", suffix_dedup.remove_repeated_bytes), ("words", recompression_dedup.remove_repeated_passages), ("lines", line_dedup.line_digest)):
+            out[name] = len(make(docs).collect())
+    tables, folders = (now - then for now, then in zip(left(), before, strict=True))
+    assert set(out.values()) == {docs.count()} and len(tables) == 1  # the runs of the caller
+    # small manifests of runs that are gone, and the caller's folder
+    assert all(f.startswith(("line-runs-", "own-runs-")) for f in folders)
+    assert kept.frequent().count() > 0
+    with pytest.raises(ZeroDivisionError), shared.scratch():
+        shared.land(docs, "lost")
+        1 / 0
+    assert not [f for f in left()[1] if f.startswith("lost-")]
+
 
 # urls
 
