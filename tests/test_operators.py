@@ -169,6 +169,14 @@ def test_radius_join_equals_all_pairs(spark, lat0):
     assert got == {(a[0], b[0]) for a in points for b in points if haversine(a[1:], b[1:]) <= 45.0}
 
 
+def test_radius_joins_are_not_broadcast(spark):
+    rows = [(str(i), 39.0 + i * 1e-5, 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "image_id string, lat double, lon double")
+    best = spatial.nearest_capture(df.withColumnRenamed("image_id", "point_id"), df, 30.0)
+    assert {(r.point_id, r.image_id) for r in best.collect()} == {(i, i) for i, _, _ in rows}
+    assert "Broadcast" not in best._jdf.queryExecution().toString()
+
+
 def test_thinning_equals_the_sequential_rule(spark):
     rng = random.Random(3)
     points = [(f"{i:03d}", rng.choice([None, rng.randrange(50)]), 39.0 + rng.uniform(0, 0.004), rng.uniform(0, 0.004)) for i in range(400)]
