@@ -7,11 +7,12 @@ import uuid
 from pathlib import Path
 
 import pyarrow.parquet as pq
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streetweave.functions import fields, geo
-from streetweave.operators import captures, cards, corrections, fusion, logs, mask_edits, masks, polygons, ranks, scoring, spatial, views, walls
+from streetweave.operators import captures, cards, corrections, fusion, logs, mask_edits, masks, polygons, ranks, scoring, spatial, sweep, views, walls
 from streetweave.sources import documents, maps, sinks
 from streetweave.sources.landing import landing
 from streetweave.streaming import logs as streams
@@ -549,3 +550,42 @@ def test_progress_of_a_stream_over_batches_without_a_span(spark, tmp_path):
     streams.run_available(stream, str(tmp_path / "out"))
     got = streams.last_word(spark.read.parquet(str(tmp_path / "out")), ["stage"])
     assert {r.stage: (r.completed, r.rate_per_minute) for r in got.collect()} == {"one": (1, None), "s": (100, 60.0)}
+
+
+def _streets(spark, n, seed=4):
+    """Scenes of up to seven squares beside a street, some of them touching."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        for b in range(rng.randrange(1, 8)):
+            x, y, h = b * 14.0 - 40.0, rng.choice([12.0, -15.0]) + rng.randrange(5), rng.choice([5.0, 7.0])
+            rows.append((f"{i:05d}", str(b), [[[[x - h, y - h], [x + h, y - h], [x + h, y + h], [x - h, y + h], [x - h, y - h]]]]))
+    df = spark.createDataFrame(rows, "image_id string, building_id string, geometry array<array<array<array<double>>>>")
+    return walls.edges(df, ["image_id", "building_id"])
+
+
+def test_scenes_of_a_batch_equal_scenes_alone(spark):
+    """Thousands of scenes in batches of any size see what each of them sees alone."""
+    scenes = _streets(spark, 300).cache()
+    wanted: dict[str, set] = {"facing": set(), "unshared": set(), "clear": set()}
+    for _, rows in scenes.toPandas().groupby("image_id"):
+        edges = rows[["x1", "y1", "x2", "y2"]].to_numpy()
+        names = list(zip(rows.image_id, rows.building_id, rows.edge_no, strict=True))
+        building = rows.building_id.astype(int).to_numpy()
+        wanted["facing"] |= {k for k, yes in zip(names, sweep.facing(edges, building), strict=True) if yes}
+        wanted["unshared"] |= {k for k, no in zip(names, sweep.shared(edges, building), strict=True) if not no}
+        for k, e in zip(names, edges, strict=True):
+            n = int(min(64, max(1, math.ceil(math.hypot(e[2] - e[0], e[3] - e[1]) / 1.5))))
+            at = ((np.arange(n) + 0.5) / n)[:, None]
+            wanted["clear"].add((*k, int(sweep.clear(e[:2] + (e[2:] - e[:2]) * at, edges).sum())))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set(name, size)
+            for kind, got in (("facing", walls.facing_walls(scenes)), ("unshared", walls.unshared_walls(scenes))):
+                assert {(r.image_id, r.building_id, r.edge_no) for r in got.collect()} == wanted[kind]
+            assert {(r.image_id, r.building_id, r.edge_no, r.clear) for r in walls.clear_counts(scenes).collect()} == wanted["clear"]
+    finally:
+        spark.conf.set(name, before)
+    assert "FlatMapGroups" not in walls.visible_facades(scenes)._jdf.queryExecution().toString()
