@@ -60,7 +60,8 @@ def meeting_boxes(a: DataFrame, b: DataFrame, keep_a: list[str], keep_b: list[st
     def side(boxes: DataFrame, p: str, keep: list[str]) -> DataFrame:
         return _in_cells(boxes, levels).select("level", "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys([*keep, *SIDES, "own"])])
 
-    met = side(a, "a", keep_a).join(side(b, "b", keep_b), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("a_own", "b_own"))
+    # a guess of sizes knows neither shapes nor repeated rows, so neither side may be broadcast for it
+    met = side(a, "a", keep_a).join(side(b, "b", keep_b).hint("merge"), ["level", "cx", "cy"]).where(F.col("level") == F.greatest("a_own", "b_own"))
     west, south = F.greatest("a_west", "b_west"), F.greatest("a_south", "b_south")
     met = met.where((west <= F.least("a_east", "b_east")) & (south <= F.least("a_north", "b_north")))
     met = met.where((F.col("cx") == _cell(west, F.col("level"))) & (F.col("cy") == _cell(south, F.col("level"))))

@@ -139,6 +139,11 @@ def test_boxes_of_any_size_meet_as_by_brute_force(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_meeting_boxes_are_not_broadcast(spark):
+    a, b = (spark.createDataFrame(random_boxes(20, k), BOX) for k in (3, 4))
+    assert "Broadcast" not in boxes.meeting_boxes(a, b, ["id"], ["id"])._jdf.queryExecution().toString()
+
+
 def test_points_in_boxes_without_a_broadcast(spark):
     rng = random.Random(3)
     points = [(k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(400)] + [(400, 1.0, 1.0), (401, None, 1.0), (402, 2.0, 2.0)]
