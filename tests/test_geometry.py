@@ -223,3 +223,17 @@ def test_corrections(spark):
     feet = spark.createDataFrame([(k, base) for k in cases if k != "unknown"], f"building_id string, geometry {SHAPE}")
     got = {r.osm_id: r.issues for r in polygons.validate_corrections(proposals, feet).collect()}
     assert got == {k: want for k, (_, _, want) in cases.items() if want}
+
+
+def test_few_edges_equal_many(monkeypatch):
+    """Loops over a few edges say what arrays say, and long work on few bytes is dealt to all tasks."""
+    rng = random.Random(8)
+    shapes = [[[star(rng, rng.randrange(3, 9), rng.uniform(-1, 1), rng.uniform(-1, 1))]] for _ in range(60)]
+    for _ in range(300):
+        ring = [[float(rng.randrange(4)), float(rng.randrange(4))] for _ in range(rng.randrange(3, 7))]
+        shapes.append([[[*ring, ring[0]]]] if rng.random() < 0.7 else [[[*ring, ring[0]], square(1.0, 1.0, rng.choice([0.5, 4.0]))]])
+    few = [polygons.shape_issue(s) for s in shapes], [polygons.shared_area(s, t) for s, t in zip(shapes, shapes[1:], strict=False)]
+    monkeypatch.setattr(polygons, "FEW", 0)
+    many = [polygons.shape_issue(s) for s in shapes], [polygons.shared_area(s, t) for s, t in zip(shapes, shapes[1:], strict=False)]
+    assert few[0] == many[0] and len(set(few[0])) >= 4
+    assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(few[1], many[1], strict=True))
