@@ -589,3 +589,10 @@ def test_scenes_of_a_batch_equal_scenes_alone(spark):
     finally:
         spark.conf.set(name, before)
     assert "FlatMapGroups" not in walls.visible_facades(scenes)._jdf.queryExecution().toString()
+
+
+def test_a_rig_whose_spread_is_the_limit_is_accepted(spark):
+    rows = [(str(n), x, 0.0, 0.0, 0.0, 0.0, 0.0) for n in range(1, 40) for x in (n / 100, n / 100, n / 100 + 0.2)]
+    df = spark.createDataFrame(rows, "rig string, x double, y double, z double, x0 double, y0 double, z0 double")
+    poses = walls.rig_poses(df, max_spread=0.2).collect()
+    assert any(r.spread > 0.2 for r in poses) and all(r.accepted for r in poses)
