@@ -198,10 +198,10 @@ def t4_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("T3_stream", r.ORACLES["T3"])
 def t3_stream(spark: SparkSession, d: str) -> DataFrame:
     expected = r.table(spark, d, "lineitem").select(F.concat(F.lit("way/"), F.col("l_partkey").cast("string")).alias("building_id"), (F.col("l_suppkey") % 300).cast("string").alias("image_id")).distinct()
-    counts = expected.groupBy("building_id").agg(F.count("*").alias("expected"))
-    wanted = landing(spark, "expected")(expected.join(counts, "building_id"))
     log = _streamed(r.ledger(spark, d).where("stage = 'view'").select(F.col("image").alias("image_id"), "status", "seq"), "seq", "visit-stream")
-    return _outcome(streams.stream_ready_buildings(log.join(wanted, "image_id")), ["building_id"], "t3").select("building_id", "done")
+    path = _path(spark, "t3-out")
+    streams.run_ready_buildings(log, landing(spark, "expected")(expected), path)
+    return streams.last_word(spark.read.parquet(path), ["building_id"]).where("done > 0").select("building_id", "done")
 
 
 @query("T6", None)

@@ -3,7 +3,6 @@ key equals what the batch operator says of the whole log."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -13,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from streetweave.operators.logs import RATE_WINDOW
 from streetweave.operators.spatial import thin_captures
@@ -45,22 +43,6 @@ def _by_entry(stream: DataFrame, keys: list[str], processor: StatefulProcessor,
     return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
 
 
-def _stateful(stream: DataFrame, keys: list[str], schema: str, step: Callable[[tuple, dict, pd.DataFrame], tuple[dict, list[tuple]]]) -> DataFrame:
-    """``step(key, state, rows)`` gives the new state (JSON) and the rows to emit."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        out: list[tuple] = []
-        for frame in frames:
-            held, rows = step(key, held, frame)
-            out = rows or out
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "held string", "update", GroupStateTimeout.NoTimeout)
-
-
 class _Progress(_Keyed):
     """The last completions as a list of bounded length, and how many there were."""
 
@@ -119,24 +101,6 @@ def stream_reviews(events: DataFrame) -> DataFrame:
     return _by_entry(events, ["building_id"], _Reviews(), "building_id string, review string")
 
 
-def stream_ready_buildings(visits: DataFrame) -> DataFrame:
-    """building_id, done, done_set whenever all expected captures of a building are visited, one is done, and
-    the done ones have changed. ``visits``: building_id, expected, image_id, status, seq (the log joined
-    with the expected views)."""
-
-    def step(key: tuple, held: dict, rows: pd.DataFrame) -> tuple[dict, list[tuple]]:
-        seen = held.get("seen", {})
-        for e in rows.itertuples():
-            if int(e.seq) > seen.get(e.image_id, [-1])[0]:
-                seen[e.image_id] = [int(e.seq), e.status]
-        done = sorted(i for i, (_, s) in seen.items() if s == "done")
-        mark = hashlib.sha256(",".join(done).encode()).hexdigest()
-        ready = len(seen) == int(rows["expected"].iloc[0]) and done and mark != held.get("mark")
-        return {"seen": seen, "mark": mark if ready else held.get("mark")}, [(key[0], len(done), mark)] if ready else []
-
-    return _stateful(visits, ["building_id"], "building_id string, done long, done_set string", step)
-
-
 def run_available(stream: DataFrame, path: str, mode: str = "update") -> None:
     """Run a stream over what is there; each batch's rows are written under ``path`` with its number."""
 
@@ -221,6 +185,41 @@ def current_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _states(spark, path, schema, known[-1][1] if known else {}).drop("bucket")
 
 
+def run_ready_buildings(log: DataFrame, expected: DataFrame, path: str) -> None:
+    """Run a stream of visits over what is there; each batch writes, under ``path`` with its number, building_id,
+    done, done_set of the buildings all of whose expected captures are visited, with one done, if the done ones
+    have changed; done is nought, and done_set null, where no capture is done any more. ``log``: image_id,
+    status, seq; ``expected``: building_id, image_id, no pair twice.
+
+    State is what was said last of each capture (:func:`upsert`, under ``path``-images), so an entry is not
+    repeated for the buildings that expect its capture. A batch goes once through the expected views with the
+    captures as they were before it and as they are now, however many entries it has."""
+    spark, schema = log.sparkSession, "image_id string, status string, seq bigint"
+    images = f"{path}-images"
+    keep = upsert(images, ["image_id"], "seq")
+
+    def states(before: int) -> DataFrame:
+        known = _manifests(spark, images, before) if before else []
+        return _states(spark, images, schema, known[-1][1] if known else {}).select("image_id", "status")
+
+    def add(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("image_id").agg(F.max(F.struct("seq", "status")).alias("e"))
+        keep(last.select("image_id", "e.status", "e.seq"), number)
+        then, now = states(number).withColumnRenamed("status", "was"), states(number + 1).withColumnRenamed("status", "is")
+        seen = now.join(then, "image_id", "left")
+        was, done = F.coalesce(F.col("was") == "done", F.lit(False)), F.coalesce(F.col("is") == "done", F.lit(False))
+        sums = expected.join(seen, "image_id", "left").groupBy("building_id").agg(
+            F.count("*").alias("n"), F.count("is").alias("visited"), F.count("was").alias("visited_before"), F.count_if(done).alias("done"),
+            F.count_if(was).alias("done_before"), F.count_if(was != done).alias("changed"), F.array_sort(F.collect_set(F.when(done, F.col("image_id")))).alias("ids"),
+        )
+        before = (F.col("visited_before") == F.col("n")) & (F.col("done_before") > 0)
+        told = sums.where((F.col("visited") == F.col("n")) & F.when(before, F.col("changed") > 0).otherwise(F.col("done") > 0))
+        mark = F.when(F.col("done") > 0, F.sha2(F.concat_ws(",", "ids"), 256))
+        told.select("building_id", "done", mark.alias("done_set")).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
+
+    log.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_thin(stream: DataFrame, spacing_m: float, path: str, land: Callable[[DataFrame], DataFrame]) -> None:
     """Keep captures of each batch that are far enough from those kept before and from one another; what is
     kept is appended under ``path``. Captures kept before count as the earliest.

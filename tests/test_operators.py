@@ -596,3 +596,22 @@ def test_a_rig_whose_spread_is_the_limit_is_accepted(spark):
     df = spark.createDataFrame(rows, "rig string, x double, y double, z double, x0 double, y0 double, z0 double")
     poses = walls.rig_poses(df, max_spread=0.2).collect()
     assert any(r.spread > 0.2 for r in poses) and all(r.accepted for r in poses)
+
+
+def test_readiness_stream_says_after_each_batch_what_the_log_says(spark, tmp_path):
+    """Also where the last capture that was done fails later, and where nothing has changed."""
+    landing(spark, "r")
+    out = f"{spark.conf.get('spark.checkpoint.dir')}/readiness-{uuid.uuid4().hex}"
+    schema, source = "image_id string, status string, seq long", tmp_path / "in"
+    expected = spark.createDataFrame([("b", "1"), ("b", "2"), ("c", "2"), ("d", "9")], "building_id string, image_id string")
+    parts = [[("1", "done", 1), ("1", "failed", 0)], [("2", "failed", 2), ("1", "done", 3)], [("1", "done", 4)], [("1", "failed", 5), ("2", "done", 6)], [("2", "skipped", 8), ("2", "done", 7)]]
+    seen: list[tuple] = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        seen += part
+        streams.run_ready_buildings(spark.readStream.schema(schema).parquet(str(source)), expected, out)
+        last = {r.building_id: (r.done, r.done_set) for r in streams.last_word(spark.read.parquet(out), ["building_id"]).where("done > 0").collect()}
+        latest = logs.latest_by_key(spark.createDataFrame(seen, schema).withColumnRenamed("image_id", "image"), ["image"], "seq")
+        assert last == {r.building_id: (r.done, r.done_set) for r in logs.ready_buildings(expected, latest).collect()}
+    told = sorted((r.batch, r.building_id, r.done) for r in spark.read.parquet(out).collect())
+    assert told == [(1, "b", 1), (3, "b", 1), (3, "c", 1), (4, "b", 0), (4, "c", 0)]
