@@ -209,6 +209,24 @@ def test_absorb_runs_gives_slivers_to_the_wider_neighbour(spark):
     assert got == [(0, 12, 1), (12, 6, 3)]
 
 
+def test_groups_of_a_batch_absorb_their_runs_each_alone(spark):
+    """Also a single run, and groups that are wide enough; and no group is a Python call of its own."""
+    rng, rows, want = random.Random(3), [], set()
+    for g in range(60):
+        lengths = [5 + g % 3] if g < 5 else [rng.randrange(1, 7) + (6 if g < 10 else 0) for _ in range(rng.randrange(2, 12))]
+        runs = [[sum(lengths[:k]), n, k % 4] for k, n in enumerate(lengths)]
+        rows += [(str(g), *r) for r in runs]
+        while len(runs) > 1 and min(r[1] for r in runs) < 4:
+            k = min(range(len(runs)), key=lambda i: runs[i][1])
+            into = runs[max([i for i in (k - 1, k + 1) if 0 <= i < len(runs)], key=lambda i: runs[i][1])]
+            into[0], into[1] = min(into[0], runs[k][0]), into[1] + runs[k][1]
+            del runs[k]
+        want |= {(str(g), *r) for r in runs}
+    got = masks.absorb_runs(spark.createDataFrame(rows, "g string, start int, n int, value int"), ["g"], 4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_labels_are_carried_up_without_gaps(spark):
     rows = [("i", 5, 0, 7, True), ("i", 4, 0, 0, True), ("i", 3, 0, 0, True), ("i", 2, 0, 0, False), ("i", 1, 0, 0, True)]
     df = spark.createDataFrame(rows, "image_id string, row int, col int, label int, building boolean").withColumn("owner", F.lit(0))
