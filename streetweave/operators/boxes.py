@@ -1,5 +1,6 @@
 """Boxes in a grid of many levels. A box lies at the level whose cells are just as wide as it is, so it touches
-four cells there at most, whatever its size; joins are equi-joins on (level, cell), and nothing is broadcast.
+four cells there at most, whatever its size; joins are equi-joins on (level, cell). Only a counted, bounded number of boxes is
+broadcast, to points.
 
 A box has west, south, east and north, edges belong to it. Boxes with a null, or turned inside out, meet nothing."""
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: Levels by binary exponent; boxes without a size lie at the finest.
 FINEST, COARSEST = -40, 60
 SIDES = ("west", "south", "east", "north")
+#: Boxes that are sent to the points, in four rows at most each.
+FEW = 20_000
 
 
 def _level(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -40,14 +43,16 @@ def _in_cells(boxes: DataFrame, levels: list[int] | None = None) -> DataFrame:
     return rows.withColumn("cy", F.explode(F.sequence(_cell(F.col("south"), F.col("level")), _cell(F.col("north"), F.col("level")))))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, keep: list[str], x: str = "lon", y: str = "lat") -> DataFrame:
-    """The points with the columns ``keep`` of each box they lie in: a point probes one cell for each level."""
-    levels = levels_of(boxes)
-    if not levels:
-        levels = [0]
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keep: list[str], x: str = "lon", y: str = "lat", few: int = FEW) -> DataFrame:
+    """The points with the columns ``keep`` of each box they lie in: a point probes one cell for each level.
+    Boxes that are counted to be no more than ``few`` go to the points, so a box that holds most points makes no
+    busy task; more of them meet by a join that sorts."""
+    found = {r.own: r.n for r in _whole(boxes).groupBy("own").agg(F.count("*").alias("n")).collect()}  # a row for each level
+    levels = sorted(found) or [0]
     probes = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     probes = probes.withColumn("cx", _cell(F.col(x), F.col("level"))).withColumn("cy", _cell(F.col(y), F.col("level")))
     held = _in_cells(boxes).select("level", "cx", "cy", *SIDES, *[c for c in keep if c not in SIDES])
+    held = F.broadcast(held) if sum(found.values()) <= few else held.hint("merge")
     met = probes.join(held, ["level", "cx", "cy"]).where(F.col(x).between(F.col("west"), F.col("east")) & F.col(y).between(F.col("south"), F.col("north")))
     return met.drop("level", "cx", "cy", *[c for c in SIDES if c not in keep])
 

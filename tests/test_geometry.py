@@ -237,3 +237,15 @@ def test_few_edges_equal_many(monkeypatch):
     many = [polygons.shape_issue(s) for s in shapes], [polygons.shared_area(s, t) for s, t in zip(shapes, shapes[1:], strict=False)]
     assert few[0] == many[0] and len(set(few[0])) >= 4
     assert all(a == pytest.approx(b, abs=1e-9) for a, b in zip(few[1], many[1], strict=True))
+
+
+def test_few_boxes_go_to_the_points_and_regions_are_chosen_after_the_exchange(spark):
+    rng = random.Random(8)
+    p = spark.createDataFrame([(k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(300)], "point_id long, lon double, lat double")
+    q = spark.createDataFrame(random_boxes(60, 9), BOX)
+    few, many = (boxes.points_in_boxes(p, q, ["id"], few=n) for n in (1000, 1))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 0
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in plan(few) and "strategy=merge" in plan(many)
+    chosen = spatial.smallest_region(p, q.withColumnRenamed("id", "region"))._jdf.queryExecution().executedPlan().toString()
+    assert chosen.count("Exchange hashpartitioning(point_id") == 1 and "partial_" not in chosen[chosen.index("Exchange hashpartitioning(point_id") :]
