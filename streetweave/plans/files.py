@@ -92,13 +92,19 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("building_id", F.length("geometry").alias("bytes"))
 
 
+def accepted_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """osm_id, number, geometry of footprints whose active correction is of their version."""
+    active = corrections.active_revision(corrections.fold_revisions(r.revisions(spark, d)))
+    own = r.footprints(spark, d).select("building_id", "osm_version").join(active.hint("merge"), (F.col("osm_id") == F.col("building_id")) & (F.col("base_version") == F.col("osm_version")))
+    # sizes guessed from small files would send whole tables, with their shapes, through the driver
+    rows = boxes(spark, d).join(own.select("building_id").hint("merge"), "building_id")
+    return rows.select(F.col("building_id").alias("osm_id"), F.col("k").alias("number"), "geometry")
+
+
 @query("S13", "SELECT count(*) * 4 AS nodes, count(*) AS ways FROM footprints f JOIN active a ON a.osm_id = f.building_id AND a.base_version = f.osm_version", ("footprints", "active"))
 def s13(spark: SparkSession, d: str) -> DataFrame:
-    active = corrections.active_revision(corrections.fold_revisions(r.revisions(spark, d)))
-    own = r.footprints(spark, d).select("building_id", "osm_version").join(active, (F.col("osm_id") == F.col("building_id")) & (F.col("base_version") == F.col("osm_version")))
     path = _path(spark, "osm")
-    rows = boxes(spark, d).join(own.select("building_id"), "building_id").select(F.col("building_id").alias("osm_id"), F.col("k").alias("number"), "geometry")
-    sinks.write_corrections_xml(rows, path)
+    sinks.write_corrections_xml(accepted_outlines(spark, d), path)
     nodes = spark.read.format("xml").option("rowTag", "node").schema("_id bigint").load(f"{path}/nodes")
     ways = spark.read.format("xml").option("rowTag", "way").schema("_id bigint").load(f"{path}/ways")
     return nodes.select(F.lit(1).alias("n"), F.lit(0).alias("w")).union(ways.select(F.lit(0), F.lit(1))).agg(F.sum("n").alias("nodes"), F.sum("w").alias("ways"))

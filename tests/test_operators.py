@@ -633,3 +633,10 @@ def test_readiness_stream_says_after_each_batch_what_the_log_says(spark, tmp_pat
         assert last == {r.building_id: (r.done, r.done_set) for r in logs.ready_buildings(expected, latest).collect()}
     told = sorted((r.batch, r.building_id, r.done) for r in spark.read.parquet(out).collect())
     assert told == [(1, "b", 1), (3, "b", 1), (3, "c", 1), (4, "b", 0), (4, "c", 0)]
+
+
+def test_accepted_outlines_are_not_broadcast(spark):
+    from streetweave.plans.files import accepted_outlines
+
+    plan = accepted_outlines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
