@@ -17,6 +17,10 @@ from streetweave.sources.landing import landing
 from streetweave.streaming import logs as streams
 
 
+#: Rows of a file of XML, which one task reads whole.
+FILE_ROWS = 100_000
+
+
 def _path(spark: SparkSession, name: str) -> str:
     landing(spark, name)  # sets the shared folder where there is none
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -140,7 +144,7 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
     ways = b.where("pos = 0").select(F.col("k").alias("_id"), F.lit(1).alias("_version"), F.lit("t").alias("_timestamp"), refs.alias("nd"), tag.alias("tag"))
     path = _path(spark, "mapxml")
     for name, rows in (("node", nodes), ("way", ways)):
-        rows.write.format("xml").option("rowTag", name).option("rootTag", "osm").save(f"{path}/{name}s")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).format("xml").option("rowTag", name).option("rootTag", "osm").save(f"{path}/{name}s")
     return maps.read_footprints_xml(spark, f"{path}/*").select("building_id")
 
 
@@ -157,7 +161,7 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
     parts = parts.select(F.concat("k", F.lit("_part"), (F.col("i") + 1).cast("string")).alias("localId"), "numberOfFloorsAboveGround")
     path = _path(spark, "gml")
     for name, rows in (("Building", buildings), ("BuildingPart", parts)):
-        rows.write.format("xml").option("rowTag", name).option("rootTag", "collection").save(f"{path}/{name}")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).format("xml").option("rowTag", name).option("rootTag", "collection").save(f"{path}/{name}")
     return maps.read_reference_buildings(spark, f"{path}/*", (0.5, 0.5, 2.0, 2.0)).select("reference", "use", "construction_year", "dwellings", "floors")
 
 

@@ -636,7 +636,20 @@ def test_readiness_stream_says_after_each_batch_what_the_log_says(spark, tmp_pat
 
 
 def test_accepted_outlines_are_not_broadcast(spark):
+    import streetweave.plans.catalogue  # noqa: F401
     from streetweave.plans.files import accepted_outlines
 
     plan = accepted_outlines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(("name", "folder"), [("S4", "mapxml"), ("S5", "gml")])
+def test_xml_is_written_in_files_of_bounded_size(spark, monkeypatch, tmp_path, name, folder):
+    from streetweave.plans.catalogue import QUERIES
+    from streetweave.plans import files
+
+    monkeypatch.setattr(files, "FILE_ROWS", 70)
+    monkeypatch.setattr(files, "_path", lambda s, n: str(tmp_path / n))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+    counts = [sum(line.count("</way>") + line.count("</node>") + line.count("</Building>") + line.count("</BuildingPart>") for line in p.open()) for p in (tmp_path / folder).glob("*/part-*")]
+    assert len(counts) > 4 and max(counts) <= 70
