@@ -61,18 +61,22 @@ def building_rows(collected: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     """One row a building: its best view (largest score, then smallest image id), counts and status.
     ``keep`` names further columns to take over from the best view."""
     best = F.min_by(F.struct("image_id", "score", "observed_fraction", "projection_coverage", *keep), F.struct(-F.col("score"), "image_id"))
+    # the status asks for none, one or more usable captures: first and last tell, without sorting for a distinct count
+    usable = F.when(F.col("usable"), F.col("image_id"))
+    some = F.when(F.col("first_usable").isNull(), 0).when(F.col("first_usable") == F.col("last_usable"), 1).otherwise(2)
     rows = collected.groupBy("building_id").agg(
         F.count("*").alias("views"),
         F.count_if("usable").alias("clean_views"),
         F.count_if(F.size("flags") > 0).alias("flagged_views"),
-        F.count_distinct(F.when(F.col("usable"), F.col("image_id"))).alias("usable_captures"),
+        F.min(usable).alias("first_usable"),
+        F.max(usable).alias("last_usable"),
         F.min("captured_at_ms").alias("first_captured_ms"),
         F.max("captured_at_ms").alias("last_captured_ms"),
         best.alias("best"),
     )
     return rows.select(
         "building_id",
-        association_status(F.col("usable_captures")).alias("association_status"),
+        association_status(some).alias("association_status"),
         "views",
         "clean_views",
         "flagged_views",
@@ -194,15 +198,19 @@ def coverage_report(rows: DataFrame, nearby: DataFrame, visible: DataFrame) -> D
     )
 
 
-def assess_footprints(views: DataFrame, land: Callable[[DataFrame], DataFrame], inputs: DataFrame | None = None) -> DataFrame:
+def assess_footprints(
+    views: DataFrame, land: Callable[[DataFrame], DataFrame], inputs: DataFrame | None = None, captures: DataFrame | None = None
+) -> DataFrame:
     """Per building: geometry variants, sources, revisions, views far enough apart to be independent, alignment,
     depth samples, the status of each of seven checks and a conclusion. ``views``: building_id, image_id, lat,
     lon, geometry, source, revision (null: not corrected), facade_iou, depth_samples, depth_conflicts. Views
-    without a position are no independent ones. ``inputs`` counts the analyses that were read: compatible,
+    without a position are no independent ones; ``captures`` (image_id, lat, lon) has the positions if ``views``
+    hasn't, so that only the ids go to them. ``inputs`` counts the analyses that were read: compatible,
     stale, incomplete, invalid; without it the inputs are taken as complete."""
     from streetweave.operators.captures import independent_views
 
-    far = independent_views(views.select("building_id", "image_id", "lat", "lon"), land).groupBy("building_id").agg(F.count("*").alias("independent_views"))
+    placed = views if captures is None else views.select("building_id", "image_id").join(captures, "image_id")
+    far = independent_views(placed.select("building_id", "image_id", "lat", "lon"), land).groupBy("building_id").agg(F.count("*").alias("independent_views"))
     sums = views.groupBy("building_id").agg(
         F.count("*").alias("views"),
         F.count_distinct("geometry").alias("variants"),
