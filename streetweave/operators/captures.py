@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetweave.functions.fields import finite, normal_heading
@@ -91,20 +91,27 @@ def attribution_lines(captures: DataFrame) -> DataFrame:
     return captures.select(F.format_string("%s by %s", "image_id", name).alias("value"))
 
 
-def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame], least_m: float = BASELINE_M) -> DataFrame:
+def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame], least_m: float = BASELINE_M, sums: dict[str, Column] | None = None) -> DataFrame:
     """building_id, image_id: a largest set of views pairwise at least ``least_m`` apart, the first such set in
     the order of image ids. ``views``: building_id, image_id, lat, lon. ``land`` writes a table and reads
-    it back.
+    it back. ``sums`` are aggregates over the rows of a view, returned as further columns.
 
     Views nearer to one another than that are links; the first largest set of a building is that of each
-    connected piece, so only a piece has to fit a task, and a view without links needs none."""
-    located = views.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("building_id", "image_id").agg(F.min(F.struct("lat", "lon")).alias("p"))
-    points = land(located.select("building_id", "image_id", "p.lat", "p.lon"))
-    pairs = radius_join(points, points, least_m, ["building_id", "image_id"], ["building_id", "image_id"])
-    close = pairs.where((F.col("building_id") == F.col("b_building_id")) & (F.col("image_id") != F.col("b_image_id")) & (F.col("distance_m") < least_m))
+    connected piece, so only a piece has to fit a task. A view has none if the next ones of its building, by
+    latitude, are farther off; of these, which are most, no more than the ids are kept."""
+    sums = sums or {}
+    located = views.where("lat IS NOT NULL AND lon IS NOT NULL").repartition("building_id").groupBy("building_id", "image_id")
+    order, reach = Window.partitionBy("building_id").orderBy("p.lat"), least_m / 111_000.0
+    north, south = F.lead("p.lat").over(order) - F.col("p.lat"), F.col("p.lat") - F.lag("p.lat").over(order)
+    near = F.coalesce(north <= reach, F.lit(False)) | F.coalesce(south <= reach, F.lit(False))
+    marked = located.agg(F.min(F.struct("lat", "lon")).alias("p"), *[v.alias(c) for c, v in sums.items()]).withColumn("near", near)
+    points = land(marked.select("building_id", "image_id", F.when(F.col("near"), F.col("p")).alias("p"), *sums))
+    suspects = points.where("p IS NOT NULL").select("building_id", "image_id", "p.lat", "p.lon")
+    close = radius_join(suspects, suspects, least_m, ["image_id"], ["image_id"], ("building_id",))
+    close = close.where((F.col("image_id") != F.col("b_image_id")) & (F.col("distance_m") < least_m))
     links = land(close.select("building_id", "image_id", "lat", "lon", F.col("b_image_id").alias("other")))
     if links.isEmpty():
-        return points.select("building_id", "image_id")
+        return points.select("building_id", "image_id", *sums)
     node = lambda c: F.to_json(F.array("building_id", c))
     roots = connected(links.select(node("image_id").alias("u"), node("other").alias("v")), land)
     placed = links.withColumn("node", node("image_id")).join(roots, "node").select("root", "building_id", "image_id", "lat", "lon", "other")
@@ -122,8 +129,9 @@ def independent_views(views: DataFrame, land: Callable[[DataFrame], DataFrame],
         return pd.DataFrame({"building_id": piece["building_id"].iloc[0], "image_id": [names[k] for k in kept]})
 
     chosen = placed.groupBy("root").applyInPandas(choose, "building_id string, image_id string")
-    free = points.select("building_id", "image_id").join(links, ["building_id", "image_id"], "left_anti")
-    return free.union(chosen)
+    linked = links.select("building_id", "image_id").distinct()
+    dropped = land(linked.join(chosen, ["building_id", "image_id"], "left_anti"))
+    return points.select("building_id", "image_id", *sums).join(dropped, ["building_id", "image_id"], "left_anti")
 
 
 def fuse_nearby(views: DataFrame, captures: DataFrame, land: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -136,8 +144,12 @@ def fuse_nearby(views: DataFrame, captures: DataFrame, land: Callable[[DataFrame
         F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"), F.array_sort(F.collect_set("revision")).alias("revisions"),
         F.count_distinct("image_id").alias("captures"), F.sum("pixels").alias("observed_pixels"), F.coalesce(F.sum("inferred_pixels"), F.lit(0)).alias("inferred_pixels"),
     )
-    independent = independent_views(rows.select("building_id", "image_id").join(captures, "image_id"), land)
-    met = rows.join(independent, ["building_id", "image_id"]).groupBy("building_id")
-    means = met.agg(F.count_distinct("image_id").alias("views"), F.array_sort(F.collect_set("image_id")).alias("independent_ids"), F.round(F.avg("coverage"), 3).alias("confidence"))
+    # a capture that comes twice is one place; a view's coverages are added up where the view is looked at
+    places = captures.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("image_id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("image_id", "p.lat", "p.lon")
+    parts = {"s": F.sum("coverage"), "n": F.count("coverage")}
+    met = independent_views(rows.select("building_id", "image_id", "coverage").join(places, "image_id"), land, sums=parts).groupBy("building_id")
+    # a mean half way between two roundings goes up, in whatever order the coverages are added
+    mean = F.round(F.round(F.sum("s"), 9) / F.nullif(F.sum("n"), F.lit(0)), 3)
+    means = met.agg(F.count("*").alias("views"), F.array_sort(F.collect_list("image_id")).alias("independent_ids"), mean.alias("confidence"))
     joined = sums.join(means, "building_id", "left").fillna(0, ["views"]).fillna(0.0, ["confidence"])
     return joined.withColumn("independent_ids", F.coalesce("independent_ids", F.array().cast("array<string>")))

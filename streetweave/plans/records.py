@@ -419,14 +419,14 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 )
 def a20(spark: SparkSession, d: str) -> DataFrame:
     n = F.floor(F.col("pixels") / 400)
-    rows = r.views(spark, d).join(r.captures(spark, d).select("image_id", "lat", "lon"), "image_id", "left").select(
-        "building_id", "image_id", "lat", "lon", (n % 2).alias("geometry"), F.col("dataset").alias("source"), F.when(n % 7 == 0, n % 3).alias("revision"), F.col("coverage").alias("facade_iou"),
+    rows = r.views(spark, d).select(
+        "building_id", "image_id", (n % 2).alias("geometry"), F.col("dataset").alias("source"), F.when(n % 7 == 0, n % 3).alias("revision"), F.col("coverage").alias("facade_iou"),
         n.alias("depth_samples"), F.when(n % 3 == 2, 1).otherwise(0).alias("depth_conflicts"),
     )
     good = F.col("quality") == 1
     read = r.table(spark, d, "labels").select(F.when(good, 1).otherwise(0).alias("compatible"), F.when(F.col("quality") == 0, 1).otherwise(0).alias("stale"), F.lit(0).alias("incomplete"), F.lit(0).alias("invalid"))
     checks = ("multi_view_support", "geometry_consistency", "geometry_provenance", "footprint_correction", "pose_alignment", "depth_evidence", "input_completeness")
-    return views.assess_footprints(rows, landing(spark, "views"), read).select("building_id", "views", F.concat_ws(",", "sources").alias("sources"), "conclusion", *checks)
+    return views.assess_footprints(rows, landing(spark, "views"), read, r.captures(spark, d).select("image_id", "lat", "lon")).select("building_id", "views", F.concat_ws(",", "sources").alias("sources"), "conclusion", *checks)
 
 
 @query("A41", "SELECT building_id, count(*) AS n FROM views GROUP BY building_id", ("views",))

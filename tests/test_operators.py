@@ -125,6 +125,37 @@ def test_independent_views_prefer_the_first_largest_set(spark):
     assert {r.image_id for r in kept.collect()} == {"0", "2"}
 
 
+def test_views_of_other_buildings_at_the_same_place_are_no_candidates(spark):
+    m, landed = 1 / 111_195.0, []
+    rows = [(f"b{k}", str(k), 39.0, 0.0) for k in range(50)] + [("b0", "n", 39.0 + 2 * m, 0.0), ("b1", "n", 39.0 + 2 * m, 9.0)]
+
+    def land(df):
+        landed.append(landing(spark, "t")(df))
+        return landed[-1]
+
+    kept = captures.independent_views(spark.createDataFrame(rows, "building_id string, image_id string, lat double, lon double"), land).collect()
+    assert {(r.building_id, r.image_id) for r in kept} == {(b, i) for b, i, *_ in rows} - {("b0", "n")}
+    # b0's two are near, b1's two as near by latitude; no other position is kept
+    assert landed[0].where("p IS NOT NULL").count() == 4
+
+
+def test_a_mean_half_way_goes_up_in_any_order(spark):
+    # 0.38749.. in this order of addition
+    shares = [0.3, 0.3, 0.7, 0.5, 0.0, 0.0, 0.6, 0.7]
+    assert sum(shares) / 8 < 0.3875
+    seen = spark.createDataFrame([("b", str(k), "s", 10, c) for k, c in enumerate(shares)], "building_id string, image_id string, source string, pixels long, coverage double")
+    places = spark.createDataFrame([(str(k), 39.0 + k, 0.0) for k in range(8)] + [("0", 39.0, 0.0)], "image_id string, lat double, lon double")
+    r = one(captures.fuse_nearby(seen, places, landing(spark, "t")))
+    assert (r.confidence, r.views, r.independent_ids) == (0.388, 8, [str(k) for k in range(8)])
+
+
+def test_rows_of_buildings_need_one_exchange(spark):
+    from streetweave.plans.catalogue import QUERIES
+
+    plan = QUERIES["A2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def first_largest(points, least):
     """By trying every point in and out, with the rest of the order as it is."""
     apart = [[haversine(a, b) >= least for b in points] for a in points]
