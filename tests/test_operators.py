@@ -192,6 +192,17 @@ def test_independent_views_are_the_largest_at_any_number(spark):
     assert len(chosen) == n and all(haversine(a, b) >= 3.0 for k, a in enumerate(chosen) for b in chosen[:k])
 
 
+def test_a_radius_join_whose_pairs_are_sorted_takes_tasks_by_its_pairs(spark):
+    rng = random.Random(5)
+    points = spark.createDataFrame([(str(k), 40.0 + rng.uniform(0, 0.01), rng.uniform(0, 0.01)) for k in range(3000)] + [("no", None, None)], "image_id string, lat double, lon double")
+    pairs = spatial.radius_join(points, points, 60.0, ["image_id"], ["image_id"]).count()
+    assert 0.7 * pairs < spatial.pair_tasks(points, points, 60.0, 1) < 1.4 * pairs
+    assert spatial.pair_tasks(points.where("lat > 50"), points, 60.0) == spark.sparkContext.defaultParallelism
+    assert spatial.radius_join(points, points, 60.0, ["image_id"], ["image_id"], tasks=77).count() == pairs
+    for found in (spatial.nearby(points), spatial.nearest_capture(points.withColumnRenamed("image_id", "point_id"), points, 60.0)):
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("lat0", [0.0, 40.0, 60.0, -89.3])
 def test_radius_join_equals_all_pairs(spark, lat0):
     rng = random.Random(int(lat0) + 7)
