@@ -156,6 +156,13 @@ def test_rows_of_buildings_need_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["A16", "A17", "U2"])
+def test_answers_of_runs_are_read_from_the_line_items_once(spark, name):
+    from streetweave.plans.catalogue import QUERIES
+
+    assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
 def first_largest(points, least):
     """By trying every point in and out, with the rest of the order as it is."""
     apart = [[haversine(a, b) >= least for b in points] for a in points]
