@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from streetweave.operators.logs import RATE_WINDOW
-from streetweave.operators.spatial import thin_captures
+from streetweave.operators.spatial import far_captures
 from streetweave.sources.landing import remove
 
 
@@ -234,18 +234,17 @@ def stream_thin(stream: DataFrame, spacing_m: float, path: str, land: Callable[[
         return F.concat_ws("_", F.floor(lat / KEPT_CELL_DEG), F.floor(lon / KEPT_CELL_DEG))
 
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.select("image_id", "captured_at_ms", "lat", "lon", F.lit(1).alias("turn"))
+        place = F.struct(F.coalesce("captured_at_ms", F.lit(0)).alias("t"), "lat", "lon")
+        first = batch.groupBy("image_id").agg(F.min("captured_at_ms").alias("captured_at_ms"), F.min(place).alias("p"))
+        new, kept = first.select("image_id", "captured_at_ms", "p.lat", "p.lon"), None
         if number:
+            new = land(new)
             around = F.explode(F.array(*[cell(F.col("lat") + a * KEPT_CELL_DEG, F.col("lon") + b * KEPT_CELL_DEG) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
             touched = new.where("lat IS NOT NULL AND lon IS NOT NULL").select(around.alias("cell")).distinct()
             before = spark.read.schema(kept_columns).parquet(path).where(F.col("batch") < number)
-            kept = land(before.join(touched, "cell", "left_semi").select("image_id", "captured_at_ms", "lat", "lon", F.lit(0).alias("turn")))
-            new = new.join(kept, "image_id", "left_anti").union(kept)
-        # captures kept before come first whatever their time
-        first = new.withColumn("captured_at_ms", F.when(F.col("turn") == 0, F.lit(-(1 << 62))).otherwise(F.col("captured_at_ms")))
-        out = thin_captures(first, spacing_m, land).where("turn = 1").drop("turn")
-        own = batch.select("image_id", F.col("captured_at_ms").alias("at")).groupBy("image_id").agg(F.min("at").alias("captured_at_ms"))
-        out = out.drop("captured_at_ms").join(own, "image_id").select("image_id", "captured_at_ms", "lat", "lon", cell(F.col("lat"), F.col("lon")).alias("cell"))
+            kept = land(before.join(touched, "cell", "left_semi").select("image_id", "lat", "lon"))
+            new = new.join(kept.select("image_id"), "image_id", "left_anti")
+        out = far_captures(land(new), kept, spacing_m, land).withColumn("cell", cell(F.col("lat"), F.col("lon")))
         out.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/batch={number:06d}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from streetweave.functions import fields, geo
 from streetweave.operators import captures, cards, corrections, fusion, logs, mask_edits, masks, polygons, ranks, scoring, spatial, sweep, views, walls
 from streetweave.sources import documents, maps, sinks
-from streetweave.sources.landing import landing
+from streetweave.sources.landing import landing, shared_dir
 from streetweave.streaming import logs as streams
 
 
@@ -238,6 +238,47 @@ def test_thinning_equals_the_sequential_rule(spark):
     assert {r.image_id for r in spatial.thin_captures(df, 30.0, landing(spark, "t")).collect()} == {p[0] for p in kept}
 
 
+def test_thinning_beside_kept_captures_looks_for_rivals_of_new_ones_only(spark):
+    rng, landed = random.Random(4), []
+    points = [(f"{i:03d}", rng.choice([None, -5, rng.randrange(50)]), 39.0 + rng.uniform(0, 0.004), rng.uniform(0, 0.004)) for i in range(300)]
+    old = [(f"k{i}", 39.0 + 0.0008 * i, 0.0008 * i) for i in range(5)]
+    kept = []
+    for p in sorted(points, key=lambda p: (p[1] or 0, p[0])):
+        if all(haversine(p[2:], q[-2:]) >= 30.0 for q in old + kept):
+            kept.append(p)
+
+    def land(df):
+        landed.append(landing(spark, "t")(df))
+        return landed[-1]
+
+    df = spark.createDataFrame(points, "image_id string, captured_at_ms long, lat double, lon double").repartition(5)
+    out = spatial.far_captures(df, spark.createDataFrame(old, "image_id string, lat double, lon double"), 30.0, land)
+    assert sorted(r.image_id for r in out.collect()) == sorted(p[0] for p in kept)
+    place, before = {p[0]: p[-2:] for p in points + old}, {p[0]: (p[1] or 0, p[0]) for p in points} | {o[0]: (-math.inf,) for o in old}
+    want = sorted((a[0], b[0]) for a in points for b in points + old if before[b[0]] < before[a[0]] and haversine(place[a[0]], place[b[0]]) < 30.0)
+    assert sorted((r.image_id, r.rival) for r in landed[0].collect()) == want
+
+
+def test_a_batch_of_thinned_captures_is_read_by_many_tasks(spark, tmp_path):
+    """T6: each of the three batches has files of its own from all tasks; together they thin like the sequential rule."""
+    from streetweave.plans import registry
+    from streetweave.plans.catalogue import QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    shared, before = Path(shared_dir(spark)), spark.conf.get("spark.sql.files.openCostInBytes")
+    there = set(shared.iterdir())
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = sorted(r.image_id for r in QUERIES["T6"](spark, str(tmp_path)).collect())
+        want = sorted(r.image_id for r in spatial.thin_captures(registry.captures(spark, str(tmp_path)), 10.0, landing(spark, "t")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert got == want and len(got) > 100
+    new = set(shared.iterdir()) - there
+    assert len([f for d in new if d.name.startswith("capture-stream-") for f in d.glob("*.parquet")]) == 12
+    assert len([f for d in new if d.name.endswith("-checkpoint") for f in d.glob("commits/[0-9]*")]) == 3
+
+
 def test_nearest_by_bearing(spark):
     rows = [("a", "x", 5.0, 0.0), ("a", "y", 6.0, 5.0), ("a", "z", 7.0, 355.0), ("a", "w", 8.0, 90.0)]
     got = spatial.nearest_by_bearing(spark.createDataFrame(rows, "image_id string, other_id string, distance_m double, bearing double"))
