@@ -504,6 +504,42 @@ def test_ranks_of_large_groups(spark):
     assert got == want
 
 
+def test_overlaps_of_masks_equal_all_pairs_in_one_exchange(spark):
+    """Masks of three views, a pixel that comes twice, pixels without a place, and an image without overlaps."""
+    rng = random.Random(6)
+    rows = [(i, v, rng.randrange(1, 4), rng.randrange(4), rng.randrange(5)) for i in ("a", "b") for v in (1, 2, 3) for _ in range(40)]
+    rows += [("a", 1, 1, None, 2), ("a", 2, 1, None, 2), ("b", 1, 2, 3, None), ("c", 1, 1, 0, 0), rows[0]]
+    n, both = {}, {}
+    for x in rows:
+        n[x[:3]] = n.get(x[:3], 0) + 1
+        for y in rows:
+            if x[0] == y[0] and x[3:] == y[3:] and None not in x[3:] and x[1] < y[1]:
+                both[x[:3], y[:3]] = both.get((x[:3], y[:3]), 0) + 1
+    name = lambda m: "/".join(map(str, m))
+    want = [(name(u), name(v), c, round(c / (n[u] + n[v] - c), 6)) for (u, v), c in both.items() if min(n[u], n[v]) >= 8 and c / (n[u] + n[v] - c) >= 0.2]
+    out = masks.instance_overlaps(spark.createDataFrame(rows, "image_id string, view int, mask int, row int, col int").repartition(3), 8, 0.2)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and 3 < len(want) < len(both)
+    pixels = spark.createDataFrame([("a", [(1, 1), (2, 5)]), ("a", [(1, 1)]), ("a", [])], "image_id string, masks array<struct<view: int, mask: int>>").repartition("image_id")
+    met = masks.pixel_overlaps(pixels, 1, 0.1)
+    assert [tuple(r) for r in met.collect()] == [("a/1/1", "a/2/5", 1, 0.5)]
+    assert met._jdf.queryExecution().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_edges_of_components_are_made_once(spark):
+    """J19, A7's views, G8: what makes the edges is long work."""
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x")], "u string, v string").mapInArrow(count, "u string, v string")
+    roots = masks.connected(edges, landing(spark, "t"))
+    assert {(r.node, r.root) for r in roots.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")}
+    assert met.value == 3
+
+
 def test_failures_in_a_row(spark):
     said = "f f d f f f d f".split()
     log = spark.createDataFrame([("s", k, "failed" if x == "f" else "done") for k, x in enumerate(said)] + [("t", 1, "done")], "stage string, seq int, status string")
