@@ -227,6 +227,21 @@ def test_radius_joins_are_not_broadcast(spark):
     assert "Broadcast" not in best._jdf.queryExecution().toString()
 
 
+def test_the_nearest_capture_is_found_however_far_it_is(spark):
+    rng = random.Random(9)
+    near = [(f"c{k:03d}", 39.0 + rng.uniform(0, 0.02), rng.uniform(0, 0.02)) for k in range(150)]
+    odd = [("tie2", 60.0, 100.0002), ("tie1", 60.0, 99.9998), ("pole", 89.99, -120.0), ("date", -17.0, 179.999), ("none", None, 1.0)]
+    wanted = [(f"p{k:03d}", 39.0 + rng.uniform(-0.05, 0.07), rng.uniform(-0.05, 0.07)) for k in range(60)] + [(f"q{k}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(60)]
+    wanted += [("tie", 60.0, 100.0), ("over the pole", 89.9, 60.0), ("over the date line", -17.0, -179.9)]
+    known = near + odd[:-1]
+    points = spark.createDataFrame([*wanted, ("nowhere", None, None)], "point_id string, lat double, lon double")
+    df = spark.createDataFrame(near + odd, "image_id string, lat double, lon double")
+    got = {r.point_id: (r.image_id, round(r.distance_m, 5)) for r in spatial.nearest_capture(points, df, 60.0, landing(spark, "nearest")).collect()}
+    want = {p[0]: min((round(haversine(p[1:], c[1:]), 5), c[0]) for c in known)[::-1] for p in wanted}
+    assert got == want and want["tie"][0] == "tie1" and want["over the pole"][0] == "pole" and want["over the date line"][0] == "date"
+    assert spatial.nearest_capture(points, df.where("lat > 95"), 60.0).count() == 0
+
+
 def test_thinning_equals_the_sequential_rule(spark):
     rng = random.Random(3)
     points = [(f"{i:03d}", rng.choice([None, rng.randrange(50)]), 39.0 + rng.uniform(0, 0.004), rng.uniform(0, 0.004)) for i in range(400)]
