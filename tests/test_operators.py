@@ -396,6 +396,30 @@ def test_visibility_index_of_a_camera(spark):
     assert {(r.image_id, r.reason) for r in skipped.collect()} == {("j", "no_position"), ("k", "bad_position"), ("l", "bad_heading"), (None, "no_id")}
 
 
+def test_a_visibility_index_exchanges_no_pairs_and_broadcasts_nothing(spark):
+    """Equal to walls made for each pair of camera and footprint; cameras lie on all sides of the cells' borders."""
+    rng = random.Random(11)
+    d = 1e-5
+
+    def square(lat, lon, half):
+        return [[[[lon + half * x, lat + half * y] for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]]]
+
+    places = [(f"way/{k}", 39.47 + rng.uniform(0, 900) * d, -0.38 + rng.uniform(0, 900) * d, rng.randint(3, 10) * d) for k in range(150)]
+    footprints = spark.createDataFrame([(n, y, x, square(y, x, h)) for n, y, x, h in places], "building_id string, lat double, lon double, geometry array<array<array<array<double>>>>")
+    cameras = spark.createDataFrame([(f"i{k}", 39.47 + rng.uniform(0, 900) * d, -0.38 + rng.uniform(0, 900) * d) for k in range(120)], "image_id string, lat double, lon double")
+    seen, nearby, _ = walls.visibility_index(cameras, footprints, 20.0)
+    pairs = walls.near_footprints(cameras, footprints, 20.0)
+    e = pairs.join(cameras, "image_id").join(walls.edges(footprints, ["building_id"]), "building_id")
+    a, b = (geo.local_metres(F.col("lat"), F.col("lon"), F.col(f"y{k}"), F.col(f"x{k}")) for k in (1, 2))
+    e = e.select("image_id", *sweep.EDGE, a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    want = walls.visibility(walls.facade_bearings(walls.visible_facades(e)))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, want.select(seen.columns).collect()))
+    assert sorted(map(tuple, nearby.collect())) == sorted(map(tuple, pairs.groupBy("building_id").count().collect()))
+    for part in (seen, nearby):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan
+
+
 def test_attached_walls_are_no_facades(spark):
     def box(x):
         return [[[[x, 10.0], [x + 10, 10.0], [x + 10, 20.0], [x, 20.0], [x, 10.0]]]]
