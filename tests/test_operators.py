@@ -375,6 +375,36 @@ def test_a_wall_across_the_street(spark):
     assert {r.owner for r in depth.where("col IN (0, 35)").collect()} == {"near"}
 
 
+def test_the_wall_zbuffer_keeps_to_its_scenes_and_equals_brute_force(spark):
+    width, height, camera = 40, 20, 1.7
+    rng = random.Random(13)
+    rows = [(f"i{k}", f"b{j}", *[rng.uniform(-25, 25) for _ in range(4)], rng.uniform(1, 14)) for k in range(30) for j in range(6)]
+    rows += [("tie", "b", 5.0, 7.0, -5.0, 7.0, 9.0), ("tie", "a", 5.0, 7.0, -5.0, 7.0, 6.0), ("through", "b", -3.0, 0.0, 3.0, 0.0, 9.0), ("off", "b", None, 1.0, 2.0, 3.0, 4.0)]
+    want = {}
+    for image, building, x1, y1, x2, y2, top_m in rows[:-1]:
+        for col in range(width):
+            a = math.radians((col + 0.5) * 360 / width)
+            u, v = math.sin(a), math.cos(a)
+            cross = u * (y2 - y1) - v * (x2 - x1)
+            t, s = (x1 * (y2 - y1) - y1 * (x2 - x1)) / cross, (x1 * v - y1 * u) / cross
+            if t > 0.25 and 0 <= s <= 1:
+                first, last = (math.floor((0.5 - math.atan2(h, t) / math.pi) * height) for h in (top_m - camera, -camera))
+                for row in range(max(0, first), min(height - 1, last) + 1):
+                    want[image, row, col] = min(want.get((image, row, col), (math.inf, "")), (round(t, 9), building))
+    facades = spark.createDataFrame(rows, "image_id string, building_id string, x1 double, y1 double, x2 double, y2 double, top_m double")
+    together = facades.coalesce(1)
+    for depth in (walls.wall_zbuffer(facades.repartition(7), width, height), walls.wall_zbuffer(together, width, height, together=True)):
+        got = {(r.image_id, r.row, r.col): (round(r.depth, 9), r.owner) for r in depth.collect()}
+        assert got == want
+    assert any(owner == "b" for (image, _, _), (_, owner) in want.items() if image == "tie") and "Exchange" not in depth._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_items_are_the_only_exchange_of_the_wall_zbuffer(spark):
+    from streetweave.plans.catalogue import QUERIES
+
+    assert QUERIES["G6"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_visibility_index_of_a_camera(spark):
     """The scene above in degrees: a hidden house is near but not seen, one far away is neither."""
     m = 1 / 111_195.08
