@@ -724,6 +724,19 @@ def test_pose_scores_equal_brute_force(spark):
     assert scores == pytest.approx(want, abs=1e-12) and len(want) == 4 * 27
 
 
+@pytest.mark.parametrize("height", [36, 100])
+def test_scene_scores_equal_those_of_masks(spark, height):
+    rng = random.Random(height)
+    rows = [(f"i{k}", *[rng.uniform(-25, 25) for _ in range(4)], rng.uniform(2, 14), seen) for k in range(20) for seen in (True, False) for _ in range(rng.randrange(1, 5))]
+    rows += [("unseen", 5.0, 7.0, -5.0, 7.0, 9.0, False), ("only seen", 5.0, 7.0, -5.0, 7.0, 9.0, True), ("low", 5.0, 7.0, -5.0, 7.0, -300.0, False), ("low", 5.0, 7.0, -5.0, 7.0, 9.0, True)]
+    df = spark.createDataFrame(rows, "image_id string, x1 double, y1 double, x2 double, y2 double, top_m double, seen boolean")
+    want = walls.pose_scores(walls.wall_masks(df.where("seen"), ["image_id"], 72, height), df.where("NOT seen"), walls.pose_candidates(spark), 72, height)
+    want = {(r.image_id, r.candidate): r.score for r in want.collect()}
+    for found in (walls.scene_scores(df.repartition(5), walls.pose_grid(), 72, height), walls.scene_scores(df.coalesce(1), walls.pose_grid(), 72, height, together=True)):
+        assert {(r.image_id, r.candidate): r.score for r in found.collect()} == pytest.approx(want, abs=1e-12)
+    assert {i for i, _ in want} == {f"i{k}" for k in range(20)} and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_scene_is_scored(spark):
     from streetweave.plans.catalogue import QUERIES
 
