@@ -7,6 +7,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from streetweave.operators import boxes, captures, polygons, spatial, views
@@ -225,6 +226,32 @@ def test_corrections(spark):
     assert got == {k: want for k, (_, _, want) in cases.items() if want}
 
 
+def test_corrections_are_checked_once_and_in_all_tasks(spark):
+    """A filter on the issues must not be carried below the exchange, where the check would run a second time."""
+    proposals = spark.createDataFrame([("a", 1, "geometry", [[[square(0.0, 40.0, 1e-4)]]]), ("b", 1, "geometry", None), (None, 2, None, [None])], f"osm_id string, revision int, kind string, parts array<{SHAPE}>")
+    feet = spark.createDataFrame([("a", [[square(0.0, 40.0, 1e-4)]]), ("b", None)], f"building_id string, geometry {SHAPE}")
+    found = polygons.validate_corrections(proposals, feet)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "Broadcast" not in plan
+    assert {(r.osm_id, r.revision): r.issues for r in found.collect()} == {("b", 1): "unknown_footprint,bad_part_count", (None, 2): "unknown_footprint,no_area"}
+
+
+def test_lists_equal_pylists():
+    shape = pa.list_(pa.list_(pa.list_(pa.float64())))
+    column = pa.array([[[[1.0, 2.0], [None, 3.0]], None, []], None, [], [[None, [4.0, 5.0, 6.0]]], [[[], [7.0]]]], shape)
+    for part in (column, column[1:4], column[2:], column[5:]):
+        assert polygons._lists(part) == part.to_pylist()
+
+
+def test_few_points_have_the_centre_of_many(monkeypatch):
+    rng = random.Random(21)
+    shapes = [[[star(rng, rng.randint(3, 9), rng.uniform(-50, 50), rng.uniform(-50, 50)), square(0.0, 0.0, 0.2)], [star(rng, 4, 60, 60)]] for _ in range(40)] + [[], None, [[[]]], [[[[1.0, 1.0]] * 4]]]
+    few = [polygons.centre(s) for s in shapes]
+    monkeypatch.setattr(polygons, "FEW", 0)
+    for got, want in zip(few, [polygons.centre(s) for s in shapes], strict=True):
+        assert got == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
 def test_few_edges_equal_many(monkeypatch):
     """Loops over a few edges say what arrays say, and long work on few bytes is dealt to all tasks."""
     rng = random.Random(8)
